@@ -5,8 +5,8 @@ operator picks *anchors*: places in a text that equal windows share. All windows
 *block* (a range of starts). For each block two hashes travel: `k` of what all its windows have in common
 and `u` of all that they span. Blocks that agree in k and u hold equal windows start by start, so one
 record settles the whole block; blocks alone with their k hold no repeated window. Only blocks that share
-k but differ in u (the edges of repeats) are looked at window by window, by a 128-bit hash of each window.
-Every grouping is by a content hash, no group is collected, and no record is dropped.
+k but differ in u (the edges of repeats) are looked at window by window: small groups of byte segments by
+putting their suffixes in order, others by a 128-bit hash of each window. Every grouping is by a content hash, no group is collected, and no record is dropped.
 """
 
 from collections.abc import Callable, Iterator
@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 from quarry.llm import kernels as K
 from quarry.llm.scratch import land
 
+#: ref: a reference block for first_stays; otherwise false for a block already known to repeat, whose k is its own
 RECORDS = "id long, tx int, s0 int, s1 int, ref boolean, k long, u long"
 FOUND = "kind int, id long, tx int, packed binary, sure binary, w1 long, w2 long, s int, n_units long, n_removed long, n_spans long, sha string, kept binary"
 RESULT = "id long, tx int, n_units long, n_removed long, n_spans long, sha string, kept binary"
+#: what becomes of a block: its windows repeat, are compared by hash, or are compared in corpus order
+SURE, BY_HASH, IN_ORDER = 1, 2, 3
+#: edges of repeats that share a core and are compared in one task; groups with more go by hash
+ORDER_GROUP = 512
 
 
 @dataclass(frozen=True)
@@ -47,6 +52,8 @@ class Scheme:
     join: Callable[[np.ndarray, np.ndarray], bytes]
     #: True: a window is removed if it also starts in a text of a smaller id. False: if it also starts anywhere else.
     first_stays: bool
+    #: (data, offs, starts) -> the starts whose windows repeat, for units that are bytes; None: all go by hash
+    in_order: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 def _records(scheme: Scheme) -> Callable:
@@ -79,8 +86,14 @@ def _result(scheme: Scheme, text: bytes, n: int, starts: np.ndarray, keep_text:
     return n, int(n - keep.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None
 
 
+def _unmark(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First starts, last starts and kinds from longs of 31, 30 and 2 bits."""
+    s0 = marks >> 32
+    return s0, s0 + ((marks >> 2) & ((1 << 30) - 1)), marks & 3
+
+
 def _look(scheme: Scheme, keep_text: bool) -> Callable:
-    """Texts with their marked blocks: a finished result (kind 0), or a packed text (1) and its open windows (2)."""
+    """Texts with their marked blocks: a finished result (kind 0), or a packed text (1), its open windows (2) and open segments (3)."""
     blank = dict.fromkeys([f.split()[0] for f in FOUND.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,24 +101,27 @@ def _look(scheme: Scheme, keep_text: bool) -> Callable:
 
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            ids, tx, marks = batch["id"].to_numpy(), batch["tx"].to_numpy(), batch["marks"]
+            ids, tx, marks, segs = batch["id"].to_numpy(), batch["tx"].to_numpy(), batch["marks"], batch["segs"]
             for i, j, data, offs in K.slices(batch["text"]):
                 whole = scheme.units(data, offs)
                 rows, wins = [], []
                 for d in range(i, j):
                     base, n = int(whole.offs[d - i]), int(whole.offs[d - i + 1] - whole.offs[d - i])
-                    text = data[offs[d - i] : offs[d - i + 1]].tobytes()
-                    raw = marks[d].as_py()
-                    m = np.frombuffer(raw, ">i4").astype(np.int64).reshape(-1, 3) if raw else np.zeros((0, 3), np.int64)
-                    m = m[(m[:, 1] + scheme.width <= n)]
-                    sure, open_ = m[m[:, 2] == 1], m[m[:, 2] == 2]
-                    starts = np.unique(K.spread(sure[:, 0], sure[:, 1]))
+                    begin = int(offs[d - i])
+                    text = data[begin : offs[d - i + 1]].tobytes()
+                    s0, s1, m = _unmark(np.array(marks[d].as_py() or [], np.int64))
+                    starts = np.unique(K.spread(s0[m == SURE], s1[m == SURE]))
                     row = blank | {"id": ids[d], "tx": tx[d]}
-                    if len(open_):
-                        s = np.unique(K.spread(open_[:, 0], open_[:, 1]))
+                    own = segs[d].as_py() or []
+                    s = np.unique(K.spread(s0[m == BY_HASH], s1[m == BY_HASH]))
+                    if len(s) or own:
                         rows.append(row | {"kind": 1, "packed": pack(text), "sure": starts.astype(np.int32).tobytes()})
-                        a, b = whole.sums[0].of(base + s, base + s + scheme.width), whole.sums[1].of(base + s, base + s + scheme.width)
-                        wins.append((ids[d], tx[d], K.signed(a), K.signed(b), s.astype(np.int32)))
+                        for seg in own:
+                            a, b, _ = _unmark(np.array([seg["mark"]], np.int64))
+                            rows.append(row | {"kind": 3, "s": int(a[0]), "w1": seg["k"], "packed": text[int(a[0]) : int(b[0]) + scheme.width]})
+                        if len(s):
+                            one, two = whole.sums[0].of(base + s, base + s + scheme.width), whole.sums[1].of(base + s, base + s + scheme.width)
+                            wins.append((ids[d], tx[d], K.signed(one), K.signed(two), s.astype(np.int32)))
                     else:
                         got = _result(scheme, text, n, starts, keep_text)
                         rows.append(row | {"kind": 0} | dict(zip(("n_units", "n_removed", "n_spans", "sha", "kept"), got, strict=True)))
@@ -118,6 +134,41 @@ def _look(scheme: Scheme, keep_text: bool) -> Callable:
     return run
 
 
+def _in_order(scheme: Scheme) -> Callable:
+    """Segments, those of a group together: the starts that repeat. Groups are small, and several make one collection."""
+
+    def work(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        arr = K.as_bytes(table["packed"])
+        offs = np.frombuffer(arr.buffers()[1], np.int64)[arr.offset : arr.offset + len(arr) + 1]
+        data = np.frombuffer(arr.buffers()[2], np.uint8)[offs[0] : offs[-1]]
+        offs = offs - offs[0]
+        found = np.sort(scheme.in_order(data, offs, K.spread(offs[:-1], offs[1:] - scheme.width)))
+        row = np.searchsorted(offs, found, "right") - 1
+        s = table["s"].to_numpy()[row] + found - offs[row]
+        return pa.RecordBatch.from_arrays([pa.array(table["id"].to_numpy()[row]), pa.array(table["tx"].to_numpy()[row]), pa.array(s.astype(np.int32))], names=["id", "tx", "s"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            k = batch["w1"].to_numpy()
+            cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
+            last = held[-1]["w1"][-1].as_py() if held else None
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if size >= K.SLICE_BYTES and k[a] != last:
+                    yield work(held)
+                    held, size = [], 0
+                part = batch.slice(a, b - a)
+                held.append(part)
+                size += sum(len(x) for x in part["packed"].to_pylist())
+                last = k[a]
+        if held:
+            yield work(held)
+
+    return run
+
+
 _ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("tx", pa.int32()), ("packed", pa.binary()), ("sure", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("s", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.binary())])
 
 
@@ -133,7 +184,7 @@ def _finish(scheme: Scheme, keep_text: bool) -> Callable:
             for r in batch.to_pylist():
                 text = unpack(r["packed"]) if r["packed"] else b""
                 n = int(scheme.units(np.frombuffer(text, np.uint8), np.array([0, len(text)])).offs[-1])
-                starts = np.concatenate((np.frombuffer(r["sure"], np.int32), np.frombuffer(r["found"] or b"", ">i4"))).astype(np.int64)
+                starts = np.concatenate((np.frombuffer(r["sure"], np.int32), np.array(r["found"] or [], np.int32))).astype(np.int64)
                 got = _result(scheme, text, n, np.unique(starts), keep_text)
                 out.append({"id": r["id"], "tx": r["tx"]} | dict(zip(("n_units", "n_removed", "n_spans", "sha", "kept"), got, strict=True)))
                 if len(out) >= 256:
@@ -148,16 +199,6 @@ def _finish(scheme: Scheme, keep_text: bool) -> Callable:
 _DONE = pa.schema([("id", pa.int64()), ("tx", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.binary())])
 
 
-def packed_ints(*cols) -> F.Column:
-    """Integers as big-endian bytes, so that many of one text concatenate into one compact value."""
-    return F.concat(*[F.to_binary(F.lpad(F.hex(c.cast("int")), 8, "0"), F.lit("hex")) for c in cols])
-
-
-def gathered(col) -> F.Column:
-    """All byte strings of a group as one; a group is one text's marks, which its length bounds."""
-    return F.to_binary(F.array_join(F.collect_list(F.hex(col)), ""), F.lit("hex"))
-
-
 def remove_repeats(docs: DataFrame, scheme: Scheme, records: DataFrame | None = None, keep_text: bool = False) -> DataFrame:
     """docs: (id long, tx int, text). Returns RESULT, one row for each row of docs.
 
@@ -169,31 +210,37 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, records: DataFrame | None =
     r = records.withColumn("me", F.struct("id", "tx", "s0"))
     if scheme.first_stays:
         r = r.withColumn("low", F.min(F.when(F.col("ref"), F.col("id"))).over(same)).withColumn("low_k", F.min(F.when(F.col("ref"), F.col("id"))).over(one)).withColumn("high_k", F.max("id").over(one))
-        mixed = F.min("u").over(one) != F.max("u").over(one)
-        r = r.withColumn("mixed", mixed)
+        r = r.withColumn("mixed", F.min("u").over(one) != F.max("u").over(one))
         sure = F.coalesce(F.col("low") < F.col("id"), F.lit(False))
         asks = ~sure & F.coalesce(F.col("low_k") < F.col("id"), F.lit(False))
         tells = F.col("ref") & ~sure & (F.col("high_k") > F.col("id"))
     else:
         r = r.withColumn("n", F.count("*").over(same)).withColumn("first", F.min("me").over(same)).withColumn("all", F.count("*").over(one))
-        mixed = F.col("n") < F.col("all")
-        sure = F.col("n") > 1
+        r = r.withColumn("mixed", F.col("n") < F.col("all"))
+        sure = (F.col("n") > 1) | ~F.col("ref")
         asks = F.col("n") == 1
         tells = F.col("me") == F.col("first")
-        r = r.withColumn("mixed", mixed)
-    r = r.select("id", "tx", "s0", "s1", sure.alias("sure"), (F.col("mixed") & (asks | tells)).alias("open"))
-    mark = F.explode(F.filter(F.array(F.when(F.col("sure"), F.lit(1)), F.when(F.col("open"), F.lit(2))), lambda x: x.isNotNull()))
-    marks = r.where(F.col("sure") | F.col("open")).select("id", "tx", "s0", "s1", mark.alias("m"))
-    marks = marks.groupBy("id", "tx").agg(gathered(packed_ints(F.col("s0"), F.col("s1"), F.col("m"))).alias("marks"))
-    seen = docs.join(marks, ["id", "tx"], "left").select("id", "tx", "text", "marks")
+    r = r.select("id", "tx", "s0", "s1", "k", sure.alias("sure"), (F.col("mixed") & (asks | tells)).alias("open"))
+    how = F.lit(BY_HASH) if scheme.in_order is None else F.when(F.sum(F.col("open").cast("int")).over(one) <= ORDER_GROUP, F.lit(IN_ORDER)).otherwise(F.lit(BY_HASH))
+    r = r.withColumn("how", how).where(F.col("sure") | F.col("open"))
+    kinds = F.filter(F.array(F.when(F.col("sure"), F.lit(SURE)), F.when(F.col("open"), F.col("how"))), lambda x: x.isNotNull())
+    r = r.withColumn("m", F.explode(kinds))
+    mark = F.shiftleft(F.col("s0").cast("long"), 32).bitwiseOR(F.shiftleft((F.col("s1") - F.col("s0")).cast("long"), 2)).bitwiseOR(F.col("m").cast("long"))
+    r = r.withColumn("mark", mark)
+    ordered = F.col("m") == IN_ORDER
+    marks = r.groupBy("id", "tx").agg(F.collect_list(F.when(~ordered, F.col("mark"))).alias("marks"), F.collect_list(F.when(ordered, F.struct("mark", "k"))).alias("segs"))
+    seen = docs.join(marks, ["id", "tx"], "left").select("id", "tx", "text", "marks", "segs")
     found = land(seen.mapInArrow(_look(scheme, keep_text), FOUND), "repeats")
     wins = found.where("kind = 2").select("id", "tx", "w1", "w2", "s")
     w = Window.partitionBy("w1", "w2")
     if scheme.first_stays:
-        hit = wins.withColumn("low", F.min("id").over(w)).where("low < id")
+        hit = wins.withColumn("low", F.min("id").over(w)).where("low < id").select("id", "tx", "s")
     else:
-        hit = wins.withColumn("n", F.count("*").over(w)).where("n > 1")
-    hit = hit.groupBy("id", "tx").agg(gathered(packed_ints(F.col("s"))).alias("found"))
+        hit = wins.withColumn("n", F.count("*").over(w)).where("n > 1").select("id", "tx", "s")
+    if scheme.in_order is not None:
+        segs = found.where("kind = 3").select("id", "tx", "w1", "s", "packed").repartition("w1").sortWithinPartitions("w1")
+        hit = hit.union(segs.mapInArrow(_in_order(scheme), "id long, tx int, s int"))
+    hit = hit.groupBy("id", "tx").agg(F.collect_list("s").alias("found"))
     late = found.where("kind = 1").select("id", "tx", "packed", "sure").join(hit, ["id", "tx"], "left")
     cols = [f.split()[0] for f in RESULT.split(", ")]
     return found.where("kind = 0").select(*cols).unionByName(late.select("id", "tx", "packed", "sure", "found").mapInArrow(_finish(scheme, keep_text), RESULT))

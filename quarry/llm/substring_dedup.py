@@ -90,7 +90,14 @@ def _blocks(p: AnchorParams, shared, log2: int):
         ok = lo <= hi
         probe, text, ref, lo, hi = probe[ok], text[ok], ref[ok], lo[ok], hi[ok]
         u = K.mix(units.sums[1].of(lo, hi + p.width) + ((probe - lo) * 4096 + (probe - hi)).astype(np.uint64))
-        return text, lo, hi, ref, all_k[probe], u
+        k = all_k[probe]
+        # neighbours of equal content (one word over and over) make one record
+        apart = np.ones(len(k), bool)
+        apart[1:] = (k[1:] != k[:-1]) | (u[1:] != u[:-1]) | (text[1:] != text[:-1]) | (probe[1:] != probe[:-1] + 1)
+        first = np.flatnonzero(apart)
+        if not len(first):
+            return text, lo, hi, ref, k, u
+        return text[first], lo[first], np.maximum.reduceat(hi, first), np.logical_or.reduceat(ref, first), k[first], u[first]
 
     return run
 
