@@ -4,7 +4,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import substring_dedup, suffix_dedup
+from pyspark.sql import functions as F
+
+from quarry.llm import embedding_dedup, labelled, minhash_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,9 +21,42 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
+def _scored(df: DataFrame, name: str) -> DataFrame:
+    return df.select("doc_id", labelled.held_out().alias("held_out"), F.col(f"{name}_score").alias("score"), F.col(f"{name}_predicted").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs.select("doc_id", "text"), model), "toxic")
+
+
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return _scored(quality.score(docs.select("doc_id", "text"), net), "quality")
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    params = minhash_dedup.SketchParams(shingle=2)
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), params).drop("tx")
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mixed(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (op2_suffix_dedup, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_minhash_dedup, op9_mixing, op10_embedding_dedup)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in (op2_suffix_dedup, op6_substring_dedup)}
+    return {q.__name__: q for q in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE_SQL}
