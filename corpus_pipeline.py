@@ -1,3 +1,70 @@
-"""Corpus preparation in stages."""
+"""Corpus preparation in stages: quality, near duplicates, repeated bytes, benchmarks, mix.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again for the next.
+All but the last return the columns of documents.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.llm import decontaminate, minhash_dedup, mixing, quality, suffix_dedup
+from quarry.llm.scratch import land
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled rows of docs, doesn't reject."""
+    net = quality.fit(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, net).where("quality_predicted = 1").select(*COLUMNS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near duplicates: five-word shingles, similarity 0.8."""
+    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id", "tx").distinct()
+    keyed = docs.select(*COLUMNS).withColumn("tx", F.hash("text"))
+    return keyed.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (keyed["tx"] == kept["tx"]), "left_semi").select(*COLUMNS)
+
+
+def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of strings that repeat; bytes of a character cut in two go, and so do documents with nothing left."""
+    done = suffix_dedup.remove_repeated_bytes(docs, keep_text=True)
+    done = done.where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "tx", "kept").dropDuplicates(["cut_id", "tx"])
+    keyed = docs.select(*COLUMNS).withColumn("own", F.hash("text"))
+    both = keyed.join(done, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("own") == F.col("tx")), "left")
+    text = F.coalesce("kept", "text")
+    both = both.withColumn("text", text).withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return both.where("kept is null or length(text) > 0").select(*COLUMNS)
+
+
+def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no item of the benchmark."""
+    return decontaminate.without_benchmark(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as often as its source's rate gives it, with the columns of documents and copy."""
+    return mixing.emitted(docs.select(*COLUMNS))
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", repeated_bytes),
+    ("benchmark decontamination", benchmark_filter),
+    ("mixing sources", mix_sources),
+]
+
+#: Learnt and banded stages have no SQL; tests hold each against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = land(stage(spark, docs, sf_dir), "stage")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import embedding_dedup, labelled, minhash_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity
+import corpus_pipeline
+from quarry.llm import chat, decontaminate, embedding_dedup, labelled, minhash_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where, index = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.verified(warc.read_records(where, index)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeated_bytes(table(spark, sf_dir, "documents"))
 
@@ -21,6 +27,17 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeated_words(table(spark, sf_dir, "documents"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    says = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(more)
+    return chat.digests(chat.format_chats(turns))
+
+
 def _scored(df: DataFrame, name: str) -> DataFrame:
     return df.select("doc_id", labelled.held_out().alias("held_out"), F.col(f"{name}_score").alias("score"), F.col(f"{name}_predicted").alias("predicted"))
 
@@ -51,12 +68,12 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
-_ALL = (op2_suffix_dedup, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_minhash_dedup, op9_mixing, op10_embedding_dedup)
+_ALL = (op1_warc, op2_suffix_dedup, op3_decontamination, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_minhash_dedup, op9_mixing, op10_embedding_dedup)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _ALL}
+    return {q.__name__: q for q in _ALL} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}

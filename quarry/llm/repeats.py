@@ -24,8 +24,8 @@ from quarry.llm.scratch import land
 
 #: ref: a reference block for first_stays; otherwise false for a block already known to repeat, whose k is its own
 RECORDS = "id long, tx int, s0 int, s1 int, ref boolean, k long, u long"
-FOUND = "kind int, id long, tx int, packed binary, sure binary, w1 long, w2 long, s int, n_units long, n_removed long, n_spans long, sha string, kept binary"
-RESULT = "id long, tx int, n_units long, n_removed long, n_spans long, sha string, kept binary"
+FOUND = "kind int, id long, tx int, packed binary, sure binary, w1 long, w2 long, s int, n_units long, n_removed long, n_spans long, sha string, kept string"
+RESULT = "id long, tx int, n_units long, n_removed long, n_spans long, sha string, kept string"
 #: what becomes of a block: its windows repeat, are compared by hash, or are compared in corpus order
 SURE, BY_HASH, IN_ORDER = 1, 2, 3
 #: edges of repeats that share a core and are compared in one task; groups with more go by hash
@@ -83,7 +83,7 @@ def _result(scheme: Scheme, text: bytes, n: int, starts: np.ndarray, keep_text:
         keep = np.cumsum(edge[:-1]) == 0
     left = scheme.join(data, keep)
     spans = int((~keep[:1]).sum() + (keep[:-1] & ~keep[1:]).sum())
-    return n, int(n - keep.sum()), spans, hashlib.sha256(left).hexdigest(), left if keep_text else None
+    return n, int(n - keep.sum()), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if keep_text else None
 
 
 def _unmark(marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -169,7 +169,7 @@ def _in_order(scheme: Scheme) -> Callable:
     return run
 
 
-_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("tx", pa.int32()), ("packed", pa.binary()), ("sure", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("s", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.binary())])
+_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("tx", pa.int32()), ("packed", pa.binary()), ("sure", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("s", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.string())])
 
 
 def _batch(frame) -> pa.RecordBatch:
@@ -196,7 +196,7 @@ def _finish(scheme: Scheme, keep_text: bool) -> Callable:
     return run
 
 
-_DONE = pa.schema([("id", pa.int64()), ("tx", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.binary())])
+_DONE = pa.schema([("id", pa.int64()), ("tx", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.string())])
 
 
 def remove_repeats(docs: DataFrame, scheme: Scheme, records: DataFrame | None = None, keep_text: bool = False) -> DataFrame:

@@ -123,7 +123,7 @@ def remove_repeated_words(docs: DataFrame, params: AnchorParams = AnchorParams()
     """Cut from each text every word covered by a `width`-word window that also starts in a text of smaller doc_id.
 
     docs: doc_id, text; other columns are ignored. Returns one row for each row: doc_id, n_words, n_removed,
-    kept_sha256 (the kept words joined by one space), and with keep_text also kept (binary) and tx.
+    kept_sha256 (the kept words joined by one space), and with keep_text also kept (what is left as text, without bytes of characters cut in two) and tx.
     A null text or one without words has none. A null doc_id counts as smaller than all others. Rows of one
     doc_id don't remove each other's words. An empty table gives an empty result.
 

@@ -103,7 +103,7 @@ def remove_repeated_bytes(docs: DataFrame, params: ParseParams = ParseParams(),
     """Cut from each text every byte covered by a `width`-byte string that also starts anywhere else.
 
     docs: doc_id, text; other columns are ignored. Returns one row for each row: doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256, and with keep_text also kept (binary) and tx (a hash of the text, to join by).
+    n_spans, kept_sha256, and with keep_text also kept (what is left as text, without bytes of characters cut in two) and tx (a hash of the text, to join by).
     A null or empty text has no bytes. Rows repeated in full are texts of their own, so they remove each
     other. Null doc_ids come back null. An empty table gives an empty result. A text may have up to 512 MB.
 
