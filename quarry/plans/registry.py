@@ -1,15 +1,7 @@
 """All registered queries of the library and their SQL."""
 
-from collections.abc import Callable
+from quarry.plans import retrieval
 
-
-def FLAGSHIP(spark, sf_dir):
-    return queries()["hybrid_search_topk"](spark, sf_dir)
-
-
-def queries() -> dict[str, Callable]:
-    return {}
-
-
-def oracle_sql() -> dict[str, str]:
-    return {}
+FLAGSHIP = retrieval.hybrid_search_topk
+queries = retrieval.queries
+oracle_sql = retrieval.oracle_sql
