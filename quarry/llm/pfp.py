@@ -45,6 +45,8 @@ def parse(data: np.ndarray, offs: np.ndarray, triggers: np.ndarray, window: int)
 
 def corpus_order(data: np.ndarray, offs: np.ndarray, triggers: np.ndarray, window: int, starts: np.ndarray) -> np.ndarray:
     """starts in the order of their suffixes (each up to the end of its text)."""
+    if not len(starts):
+        return starts
     begin, end, text = parse(data, offs, triggers, window)
     # dictionary: one copy of each distinct phrase, told apart by its bytes
     raw = data.tobytes()
@@ -70,6 +72,8 @@ def corpus_order(data: np.ndarray, offs: np.ndarray, triggers: np.ndarray, windo
 
 def repeated(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
     """Those starts, given in order, whose next `width` bytes equal a neighbour's."""
+    if not len(order):
+        return order
     same = np.zeros(len(order) + 1, bool)
     lanes = np.lib.stride_tricks.sliding_window_view(data, width)
     for i in range(0, len(order) - 1, 8192):

@@ -23,7 +23,8 @@ class NetParams(NamedTuple):
     #: labelled rows learnt from, for each label, and bytes taken from one of them
     sample: int = 1000
     sample_bytes: int = 1536
-    epochs: int = 8
+    #: steps of training, however many rows there are, and rows in a step
+    steps: int = 320
     batch: int = 64
     rate: float = 0.01
     seed: int = 7
@@ -125,23 +126,22 @@ def train(good: list[bytes], bad: list[bytes], p: NetParams) -> Net:
     y = np.array([1.0] * len(good) + [0.0] * len(bad))
     weight = np.where(y == 1, len(texts) / 2 / len(good), len(texts) / 2 / len(bad))
     m, v = [np.zeros_like(a) for a in net], [np.zeros_like(a) for a in net]
-    step = 0
-    for epoch in range(p.epochs):
-        order = rng.permutation(len(texts))
-        rate = p.rate * (1 - epoch / p.epochs)
-        for i in range(0, len(order), p.batch):
-            pick = order[i : i + p.batch]
-            cut = []
-            for t in (texts[j] for j in pick):
-                a = int(rng.integers(0, max(1, len(t) - p.sample_bytes + 1)))
-                cut.append(t[a : a + p.sample_bytes])
-            step += 1
-            moved = []
-            for k, g in enumerate(gradients(net, cut, y[pick], weight[pick], p)):
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                moved.append((net[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
-            net = Net(*moved)
+    order = np.zeros(0, np.int64)
+    for step in range(1, p.steps + 1):
+        while len(order) < p.batch:
+            order = np.concatenate((order, rng.permutation(len(texts))))
+        pick, order = order[: p.batch], order[p.batch :]
+        rate = p.rate * (1 - step / (p.steps + 1))
+        cut = []
+        for t in (texts[j] for j in pick):
+            a = int(rng.integers(0, max(1, len(t) - p.sample_bytes + 1)))
+            cut.append(t[a : a + p.sample_bytes])
+        moved = []
+        for k, g in enumerate(gradients(net, cut, y[pick], weight[pick], p)):
+            m[k] = 0.9 * m[k] + 0.1 * g
+            v[k] = 0.999 * v[k] + 0.001 * g * g
+            moved.append((net[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
+        net = Net(*moved)
     return net
 
 
