@@ -48,3 +48,15 @@ def displaced(turns: DataFrame, injections: DataFrame, within_ms: int = 20_000)
     near = t.join(i, ["session_id", "bin"]).where(F.abs(F.col("ts") - F.col("injected_ts")) <= within_ms)
     best = near.groupBy("session_id", "turn_id").agg(F.max("injected_ts").alias("injected_ts"))
     return turns.join(best, ["session_id", "turn_id"], "left")
+
+
+def entity_staleness(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(entity, id, stale) of docs (id, text, created) that contain an entity in any case: the freshest is not stale, ties to the lower id. entities are few."""
+    hit = docs.crossJoin(F.broadcast(entities)).where(F.contains(F.lower("text"), F.lower("entity")))
+    w = Window.partitionBy("entity").orderBy(F.desc("created"), "id")
+    return hit.select("entity", "id", (F.row_number().over(w) > 1).alias("stale"))
+
+
+def displacement(turns: DataFrame) -> DataFrame:
+    """Turns, mean and median discovery calls with and without an injection (turns has injected_ts and calls)."""
+    return turns.groupBy(F.col("injected_ts").isNotNull().alias("injected")).agg(F.count("*").alias("turns"), F.avg("calls").alias("mean"), F.percentile("calls", 0.5).alias("median"))

@@ -251,3 +251,82 @@ def near_in_use(spark, d):
 @query(f"WITH {X.OBS} SELECT id, {TOTAL} AS total, is_anchored OR from_drill > 0 AS protected FROM obs")
 def protected(spark, d):
     return X.observations(spark, d).select("id", (F.col("from_auto") + F.col("from_search") + F.col("from_drill")).alias("total"), (F.col("is_anchored") | (F.col("from_drill") > 0)).alias("protected"))
+
+
+@query()
+def dedup_pass(spark, d):
+    from quarry.operators import passes
+
+    return passes.dedup_merges(X.observations(spark, d), _vectors(spark, d), 0.3, -1.0)
+
+
+@query(f"""WITH {X.OBS}, {VEC}, v AS (SELECT id, project_id, branch, created, v, regexp_extract(title, ' v1\\.([0-9]+)\\.', 1) AS mi, regexp_extract(title, ' v1\\.[0-9]+\\.([0-9]+)', 1) AS pa, regexp_replace(title, ' v1\\.[0-9]+\\.[0-9]+', '') AS entity FROM ov),
+t AS (SELECT * REPLACE (mi::BIGINT AS mi, pa::BIGINT AS pa) FROM v WHERE mi <> ''), h AS (SELECT *, first(id) OVER w AS hid, first(mi) OVER w AS hm, first(pa) OVER w AS hp, first(created) OVER w AS hc FROM t WINDOW w AS (PARTITION BY project_id, branch, entity ORDER BY mi DESC, pa DESC, id))
+SELECT h.id, hid AS superseded_by FROM h JOIN ov o ON o.id = hid WHERE (mi, pa) < (hm, hp) AND h.created <= hc AND list_cosine_similarity(h.v, o.v) >= -0.05""")
+def supersede_pass(spark, d):
+    from quarry.operators import passes
+
+    return passes.supersessions(X.observations(spark, d), _vectors(spark, d), -0.05)
+
+
+@query()
+def collapsed_titles(spark, d):
+    from quarry.operators import passes
+
+    return passes.collapsed(X.observations(spark, d), 0.3)
+
+
+@query()
+def injected_context(spark, d):
+    from quarry.operators import passes
+
+    docs, o = X.chunks(spark, d).withColumn("channel", F.when(F.col("id") % 2 == 0, "observation").otherwise("memory")), X.observations(spark, d)
+    hits = passes.injected(docs, X.vectors(spark, d), X.asked(spark, d), o, X.NOW)
+    return hits.select("query_id", "id", "rank", r6(F.col("score")).alias("score"))
+
+
+@query()
+def search_by_channel(spark, d):
+    from quarry.operators import passes
+
+    return passes.search_channel(X.chunks(spark, d), X.vectors(spark, d), X.asked(spark, d), "en").select("query_id", "id", "rank")
+
+
+@query()
+def profile_results(spark, d):
+    from quarry.operators import passes
+
+    return passes.by_profile(X.chunks(spark, d), X.vectors(spark, d), X.asked(spark, d)).select("profile", "query_id", "id", "rank")
+
+
+@query("WITH c AS (SELECT 'd' || doc_id AS p, sha256(text) AS sha FROM documents WHERE doc_id % 5 <> 0), k AS (SELECT 'd' || doc_id AS p, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 7 <> 0) SELECT coalesce(c.p, k.p) AS source_path, CASE WHEN k.p IS NULL THEN 'added' WHEN c.p IS NULL THEN 'removed' ELSE 'changed' END AS change FROM c FULL JOIN k ON c.p = k.p WHERE c.sha IS DISTINCT FROM k.sha")
+def file_changes(spark, d):
+    from quarry.sources import files
+
+    f = X.table(spark, d, "documents").select("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("source_path"), F.sha2("text", 256).alias("sha"))
+    known = f.where("doc_id % 7 <> 0").withColumn("sha", F.when(F.col("doc_id") % 3 == 0, "old").otherwise(F.col("sha")))
+    return files.changes(f.where("doc_id % 5 <> 0"), known)
+
+
+@query("WITH n AS (SELECT unnest(['license', 'the', 'und']) AS entity), h AS (SELECT entity, doc_id AS id, row_number() OVER (PARTITION BY entity ORDER BY n_chars DESC, doc_id) AS r FROM documents, n WHERE contains(lower(text), entity)) SELECT entity, id, r > 1 AS stale FROM h")
+def entity_staleness(spark, d):
+    from quarry.operators import evaluation
+
+    docs = X.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.col("n_chars").alias("created"))
+    return evaluation.entity_staleness(docs, spark.createDataFrame([("license",), ("the",), ("und",)], "entity string"))
+
+
+@query(f"WITH {X.EVENTS}, t AS (SELECT user_id, k, src = 'search' AS injected FROM e WHERE src IS NOT NULL) SELECT injected, count(*) AS turns, round(avg(k), 6) AS mean, quantile_cont(k, 0.5)::DOUBLE AS median FROM t GROUP BY 1")
+def displacement_report(spark, d):
+    from quarry.operators import evaluation
+
+    e = X.events(spark, d).where("src is not null").select(F.when(F.col("src") == "search", F.col("t")).alias("injected_ts"), F.col("k").alias("calls"))
+    return evaluation.displacement(e).withColumn("mean", r6(F.col("mean")))
+
+
+@query("WITH p AS (SELECT page_id AS id, unnest(['request', 'learned', 'notes']) AS field, unnest([url, CASE WHEN page_id % 2 = 0 THEN 'x' ELSE '' END, trim(' n ')]) AS text FROM pages) SELECT * FROM p WHERE text <> ''")
+def summary_chunks(spark, d):
+    from quarry.sources import files
+
+    p = X.table(spark, d, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("request"), F.lit(None).cast("string").alias("investigated"), F.when(F.col("page_id") % 2 == 0, "x").otherwise("").alias("learned"), F.lit("  ").alias("completed"), F.lit(None).cast("string").alias("next_steps"), F.lit(" n ").alias("notes"))
+    return files.summary_chunks(p)

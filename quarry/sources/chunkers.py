@@ -10,7 +10,7 @@ from quarry.functions import text as T
 
 
 def markdown(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    """(source_path, sha, mtime, tool, text) of whole files."""
+    """(source_path, sha, mtime, tool, text) of whole files. Spark lists no hidden folders below path, so give those as paths."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     return f.select(F.col("path").alias("source_path"), F.sha2("content", 256).alias("sha"), F.unix_seconds("modificationTime").alias("mtime"), T.tool_of(F.col("path")).alias("tool"), F.regexp_replace(F.col("content").cast("string"), "\r\n", "\n").alias("text"))
 
