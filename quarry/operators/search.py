@@ -36,6 +36,16 @@ LEGACY = RankProfile(fusion="rrf", temporal=False, rare_weight=1.0, superseded_w
 K1, B = 1.2, 0.75
 
 
+#: rows that go to every task at most; more take turns
+BLOCK = 2000
+
+
+def in_blocks(df: DataFrame, key: str, most: int = BLOCK) -> list[DataFrame]:
+    """df in parts of about `most` rows, so that each may be broadcast."""
+    parts = -(-df.count() // most)
+    return [df] if parts <= 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
+
 def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query. Spark keeps k of each task and query before it shuffles (window group limit)."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
@@ -72,9 +82,11 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """Exact nearest vectors by L2; score is the cosine moved to 0..1. queries are few and go to every task."""
-    pairs = vectors.select("id", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q"))))
-    far = pairs.select("query_id", "id", V.l2(F.col("vector"), F.col("q")).alias("distance"))
+    """Exact nearest vectors by L2; score is the cosine moved to 0..1. Queries meet all vectors in blocks that go to every task."""
+    far = None
+    for block in in_blocks(queries.select("query_id", F.col("vector").alias("q")), "query_id"):
+        pairs = vectors.select("id", "vector").crossJoin(F.broadcast(block)).select("query_id", "id", V.l2(F.col("vector"), F.col("q")).alias("distance"))
+        far = pairs if far is None else far.unionByName(pairs)
     return _top(far, k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank", "distance", V.similarity_of_distance(F.col("distance")).alias("score"))
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
+from quarry.operators.search import in_blocks
 from quarry.operators.similarity import may_merge
 
 
@@ -100,8 +101,11 @@ def write_targets(new: DataFrame, known: DataFrame, least: float = 0.85) -> Data
     1 - distance of `least`, else create. known (id, file, vector) is joined by name; the rest meets it in blocks of the new ones."""
     by_name = new.select("id", "file").join(known.select(F.col("id").alias("same_id"), "file"), "file").groupBy("id").agg(F.min("same_id").alias("same_id"))
     rest = new.join(by_name, "id", "left_anti").select("id", F.col("vector").alias("v"))
-    far = known.select(F.col("id").alias("near_id"), "vector").crossJoin(F.broadcast(rest)).withColumn("sim", F.round(1 - V.l2(F.col("vector"), F.col("v")), 9))
-    near = far.where(F.col("sim") >= least).groupBy("id").agg(F.max(F.struct("sim", (-F.col("near_id")).alias("neg"))).alias("m")).select("id", (-F.col("m.neg")).alias("near_id"))
+    near = None
+    for block in in_blocks(rest, "id"):
+        far = known.select(F.col("id").alias("near_id"), "vector").crossJoin(F.broadcast(block)).select("id", "near_id", F.round(1 - V.l2(F.col("vector"), F.col("v")), 9).alias("sim"))
+        near = far if near is None else near.unionByName(far)
+    near = near.where(F.col("sim") >= least).groupBy("id").agg(F.max(F.struct("sim", (-F.col("near_id")).alias("neg"))).alias("m")).select("id", (-F.col("m.neg")).alias("near_id"))
     j = new.select("id").join(by_name, "id", "left").join(near, "id", "left")
     target = F.coalesce("same_id", "near_id")
     return j.select("id", F.when(target.isNull(), "create").otherwise("update").alias("action"), target.alias("target_id"))

@@ -133,3 +133,11 @@ def test_streams(spark, tmp_path):
     ingest.observations_to(ingest.event_stream(spark, str(src)), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out")).collect()
     assert [(r["tool_name"], r["events"], r["files"]) for r in got] == [("t", 2, ["x", "y"])]
+
+
+def test_blocks_give_the_same(spark, monkeypatch):
+    v = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(9)], "id long, vector array<double>")
+    q = v.limit(5).withColumnRenamed("id", "query_id")
+    want = {tuple(r)[:3] for r in H.knn(v, q, 2).collect()}
+    monkeypatch.setattr(H.in_blocks, "__defaults__", (2,))
+    assert {tuple(r)[:3] for r in H.knn(v, q, 2).collect()} == want
