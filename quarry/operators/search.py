@@ -66,13 +66,11 @@ def corpus_size(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     """Okapi BM25 (k1 1.2, b 0.75) of distinct query terms, idf floored at 1e-6; ties by id.
 
-    Only postings of the queries' terms are made, so document text is read once and its terms aren't shuffled.
+    Only postings of the queries' terms, a set that goes to every task, are kept, so text is read once and other terms aren't shuffled.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
-    asked = F.broadcast(wanted.select(F.collect_set("term").alias("asked")))
-    terms = docs.select("id", T.tokens("text").alias("terms")).withColumn("dl", F.size("terms"))
-    hit = terms.crossJoin(asked).select("id", "dl", F.explode(F.filter("terms", lambda t: F.array_contains("asked", t))).alias("term"))
-    post = hit.groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    terms = docs.select("id", T.tokens("text").alias("terms")).select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
+    post = terms.join(F.broadcast(wanted.select("term").distinct()), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     scored = post.join(F.broadcast(df.crossJoin(corpus_size(docs))), "term").join(F.broadcast(wanted), "term")
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))

@@ -63,9 +63,9 @@ def coerced_types(spark, d):
     return X.observations(spark, d).select("id", F.when(F.col("type").isin("bugfix", "feature", "refactor", "discovery", "decision"), F.col("type")).otherwise("change").alias("type"))
 
 
-@query(f"WITH {X.OBS} SELECT id, tide_state AS was, CASE WHEN tide_state IN ('dormant', 'archived') THEN 'active' ELSE tide_state END AS tide_state FROM obs WHERE id % 2 = 0")
+@query(f"WITH {X.OBS} SELECT id, tide_state AS was, CASE WHEN tide_state IN ('dormant', 'archived') THEN 'active' ELSE tide_state END AS tide_state FROM obs")
 def restored(spark, d):
-    o = X.observations(spark, d).where("id % 2 = 0")
+    o = X.observations(spark, d)
     return o.select("id", F.col("tide_state").alias("was"), F.when(F.col("tide_state").isin("dormant", "archived"), "active").otherwise(F.col("tide_state")).alias("tide_state"))
 
 
@@ -151,14 +151,14 @@ def semantic_overlap(spark, d):
     return G.semantic_overlaps(X.observations(spark, d).withColumn("repo_root", F.col("project_id")), _vectors(spark, d), 0.25)
 
 
-@query("""WITH n AS (SELECT vec_id AS id, 'f' || vec_id AS file, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 20), k AS (SELECT vec_id AS id, 'f' || (vec_id - 490) AS file, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id >= 20),
+@query("""WITH n AS (SELECT vec_id AS id, 'f' || vec_id AS file, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), k AS (SELECT vec_id AS id, 'f' || (vec_id - 101) AS file, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 <> 0),
 s AS (SELECT n.id, min(k.id) AS same_id FROM n JOIN k USING (file) GROUP BY 1),
 c AS (SELECT n.id, arg_max(k.id, (round(1 - list_distance(n.v, k.v), 9), -k.id)) AS near_id FROM n, k WHERE 1 - list_distance(n.v, k.v) >= -0.1 AND n.id NOT IN (SELECT id FROM s) GROUP BY 1)
 SELECT n.id, CASE WHEN same_id IS NULL AND near_id IS NULL THEN 'create' ELSE 'update' END AS action, coalesce(same_id, near_id) AS target_id FROM n LEFT JOIN s USING (id) LEFT JOIN c USING (id)""")
 def memory_targets(spark, d):
     v = _vectors(spark, d)
-    new = v.where("id < 20").withColumn("file", F.concat(F.lit("f"), F.col("id").cast("string")))
-    known = v.where("id >= 20").withColumn("file", F.concat(F.lit("f"), (F.col("id") - 490).cast("string")))
+    new = v.where("id % 20 = 0").withColumn("file", F.concat(F.lit("f"), F.col("id").cast("string")))
+    known = v.where("id % 20 <> 0").withColumn("file", F.concat(F.lit("f"), (F.col("id") - 101).cast("string")))
     return G.write_targets(new, known, -0.1)
 
 
@@ -235,7 +235,7 @@ def split_chunks(spark, d):
 def envelopes(spark, d):
     from pyspark.sql import Window
 
-    h = X.chunks(spark, d).where("id < 60").select((F.col("id") % 5).alias("query_id"), F.element_at(F.array(*map(F.lit, C.CHANNELS)), (F.col("id") % 4 + 1).cast("int")).alias("channel"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("title"), F.col("text").alias("snippet"), (1.0 / (1 + F.col("id"))).alias("score"), "id")
+    h = X.chunks(spark, d).select(F.floor(F.col("id") / 12).alias("query_id"), F.element_at(F.array(*map(F.lit, C.CHANNELS)), (F.col("id") % 4 + 1).cast("int")).alias("channel"), F.concat(F.lit("doc "), F.col("id").cast("string")).alias("title"), F.col("text").alias("snippet"), (1.0 / (1 + F.col("id"))).alias("score"), "id")
     h = h.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"))))
     return C.envelopes(h)
 
@@ -281,7 +281,7 @@ def injected_context(spark, d):
     from quarry.operators import passes
 
     docs, o = X.chunks(spark, d).withColumn("channel", F.when(F.col("id") % 2 == 0, "observation").otherwise("memory")), X.observations(spark, d)
-    hits = passes.injected(docs, X.vectors(spark, d), X.asked(spark, d), o, X.NOW)
+    hits = passes.injected(docs, X.vectors(spark, d), X.asked_twice(spark, d), o, X.NOW)
     return hits.select("query_id", "id", "rank", r6(F.col("score")).alias("score"))
 
 
@@ -289,14 +289,14 @@ def injected_context(spark, d):
 def search_by_channel(spark, d):
     from quarry.operators import passes
 
-    return passes.search_channel(X.chunks(spark, d), X.vectors(spark, d), X.asked(spark, d), "en").select("query_id", "id", "rank")
+    return passes.search_channel(X.chunks(spark, d), X.vectors(spark, d), X.asked_twice(spark, d), "en").select("query_id", "id", "rank")
 
 
 @query()
 def profile_results(spark, d):
     from quarry.operators import passes
 
-    return passes.by_profile(X.chunks(spark, d), X.vectors(spark, d), X.asked(spark, d)).select("profile", "query_id", "id", "rank")
+    return passes.by_profile(X.chunks(spark, d), X.vectors(spark, d), X.asked_twice(spark, d)).select("profile", "query_id", "id", "rank")
 
 
 @query("WITH c AS (SELECT 'd' || doc_id AS p, sha256(text) AS sha FROM documents WHERE doc_id % 5 <> 0), k AS (SELECT 'd' || doc_id AS p, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE sha256(text) END AS sha FROM documents WHERE doc_id % 7 <> 0) SELECT coalesce(c.p, k.p) AS source_path, CASE WHEN k.p IS NULL THEN 'added' WHEN c.p IS NULL THEN 'removed' ELSE 'changed' END AS change FROM c FULL JOIN k ON c.p = k.p WHERE c.sha IS DISTINCT FROM k.sha")

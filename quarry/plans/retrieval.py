@@ -24,14 +24,14 @@ vec AS (SELECT query_id, id, distance, greatest(0.0, least(1.0, 1 - distance * d
 WEIGHTED = """kn AS (SELECT *, CASE WHEN max(score) OVER v = min(score) OVER v THEN 1.0 ELSE (score - min(score) OVER v) / (max(score) OVER v - min(score) OVER v) END AS k FROM kw WINDOW v AS (PARTITION BY query_id)),
 fused AS (SELECT coalesce(vec.query_id, kn.query_id) AS query_id, coalesce(vec.id, kn.id) AS id, CASE WHEN k IS NULL THEN vec.score WHEN vec.score IS NULL THEN k ELSE 0.7 * vec.score + 0.3 * k END AS score,
   CASE WHEN vec.rank IS NULL THEN 1 ELSE 0 END AS leg, coalesce(vec.rank, kn.rank) AS lr FROM vec FULL JOIN kn ON vec.query_id = kn.query_id AND vec.id = kn.id)"""
-LEGS = f"{X.ASKED}, {BM25}, {KNN}"
+LEGS = f"{X.ASKED_TWICE}, {BM25}, {KNN}"
 RARE = """x AS (SELECT query_id, query, list_filter(list_distinct(list_transform(string_split_regex(query, '\\s+'), lambda z: regexp_replace(z, '[,;:!?)\\]}''"]+$', ''))), lambda z: len(z) >= 4 AND regexp_matches(z, '^[\\p{L}\\p{N}]+$') AND lower(z) NOT IN ('with', 'what', 'which', 'this', 'that', 'from', 'your', 'about', 'does', 'when', 'where', 'into', 'over', 'than', 'then', 'they', 'them', 'version', 'latest', 'current', 'release')) AS rare,
   list_filter(list_transform(string_split_regex(query, '\\s+'), lambda z: regexp_replace(z, '[,;:!?)\\]}''"]+$', '')), lambda z: len(z) > 0 AND regexp_matches(z, '[_./]|[a-z][a-zA-Z]*[A-Z]')) AS ident FROM q)"""
 BOOSTS = "least(2.0, 1.0 + 0.3 * len(list_filter(ident, lambda z: contains(coalesce(text, ''), z)))) * CASE WHEN len(list_filter(rare, lambda z: contains(coalesce(text, ''), z))) > 0 THEN 1.15 ELSE 1.0 END"
 
 
 def _legs(spark, d):
-    q = X.asked(spark, d)
+    q = X.asked_twice(spark, d)
     return H.knn(X.vectors(spark, d), q), H.bm25(X.chunks(spark, d), q)
 
 
@@ -40,14 +40,14 @@ def bm25_topk(spark, d):
     return H.bm25(X.chunks(spark, d), X.asked(spark, d)).withColumn("score", r6(F.col("score")))
 
 
-@query(f"WITH {X.ASKED}, {KNN} SELECT query_id, id, rank, round(distance, 6) AS distance, round(score, 6) AS score FROM vec")
+@query(f"WITH {X.ASKED_TWICE}, {KNN} SELECT query_id, id, rank, round(distance, 6) AS distance, round(score, 6) AS score FROM vec")
 def knn_l2_topk(spark, d):
-    return H.knn(X.vectors(spark, d), X.asked(spark, d)).withColumns({"distance": r6(F.col("distance")), "score": r6(F.col("score"))})
+    return H.knn(X.vectors(spark, d), X.asked_twice(spark, d)).withColumns({"distance": r6(F.col("distance")), "score": r6(F.col("score"))})
 
 
-@query(f"WITH {X.ASKED}, c AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS c FROM embeddings, q) SELECT query_id, id, round(c, 6) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, id) <= 10")
+@query(f"WITH {X.ASKED_TWICE}, c AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS c FROM embeddings, q) SELECT query_id, id, round(c, 6) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, id) <= 10")
 def knn_cosine_topk(spark, d):
-    q = X.asked(spark, d).select("query_id", F.col("vector").alias("q"))
+    q = X.asked_twice(spark, d).select("query_id", F.col("vector").alias("q"))
     pairs = X.vectors(spark, d).crossJoin(F.broadcast(q)).select("query_id", "id", V.cosine(F.col("vector"), F.col("q")).alias("cosine"))
     return H._top(pairs, 10, F.round("cosine", 9).desc(), F.col("id")).select("query_id", "id", r6(F.col("cosine")).alias("cosine"))
 
@@ -64,7 +64,7 @@ def rrf_fusion(spark, d):
 
 @query(f"WITH {LEGS}, {WEIGHTED}, {RARE}, z AS (SELECT f.query_id, f.id, leg, lr, score * {BOOSTS} AS score FROM fused f JOIN x USING (query_id) LEFT JOIN documents ON doc_id = f.id) SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, leg, lr, id) AS rank, round(score, 6) AS score FROM z QUALIFY rank <= 10")
 def hybrid_search_topk(spark, d):
-    return H.hybrid(X.chunks(spark, d), X.vectors(spark, d), X.asked(spark, d)).withColumn("score", r6(F.col("score")))
+    return H.hybrid(X.chunks(spark, d), X.vectors(spark, d), X.asked_twice(spark, d)).withColumn("score", r6(F.col("score")))
 
 
 @query("WITH i AS (SELECT doc_id AS id, text, 'see src/app.py or fooBar and of_the' AS query FROM documents) SELECT id, least(2.0, 1.0 + 0.3 * (contains(text, 'src/app.py')::INT + contains(text, 'fooBar')::INT + contains(text, 'of_the')::INT))::DOUBLE AS boost FROM i")
@@ -109,12 +109,12 @@ def drop_archived(spark, d):
     return H.without(_hits(spark, d), X.observations(spark, d).where("archived")).select("query_id", "id")
 
 
-CENT = "c AS (SELECT vec_id AS cluster_id, embedding::DOUBLE[] AS centroid, 1 AS hits FROM embeddings WHERE vec_id < 8)"
+CENT = "c AS (SELECT vec_id AS cluster_id, embedding::DOUBLE[] AS centroid, 1 AS hits FROM embeddings ORDER BY vec_id LIMIT 8)"
 NEAREST = "a AS (SELECT vec_id AS id, embedding::DOUBLE[] AS v, arg_max(cluster_id, (round(list_cosine_similarity(embedding::DOUBLE[], centroid), 9), -cluster_id)) AS cluster_id FROM embeddings, c GROUP BY ALL)"
 
 
 def _centroids(spark, d):
-    return X.vectors(spark, d).where("id < 8").select(F.col("id").alias("cluster_id"), F.col("vector").cast("array<double>").alias("centroid"), F.lit(1).cast("long").alias("hits"))
+    return X.vectors(spark, d).orderBy("id").limit(8).select(F.col("id").alias("cluster_id"), F.col("vector").cast("array<double>").alias("centroid"), F.lit(1).cast("long").alias("hits"))
 
 
 @query(f"WITH {CENT}, {NEAREST} SELECT id, cluster_id FROM a")
@@ -135,13 +135,13 @@ def minibatch_update(spark, d):
     return u.select("cluster_id", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", (F.col("pos") + 1).alias("pos"), r6(F.col("x")).alias("x"))
 
 
-@query(f"""WITH {X.ASKED}, {CENT}, {NEAREST}, n AS (SELECT query_id, qv, cluster_id FROM q, c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv::DOUBLE[], centroid), 9) DESC, cluster_id) <= 3),
+@query(f"""WITH {X.ASKED_TWICE}, {CENT}, {NEAREST}, n AS (SELECT query_id, qv, cluster_id FROM q, c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv::DOUBLE[], centroid), 9) DESC, cluster_id) <= 3),
 x AS (SELECT query_id, id, list_distance(v, qv::DOUBLE[]) AS distance FROM n JOIN (SELECT id, v, CASE WHEN id % 10 = 0 THEN -1 ELSE cluster_id END AS cluster_id FROM a) USING (cluster_id) UNION ALL SELECT query_id, id, list_distance(v, qv::DOUBLE[]) FROM q, a WHERE id % 10 = 0)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank, round(distance, 6) AS distance FROM x QUALIFY rank <= 10""")
 def ivf_probe(spark, d):
     c = _centroids(spark, d)
     ivf = I.assigned(X.vectors(spark, d), c).withColumn("cluster_id", F.when(F.col("id") % 10 == 0, -1).otherwise(F.col("cluster_id")))
-    return I.probed(ivf, c, X.asked(spark, d), k=10, probes=3).withColumn("distance", r6(F.col("distance")))
+    return I.probed(ivf, c, X.asked_twice(spark, d), k=10, probes=3).withColumn("distance", r6(F.col("distance")))
 
 
 GRADED = "g AS (SELECT 'v' || (doc_id % 2) AS profile, doc_id // 20 AS query_id, doc_id AS id, quality + toxic + doc_id % 2 AS grade, doc_id * 7919 % 10007 AS created FROM labels), r AS (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY created, id) AS rank FROM g)"

@@ -82,12 +82,18 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Five queries: the first four words of benchmark items, each with the vector of the same number."""
-    q = table(spark, sf_dir, "benchmark").where("item_id < 5").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("query"))
-    return q.join(vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "vector"), "query_id")
+    """The keyword queries: whole texts of all benchmark items."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-ASKED = "q AS (SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS query, embedding AS qv FROM benchmark JOIN embeddings ON vec_id = item_id WHERE item_id < 5)"
+def asked_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries with vectors: every vector whose id is divisible by 20, with the benchmark item of its number among these."""
+    v = vectors(spark, sf_dir).where("id % 20 = 0").select((F.col("id") / 20).cast("long").alias("query_id"), "vector")
+    return asked(spark, sf_dir).join(v, "query_id", "right").withColumn("query", F.coalesce("query", F.lit("")))
+
+
+ASKED = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
+ASKED_TWICE = "q AS (SELECT vec_id // 20 AS query_id, coalesce(text, '') AS query, embedding AS qv FROM embeddings LEFT JOIN benchmark ON item_id = vec_id // 20 WHERE vec_id % 20 = 0)"
 
 
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
