@@ -32,13 +32,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of strings that repeat; bytes of a character cut in two go, and so do documents with nothing left."""
-    done = suffix_dedup.remove_repeated_bytes(docs, keep_text=True)
-    done = done.where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), "tx", "kept").dropDuplicates(["cut_id", "tx"])
-    keyed = docs.select(*COLUMNS).withColumn("own", F.hash("text"))
-    both = keyed.join(done, F.col("doc_id").eqNullSafe(F.col("cut_id")) & (F.col("own") == F.col("tx")), "left")
-    text = F.coalesce("kept", "text")
-    both = both.withColumn("text", text).withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return both.where("kept is null or length(text) > 0").select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("none", F.col("text").isNull())
+    done = suffix_dedup.remove_repeated_bytes(docs, keep_text=True, carry=("lang", "source", "n_chars", "none"))
+    done = done.where("n_removed = 0 or length(kept) > 0")
+    text = F.when(~F.col("none"), F.col("kept"))
+    chars = F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col("n_chars"))
+    return done.select("doc_id", text.alias("text"), "lang", "source", chars.alias("n_chars"))
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

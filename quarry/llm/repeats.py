@@ -24,8 +24,8 @@ from quarry.llm.scratch import land
 
 #: ref: a reference block for first_stays; otherwise false for a block already known to repeat, whose k is its own
 RECORDS = "id long, tx int, s0 int, s1 int, ref boolean, k long, u long"
-FOUND = "kind int, id long, tx int, packed binary, sure binary, w1 long, w2 long, s int, n_units long, n_removed long, n_spans long, sha string, kept string"
-RESULT = "id long, tx int, n_units long, n_removed long, n_spans long, sha string, kept string"
+FOUND = "kind int, id long, tx int, packed binary, sure binary, w1 long, w2 long, s int, n_units long, n_removed long, n_spans long, sha string, kept string, rest string"
+RESULT = "id long, tx int, n_units long, n_removed long, n_spans long, sha string, kept string, rest string"
 #: what becomes of a block: its windows repeat, are compared by hash, or are compared in corpus order
 SURE, BY_HASH, IN_ORDER = 1, 2, 3
 #: edges of repeats that share a core and are compared in one task; groups with more go by hash
@@ -101,7 +101,7 @@ def _look(scheme: Scheme, keep_text: bool) -> Callable:
 
         pack = zstandard.ZstdCompressor(3).compress
         for batch in batches:
-            ids, tx, marks, segs = batch["id"].to_numpy(), batch["tx"].to_numpy(), batch["marks"], batch["segs"]
+            ids, tx, marks, segs, rest = batch["id"].to_numpy(), batch["tx"].to_numpy(), batch["marks"], batch["segs"], batch["rest"]
             for i, j, data, offs in K.slices(batch["text"]):
                 whole = scheme.units(data, offs)
                 rows, wins = [], []
@@ -112,10 +112,11 @@ def _look(scheme: Scheme, keep_text: bool) -> Callable:
                     s0, s1, m = _unmark(np.array(marks[d].as_py() or [], np.int64))
                     starts = np.unique(K.spread(s0[m == SURE], s1[m == SURE]))
                     row = blank | {"id": ids[d], "tx": tx[d]}
+                    doc = row | {"rest": rest[d].as_py()}
                     own = segs[d].as_py() or []
                     s = np.unique(K.spread(s0[m == BY_HASH], s1[m == BY_HASH]))
                     if len(s) or own:
-                        rows.append(row | {"kind": 1, "packed": pack(text), "sure": starts.astype(np.int32).tobytes()})
+                        rows.append(doc | {"kind": 1, "packed": pack(text), "sure": starts.astype(np.int32).tobytes()})
                         for seg in own:
                             a, b, _ = _unmark(np.array([seg["mark"]], np.int64))
                             rows.append(row | {"kind": 3, "s": int(a[0]), "w1": seg["k"], "packed": text[int(a[0]) : int(b[0]) + scheme.width]})
@@ -124,7 +125,7 @@ def _look(scheme: Scheme, keep_text: bool) -> Callable:
                             wins.append((ids[d], tx[d], K.signed(one), K.signed(two), s.astype(np.int32)))
                     else:
                         got = _result(scheme, text, n, starts, keep_text)
-                        rows.append(row | {"kind": 0} | dict(zip(("n_units", "n_removed", "n_spans", "sha", "kept"), got, strict=True)))
+                        rows.append(doc | {"kind": 0} | dict(zip(("n_units", "n_removed", "n_spans", "sha", "kept"), got, strict=True)))
                 yield _batch(pd.DataFrame(rows))
                 if wins:
                     size = [len(w[4]) for w in wins]
@@ -169,7 +170,7 @@ def _in_order(scheme: Scheme) -> Callable:
     return run
 
 
-_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("tx", pa.int32()), ("packed", pa.binary()), ("sure", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("s", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.string())])
+_ARROW = pa.schema([("kind", pa.int32()), ("id", pa.int64()), ("tx", pa.int32()), ("packed", pa.binary()), ("sure", pa.binary()), ("w1", pa.int64()), ("w2", pa.int64()), ("s", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.string()), ("rest", pa.string())])
 
 
 def _batch(frame) -> pa.RecordBatch:
@@ -186,7 +187,7 @@ def _finish(scheme: Scheme, keep_text: bool) -> Callable:
                 n = int(scheme.units(np.frombuffer(text, np.uint8), np.array([0, len(text)])).offs[-1])
                 starts = np.concatenate((np.frombuffer(r["sure"], np.int32), np.array(r["found"] or [], np.int32))).astype(np.int64)
                 got = _result(scheme, text, n, np.unique(starts), keep_text)
-                out.append({"id": r["id"], "tx": r["tx"]} | dict(zip(("n_units", "n_removed", "n_spans", "sha", "kept"), got, strict=True)))
+                out.append({"id": r["id"], "tx": r["tx"], "rest": r["rest"]} | dict(zip(("n_units", "n_removed", "n_spans", "sha", "kept"), got, strict=True)))
                 if len(out) >= 256:
                     yield pa.RecordBatch.from_pylist(out, schema=_DONE)
                     out = []
@@ -196,16 +197,16 @@ def _finish(scheme: Scheme, keep_text: bool) -> Callable:
     return run
 
 
-_DONE = pa.schema([("id", pa.int64()), ("tx", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.string())])
+_DONE = pa.schema([("id", pa.int64()), ("tx", pa.int32()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("sha", pa.string()), ("kept", pa.string()), ("rest", pa.string())])
 
 
 def remove_repeats(docs: DataFrame, scheme: Scheme, records: DataFrame | None = None, keep_text: bool = False) -> DataFrame:
-    """docs: (id long, tx int, text). Returns RESULT, one row for each row of docs.
+    """docs: keyed documents. Returns RESULT, one row for each row of docs.
 
     records: the blocks, where the operator has narrowed them down itself.
     """
     if records is None:
-        records = docs.mapInArrow(_records(scheme), RECORDS)
+        records = docs.select("id", "tx", "text").mapInArrow(_records(scheme), RECORDS)
     one, same = Window.partitionBy("k"), Window.partitionBy("k", "u")
     r = records.withColumn("me", F.struct("id", "tx", "s0"))
     if scheme.first_stays:
@@ -229,7 +230,7 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, records: DataFrame | None =
     r = r.withColumn("mark", mark)
     ordered = F.col("m") == IN_ORDER
     marks = r.groupBy("id", "tx").agg(F.collect_list(F.when(~ordered, F.col("mark"))).alias("marks"), F.collect_list(F.when(ordered, F.struct("mark", "k"))).alias("segs"))
-    seen = docs.join(marks, ["id", "tx"], "left").select("id", "tx", "text", "marks", "segs")
+    seen = docs.join(marks, ["id", "tx"], "left").select("id", "tx", "text", "rest", "marks", "segs")
     found = land(seen.mapInArrow(_look(scheme, keep_text), FOUND), "repeats")
     wins = found.where("kind = 2").select("id", "tx", "w1", "w2", "s")
     w = Window.partitionBy("w1", "w2")
@@ -238,17 +239,30 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, records: DataFrame | None =
     else:
         hit = wins.withColumn("n", F.count("*").over(w)).where("n > 1").select("id", "tx", "s")
     if scheme.in_order is not None:
-        segs = found.where("kind = 3").select("id", "tx", "w1", "s", "packed").repartition("w1").sortWithinPartitions("w1")
+        segs = found.where("kind = 3").select("id", "tx", "w1", "s", "packed")
+        # sorting suffixes is slow for its bytes, so these partitions aren't to be put together by size
+        tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        segs = segs.repartition(tasks, "w1").sortWithinPartitions("w1")
         hit = hit.union(segs.mapInArrow(_in_order(scheme), "id long, tx int, s int"))
     hit = hit.groupBy("id", "tx").agg(F.collect_list("s").alias("found"))
-    late = found.where("kind = 1").select("id", "tx", "packed", "sure").join(hit, ["id", "tx"], "left")
+    late = found.where("kind = 1").select("id", "tx", "packed", "sure", "rest").join(hit, ["id", "tx"], "left")
     cols = [f.split()[0] for f in RESULT.split(", ")]
-    return found.where("kind = 0").select(*cols).unionByName(late.select("id", "tx", "packed", "sure", "found").mapInArrow(_finish(scheme, keep_text), RESULT))
+    return found.where("kind = 0").select(*cols).unionByName(late.select("id", "tx", "packed", "sure", "rest", "found").mapInArrow(_finish(scheme, keep_text), RESULT))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """(id, tx, text): a null doc_id counts as the smallest of all; rows of one doc_id but different texts are told apart by tx."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(K.MIN_ID)).alias("id"), F.hash("text").alias("tx"), F.col("text").cast("string").alias("text"))
+def keyed(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(id, tx, text, rest): a null doc_id counts as the smallest of all; rows of one doc_id but different texts are told
+    apart by tx. rest has the columns to carry along, as JSON."""
+    rest = F.to_json(F.struct(*carry)) if carry else F.lit(None).cast("string")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(K.MIN_ID)).alias("id"), F.hash("text").alias("tx"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
+
+
+def carried(docs: DataFrame, carry: tuple[str, ...]) -> list[F.Column]:
+    """The columns of rest, with their types in docs."""
+    if not carry:
+        return []
+    parsed = F.from_json("rest", docs.select(*carry).schema)
+    return [parsed[c].alias(c) for c in carry]
 
 
 def doc_id() -> F.Column:

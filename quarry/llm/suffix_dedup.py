@@ -99,11 +99,12 @@ def _repeated(p: ParseParams):
     return run
 
 
-def remove_repeated_bytes(docs: DataFrame, params: ParseParams = ParseParams(), keep_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, params: ParseParams = ParseParams(), keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """Cut from each text every byte covered by a `width`-byte string that also starts anywhere else.
 
     docs: doc_id, text; other columns are ignored. Returns one row for each row: doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256, and with keep_text also kept (what is left as text, without bytes of characters cut in two) and tx (a hash of the text, to join by).
+    n_spans, kept_sha256, and with keep_text also kept (what is left as text, without bytes of characters cut in two) and tx (a hash of the text).
+    Columns named in carry come along, so that no join has to bring them back.
     A null or empty text has no bytes. Rows repeated in full are texts of their own, so they remove each
     other. Null doc_ids come back null. An empty table gives an empty result. A text may have up to 512 MB.
 
@@ -113,6 +114,6 @@ def remove_repeated_bytes(docs: DataFrame, params: ParseParams = ParseParams(),
     parse give the order of all suffixes, in which equal strings are neighbours.
     """
     scheme = R.Scheme(params.width, _units, _blocks(params), lambda data, keep: data[keep].tobytes(), False, _repeated(params))
-    done = R.remove_repeats(R.keyed(docs), scheme, keep_text=keep_text)
+    done = R.remove_repeats(R.keyed(docs, carry), scheme, keep_text=keep_text)
     extra = [F.col("kept"), F.col("tx")] if keep_text else []
-    return done.select(R.doc_id(), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), *extra)
+    return done.select(R.doc_id(), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), *extra, *R.carried(docs, carry))
