@@ -7,7 +7,7 @@ from quarry.llm import kernels as K
 
 def _dense(key: np.ndarray) -> np.ndarray:
     """Ranks from 1 of the values of key; equal values have equal ranks."""
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(len(key), np.int64)
     new[1:] = key[order][1:] != key[order][:-1]
     out = np.empty(len(key), np.int64)
@@ -24,8 +24,14 @@ def suffix_ranks(symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(symbols)
     if not n:
         return np.zeros(0, np.int64)
-    rank = _dense(symbols.astype(np.int64))
     here, far, longest = np.arange(n), 1, int((ends - np.arange(n)).max())
+    key = symbols.astype(np.int64)
+    top = int(key.max()) + 1
+    while top ** (far + 1) < 1 << 62 and far < longest:  # as many symbols as one key holds
+        nxt = here + far
+        key = key * top + np.where(nxt < ends, symbols[np.minimum(nxt, n - 1)], 0)
+        far += 1
+    rank = _dense(key)
     while far < longest:
         nxt = here + far
         rest = np.where(nxt < ends, rank[np.minimum(nxt, n - 1)], 0)
