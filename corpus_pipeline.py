@@ -24,10 +24,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near duplicates: five-word shingles, similarity 0.8."""
-    kept = minhash_dedup.near_duplicates(docs).where("kept").select("doc_id", "tx").distinct()
-    keyed = docs.select(*COLUMNS).withColumn("tx", F.hash("text"))
-    return keyed.join(kept.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")) & (keyed["tx"] == kept["tx"]), "left_semi").select(*COLUMNS)
+    """One row, the first, of each group of near duplicates: five-word shingles, similarity 0.8."""
+    return minhash_dedup.one_of_each(docs.select(*COLUMNS))
 
 
 def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -93,7 +93,7 @@ def _sketches(p: SketchParams):
                     key = K.mix(key * np.uint64(31) + s[:, :, r])
                 digest = [np.concatenate(([np.uint64(0)], np.cumsum(K.mix(h ^ np.uint64(seed))))) for seed in (1, 2)]
                 d1, d2 = (K.signed(c[at[1:]] - c[at[:-1]]) for c in digest)
-                yield pa.RecordBatch.from_arrays([batch["id"][i:j], batch["tx"][i:j], pa.array(np.diff(at)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in K.signed(key).astype(">i8")], pa.binary())], names=["id", "tx", "n", "d1", "d2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch["id"][i:j], batch["tx"][i:j], batch["th"][i:j], pa.array(np.diff(at)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in K.signed(key).astype(">i8")], pa.binary())], names=["id", "tx", "th", "n", "d1", "d2", "bands"])
 
     return run
 
@@ -157,6 +157,29 @@ def _verify(p: SketchParams):
     return run
 
 
+def _parts(docs: DataFrame, p: SketchParams) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(sketches of all rows, classes of equal sets, (node, id, component) of each class); a component is named by a node."""
+    keyed = R.keyed(docs).withColumn("th", F.xxhash64("text"))
+    all_ = land(keyed.mapInArrow(_sketches(p), "id long, tx int, th long, n long, d1 long, d2 long, bands binary"), "sketches")
+    classes = all_.where("n > 0").groupBy("n", "d1", "d2").agg(F.min_by(F.struct("id", "tx", "th", "bands"), F.struct("id", "tx", "th")).alias("r"))
+    # one class can have the id of another (rows of one doc_id): a node is a class
+    classes = land(classes.select("n", "d1", "d2", F.xxhash64("n", "d1", "d2").alias("node"), F.col("r.id").alias("id"), F.col("r.tx").alias("tx"), F.col("r.th").alias("th"), F.col("r.bands").alias("bands")), "classes")
+    keys = classes.select("node", "bands").mapInArrow(_band_keys, "key long, node long")
+    low = F.min("node").over(Window.partitionBy("key"))
+    coarse = connected_components(keys.withColumn("low", low).where("low <> node").select(F.col("low").alias("a"), F.col("node").alias("b")))
+    members = classes.select("node", "id", "tx", "th", "n").join(coarse.withColumnRenamed("id", "node"), "node").withColumnRenamed("component", "group")
+    size = members.groupBy("group").agg(F.ceil(F.sum("n") * 8 / (p.chunk_mb << 20)).cast("int").alias("chunks"))
+    members = members.join(size, "group").select("id", "tx", "th", "node", "group", "chunks")
+    sets = keyed.join(members, ["id", "tx", "th"]).select("group", "chunks", "node", "text").mapInArrow(_sets(p), "group long, chunks int, node long, shingles binary")
+    own = F.pmod(F.hash("node"), F.col("chunks"))
+    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    tasks = sets.withColumn("pair", F.explode(pair)).select("group", "pair.i", "pair.j", "node", "shingles")
+    links = tasks.groupBy("group", "i", "j").applyInArrow(_verify(p), "a long, b long")
+    joined = connected_components(links).withColumnRenamed("id", "node")
+    ids = classes.select("node", "id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return all_, classes, ids
+
+
 def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams()) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, and tx (a hash of the text).
 
@@ -169,27 +192,29 @@ def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams()) -> D
     groups; each group's sets are compared in full, large groups by pairs of chunks, and what was
     confirmed is joined into components.
     """
-    p = params
-    keyed = R.keyed(docs)
-    all_ = land(keyed.mapInArrow(_sketches(p), "id long, tx int, n long, d1 long, d2 long, bands binary"), "sketches")
-    classes = all_.where("n > 0").groupBy("n", "d1", "d2").agg(F.min_by(F.struct("id", "tx", "bands"), F.struct("id", "tx")).alias("r"))
-    # one class can have the id of another (rows of one doc_id): a node is a class
-    classes = land(classes.select("n", "d1", "d2", F.xxhash64("n", "d1", "d2").alias("node"), F.col("r.id").alias("id"), F.col("r.tx").alias("tx"), F.col("r.bands").alias("bands")), "classes")
-    keys = classes.select("node", "bands").mapInArrow(_band_keys, "key long, node long")
-    low = F.min("node").over(Window.partitionBy("key"))
-    coarse = connected_components(keys.withColumn("low", low).where("low <> node").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    members = classes.select("node", "id", "tx", "n").join(coarse.withColumnRenamed("id", "node"), "node").withColumnRenamed("component", "group")
-    size = members.groupBy("group").agg(F.ceil(F.sum("n") * 8 / (p.chunk_mb << 20)).cast("int").alias("chunks"))
-    members = members.join(size, "group").select("id", "tx", "node", "group", "chunks")
-    sets = keyed.join(members, ["id", "tx"]).select("group", "chunks", "node", "text").mapInArrow(_sets(p), "group long, chunks int, node long, shingles binary")
-    own = F.pmod(F.hash("node"), F.col("chunks"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    tasks = sets.withColumn("pair", F.explode(pair)).select("group", "pair.i", "pair.j", "node", "shingles")
-    links = tasks.groupBy("group", "i", "j").applyInArrow(_verify(p), "a long, b long")
-    joined = connected_components(links).withColumnRenamed("id", "node")
-    ids = classes.select("node", "id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    all_, classes, ids = _parts(docs, params)
     lows = ids.groupBy("component").agg(F.min("id").alias("low"))
     named = classes.select("n", "d1", "d2", "node").join(ids.select("node", "component"), "node").join(lows, "component").select("n", "d1", "d2", "low")
     done = all_.select("id", "tx", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     component = F.coalesce("low", "id")
     return done.select(R.doc_id(), F.col("n").alias("n_shingles"), F.when(component != F.lit(K.MIN_ID), component).alias("component_id"), (component == F.col("id")).alias("kept"), "tx")
+
+
+def one_of_each(docs: DataFrame, params: SketchParams = SketchParams()) -> DataFrame:
+    """One row of docs (doc_id, text and others), whole, for each component of near duplicates: of its rows the least by doc_id and hashes of the text.
+
+    Here a component is of texts, whatever ids they share: rows of one doc_id, or of none, that aren't near each other all stay.
+    Null, empty and blank texts stay too; of any rows repeated in full (doc_id and text) one is left.
+    """
+    all_, classes, ids = _parts(docs, params)
+    texts = all_.groupBy("n", "d1", "d2", "id", "tx", "th").agg(F.count("*").alias("copies"))
+    least = texts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "tx", "th", "copies")).alias("r"))
+    parts = classes.select("n", "d1", "d2", "node").join(ids.select("node", "component"), "node")
+    first = least.join(parts, ["n", "d1", "d2"]).groupBy("component").agg(F.min("r").alias("r")).select("r.*")
+    kept = land(first.union(texts.where("n = 0").select("id", "tx", "th", "copies")), "kept")
+    key = ["near_id", "near_tx", "near_th"]
+    rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(K.MIN_ID)).alias(key[0]), F.hash("text").alias(key[1]), F.xxhash64("text").alias(key[2]))
+    kept = kept.toDF(*key, "copies")
+    once = rows.join(kept.where("copies = 1"), key, "left_semi")
+    more = rows.join(kept.where("copies > 1"), key, "left_semi").dropDuplicates(key)
+    return once.select(*docs.columns).union(more.select(*docs.columns))
