@@ -1,41 +1,5 @@
-"""Places to cut lineage: Parquet tables in the folder that the cluster shares."""
+"""The scratch folder, see quarry.operators.scratch."""
 
-import tempfile
-import uuid
+from quarry.operators.scratch import _made, clear, land, new_path, shared_dir
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (tests), a new local one, set for the session."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = tempfile.mkdtemp(prefix="quarry-")
-        spark.conf.set("spark.checkpoint.dir", where)
-        spark.sparkContext.setCheckpointDir(where)
-    return where.rstrip("/")
-
-
-_made: list[str] = []
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
-
-
-def clear(spark: SparkSession) -> None:
-    """Delete what this driver's operators wrote so far. Results that weren't written elsewhere can't be read after it."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(conf).delete(path, True)
-
-
-def land(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and return a reader of what was written: later jobs don't repeat its work, and lost executors can't lose it."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+__all__ = ["_made", "clear", "land", "new_path", "shared_dir"]

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
+from quarry.operators.components import connected_components
+from quarry.operators.scratch import land
 
 #: fixed values: words that assert an absence
 NEGATION = (
@@ -144,25 +146,11 @@ def blended(co: Column, time: Column, semantic: Column | None = None) -> Column:
     return F.when(semantic.isNull(), F.lit(0.625) * co + F.lit(0.375) * time).otherwise(known)
 
 
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, component) of edges (a, b): smallest label by rounds of neighbour minima, each written to the checkpoint folder."""
-    spark = edges.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarry-"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    label = both.select(F.col("a").alias("id")).distinct().withColumn("component", F.col("id")).checkpoint()
-    for _ in range(rounds):
-        near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("component").alias("low"))
-        new = label.join(near, F.col("id") == F.col("a")).select("id", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        # follow the label once more: chains shorten by half
-        up = new.select(F.col("id").alias("component"), F.col("component").alias("up"))
-        new = new.join(up, "component").select("id", F.col("up").alias("component"), (F.col("moved") | (F.col("up") < F.col("component"))).alias("moved")).checkpoint()
-        label = new.select("id", "component")
-        if new.where("moved").isEmpty():
-            break
-    return label
+def components(edges: DataFrame) -> DataFrame:
+    """(id, component) of edges (a, b): the smallest id that can be reached; as many rounds as it takes, written to the scratch folder."""
+    edges = land(edges.select("a", "b"), "edges")
+    nodes = edges.select(F.col("a").alias("id")).union(edges.select("b")).distinct()
+    return nodes.join(connected_components(edges), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def dbscan(points: DataFrame, distances: DataFrame, eps: float = 0.35, least: int = 3) -> DataFrame:

@@ -141,3 +141,15 @@ def test_blocks_give_the_same(spark, monkeypatch):
     want = {tuple(r)[:3] for r in H.knn(v, q, 2).collect()}
     monkeypatch.setattr(H.in_blocks, "__defaults__", (2,))
     assert {tuple(r)[:3] for r in H.knn(v, q, 2).collect()} == want
+
+
+def test_dbscan_of_a_long_chain(spark):
+    """A chain of cores is one cluster, also where its ids grow away from the least one."""
+    n = 300
+    # 1 - a_n ... a_1 - 2, and ids of the a grow away from 2
+    path = [1, *range(2 + n, 2, -1), 2]
+    near = [(min(a, b), max(a, b), 0.1) for a, b in zip(path, path[1:])]
+    got = M.dbscan(spark.range(1, n + 3), spark.createDataFrame(near, "a long, b long, distance double"), least=2).collect()
+    assert len(got) == n + 2 and {(r["cluster"], r["is_core"]) for r in got} == {(1, True)}
+    loop = M.components(spark.createDataFrame([(5, 5), (7, 6)], "a long, b long")).collect()
+    assert sorted(map(tuple, loop)) == [(5, 5), (6, 6), (7, 6)]
