@@ -9,8 +9,8 @@ from quarry.functions import text as T
 SCOPE = ("project_id", "branch")
 
 
-def page(records: DataFrame, view: str = "all", kind: str | None = None, title: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
-    """One page of the recall browser: records that aren't archived, seen through a view, most surfaced first."""
+def viewed(records: DataFrame, view: str = "all", kind: str | None = None, title: str | None = None) -> DataFrame:
+    """All records that aren't archived, seen through a view, with their total."""
     total = F.col("from_auto") + F.col("from_search") + F.col("from_drill")
     views = {"all": F.lit(True), "surfaced": total > 0, "recalled": F.col("from_drill") > 0, "recent": F.col("last_surfaced").isNotNull(), "themes": F.col("session_id") == "theme"}
     rows = records.where(~F.col("archived") & views[view]).withColumn("total", total)
@@ -18,6 +18,12 @@ def page(records: DataFrame, view: str = "all", kind: str | None = None, title:
         rows = rows.where(F.col("type") == kind)
     if title:
         rows = rows.where(F.contains(F.lower("title"), F.lit(title.lower())))
+    return rows
+
+
+def page(records: DataFrame, view: str = "all", kind: str | None = None, title: str | None = None, offset: int = 0, limit: int = 50) -> DataFrame:
+    """One page of the recall browser: what is seen, most surfaced first."""
+    rows = viewed(records, view, kind, title)
     return rows.orderBy(F.desc("total"), F.desc_nulls_last("last_surfaced"), F.desc("id")).offset(offset).limit(limit)
 
 

@@ -26,7 +26,7 @@ def latest_for_session(spark, d):
 
 @query(f"WITH {X.OBS} SELECT id, title FROM obs WHERE NOT archived AND contains(lower(title), 'v1.2')")
 def title_search(spark, d):
-    return R.page(X.observations(spark, d), "all", title="V1.2", limit=10_000).select("id", "title")
+    return R.viewed(X.observations(spark, d), "all", title="V1.2").select("id", "title")
 
 
 @query(f"WITH {X.OBS} SELECT id, project_id FROM obs WHERE type = 'feature' AND list_has_any(list_value(session_id), ['s1', 's7', 's13'])")

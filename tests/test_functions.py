@@ -153,3 +153,14 @@ def test_dbscan_of_a_long_chain(spark):
     assert len(got) == n + 2 and {(r["cluster"], r["is_core"]) for r in got} == {(1, True)}
     loop = M.components(spark.createDataFrame([(5, 5), (7, 6)], "a long, b long")).collect()
     assert sorted(map(tuple, loop)) == [(5, 5), (6, 6), (7, 6)]
+
+
+def test_view_without_a_page(spark, monkeypatch):
+    """title_search gives all that match, also beyond 10,000."""
+    from quarry.plans import more
+    from quarry.plans import tables as X
+
+    none = F.lit(0).cast("long")
+    o = spark.range(10_050).select("id", F.lit("about V1.2 here").alias("title"), F.lit(False).alias("archived"), none.alias("from_auto"), none.alias("from_search"), none.alias("from_drill"), none.alias("last_surfaced"), F.lit("s").alias("session_id"))
+    monkeypatch.setattr(X, "observations", lambda spark, d: o)
+    assert more.title_search(spark, "").count() == 10_050 and R.page(o, limit=10).count() == 10
