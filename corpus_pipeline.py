@@ -39,8 +39,8 @@ def repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark."""
-    return decontaminate.without_benchmark(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"))
+    """Documents that hold no item of the benchmark, short ones too."""
+    return decontaminate.without_benchmark(docs.select(*COLUMNS), _table(spark, sf_dir, "benchmark"), decontaminate.GramParams(short=True))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,8 @@
 """Benchmark decontamination: q-gram counts in overlapping diagonal bands, then banded alignment."""
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -15,14 +17,24 @@ class GramParams(NamedTuple):
     q: int = 8
     #: edits allowed for each character (byte) of an item
     edits: float = 0.1
-    #: items of fewer bytes are too short to tell
+    #: items of fewer bytes are too short for edits
     least: int = 32
+    #: whether those are looked for as they are, at borders of words; else they are in no text
+    short: bool = False
     #: MB of items that go to every task at once; more are searched for in turns
     block_mb: int = 32
     #: log2 of the places in the table that most grams of a text are ruled out by
     log2_table: int = 22
 
 
+class Short(NamedTuple):
+    """The short items of one length, without white space around them."""
+
+    hashes: np.ndarray  # sorted, and of each its item and bytes
+    item: np.ndarray
+    bytes: np.ndarray
+
+
 class Items(NamedTuple):
     ids: np.ndarray
     texts: list[bytes]
@@ -32,6 +44,7 @@ class Items(NamedTuple):
     item: np.ndarray
     place: np.ndarray
     width: int  # of half a band
+    short: dict[int, Short]  # by length
 
 
 _FOLD = K.lower(np.arange(256, dtype=np.uint8))
@@ -53,10 +66,82 @@ def index(ids: list[int], texts: list[bytes], p: GramParams) -> Items:
     h = K.byte_sums(data, 0).every(p.q)
     at = np.arange(len(h))
     item = np.searchsorted(offs, at, "right") - 1
-    ok = at + p.q <= offs[item + 1]
+    ok = (at + p.q <= offs[item + 1]) & (size[item] >= p.least)
     h, at, item = h[ok], at[ok], item[ok]
     order = np.argsort(h, kind="stable")
-    return Items(np.array(ids, np.int64), texts, budget, size + 1 - p.q - p.q * budget, h[order], item[order], (at - offs[item])[order], int(budget.max(initial=0)) + 1)
+    return Items(np.array(ids, np.int64), texts, budget, size + 1 - p.q - p.q * budget, h[order], item[order], (at - offs[item])[order], int(budget.max(initial=0)) + 1, _short(texts, p))
+
+
+def _short(texts: list[bytes], p: GramParams) -> dict[int, Short]:
+    by_length: dict[int, list[tuple[int, bytes]]] = {}
+    for i, t in enumerate(texts):
+        bare = t.strip(b" ")
+        if len(t) < p.least and bare:
+            by_length.setdefault(len(bare), []).append((i, bare))
+    out = {}
+    for n, found in by_length.items():
+        data = np.frombuffer(b"".join(t for _, t in found), np.uint8)
+        at = np.arange(len(found)) * n
+        h = K.byte_sums(data, 0).of(at, at + n)
+        order = np.argsort(h, kind="stable")
+        out[n] = Short(h[order], np.array([i for i, _ in found])[order], data.reshape(-1, n)[order])
+    return out
+
+
+@cache
+def _joined() -> np.ndarray:
+    """Whether a character (of the first plane) is part of a longer word if it stands beside another: letters, digits, their
+    marks and _, but not of scripts that put no spaces between words (Thai, Lao, Myanmar, Khmer, and from U+2E80 on)."""
+    out = np.zeros(1 << 16, bool)
+    for c in (*range(0x0E00), *range(0x0F00, 0x1000), *range(0x10A0, 0x1780), *range(0x1800, 0x2E80)):
+        out[c] = chr(c) == "_" or chr(c).isalnum() or unicodedata.category(chr(c))[0] == "M"
+    return out
+
+
+def borders(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """For each byte, and the end, of texts in UTF-8: whether no word goes on there. Ends of texts are borders."""
+    out = np.ones(len(data) + 1, bool)
+    lead = (data & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    b = np.concatenate((data, np.zeros(2, np.uint8))).astype(np.int64)
+    first, two, three = b[at], b[at + 1] & 0x3F, b[at + 2] & 0x3F
+    point = np.select([first < 0x80, first < 0xE0, first < 0xF0], [first, (first & 0x1F) << 6 | two, (first & 0x0F) << 12 | two << 6 | three], 0)
+    word = np.zeros(len(data), bool)
+    word[at] = _joined()[point]
+    # bytes that begin no character belong to the one before
+    owner = np.maximum.accumulate(np.where(lead, np.arange(len(data)), 0))
+    word = word[owner]
+    out[1:-1] = lead[1:] & ~(word[:-1] & word[1:])
+    out[offs] = True
+    return out
+
+
+def short_matches(items: Items, data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """(text, item, 0, begin, end) of the short items that stand in a slice's folded texts between borders; the first place of each."""
+    if not items.short or not len(data):
+        return []
+    border, sums = np.flatnonzero(borders(data, offs)), K.byte_sums(data, 0)
+    is_border = np.zeros(len(data) + 1, bool)
+    is_border[border] = True
+    of = np.searchsorted(offs, border, "right") - 1
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for n, s in items.short.items():
+        inside = np.flatnonzero(border + n <= offs[np.minimum(of + 1, len(offs) - 1)])
+        inside = inside[is_border[border[inside] + n]]
+        at, text = border[inside], of[inside]
+        h = sums.of(at, at + n)
+        first, last = np.searchsorted(s.hashes, h, "left"), np.searchsorted(s.hashes, h, "right")
+        hit = np.flatnonzero(first < last)
+        row = K.spread(first[hit], last[hit] - 1)
+        at, text = (np.repeat(x[hit], (last - first)[hit]) for x in (at, text))
+        same = np.ones(len(at), bool)
+        for k in range(n):
+            same &= data[at + k] == s.bytes[row, k]
+        at, text, item = at[same], text[same], s.item[row[same]]
+        _, once = np.unique(text * len(items.ids) + item, return_index=True)
+        for t, i, x in zip(text[once].tolist(), item[once].tolist(), (at - offs[text])[once].tolist(), strict=True):
+            best[t, i] = (0, x, x + n)
+    return [(t, i, *found) for (t, i), found in best.items()]
 
 
 def alignment(item: bytes, region: bytes, budget: int) -> tuple[int, int] | None:
@@ -125,12 +210,12 @@ def matches(items: Items, data: np.ndarray, offs: np.ndarray, table: np.ndarray,
         found = banded(items.texts[i], data[offs[t] : offs[t + 1]].tobytes(), low, low + 2 * items.width, int(items.budget[i]))
         if found and ((t, i) not in best or found < best[t, i]):
             best[t, i] = found
-    return [(t, i, *found) for (t, i), found in sorted(best.items())]
+    return sorted([(t, i, *found) for (t, i), found in best.items()] + short_matches(items, data, offs))
 
 
 def _blocks(benchmark: DataFrame, p: GramParams) -> list[tuple[list[int], list[bytes]]]:
     """The items in blocks of bounded size, read one after the other."""
-    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(K.MIN_ID)).alias("item_id"), F.col("text").cast("string").cast("binary").alias("b")).where(F.octet_length("b") >= p.least).orderBy("item_id", "b")
+    rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(K.MIN_ID)).alias("item_id"), F.col("text").cast("string").cast("binary").alias("b")).where(F.octet_length("b") >= (1 if p.short else p.least)).orderBy("item_id", "b")
     blocks, size = [], 0
     for r in rows.toLocalIterator():
         if not blocks or size + len(r["b"]) > p.block_mb << 20:
@@ -153,7 +238,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: GramParams = Gra
 
     A text holds an item if some part of it is within edits * length edits of it, in bytes with A-Z in lower case and
     white space as spaces; begin and end are the part's bytes. Null and empty texts hold none; items of fewer than `least` bytes
-    (null ones too) are in no text. Repeated rows and items give repeated rows. Null ids come back null. Documents aren't shuffled.
+    are in no text or, with `short`, in those where they stand without an edit, white space around them aside, and no word goes on
+    before or behind. Null and blank ones are in none. Repeated rows and items give repeated rows. Null ids come back null. Documents aren't shuffled.
     """
     p, out = params, None
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(K.MIN_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))

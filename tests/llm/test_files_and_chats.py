@@ -196,3 +196,23 @@ def test_near_dedup_keeps_one_row(spark):
     assert [x for x in got if x not in want] in ([(0, c)], [(0, c + " more")]) and sorted((x for x in got if x in want), key=str) == sorted(want, key=str)
     left = [(r["doc_id"], r["text"]) for r in corpus_pipeline.repeated_bytes(spark, kept, SF).collect()]
     assert by_row(left) == by_row(map(tuple, kept.select("doc_id", "text").collect()))
+
+
+def test_short_items(spark, tmp_path):
+    """Items of a few bytes are found where they stand as words, in the query and in the pipeline's stage."""
+    items = ["Who wrote Emma?", "who wrote", "谁写了红楼梦", "née", "x", " \n", "", None, "Who wrote Emma?", "the capital of France is Paris, and", "[a]"]
+    texts = [
+        "asked: WHO\twrote Emma?", "who wrotes Emmas?", "问题谁写了红楼梦呢", "“née”", "renée néer", "y x.", "xx x_ 2x", "Who wrote Emma", "", None, "the capital of France is Paris,  and", "Emma?Who wrote Emma?Who", "z[a]z", "x", "née x́",
+    ]
+    spark.createDataFrame(list(enumerate(items)), "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {(0, 0), (0, 8), (0, 1), (2, 2), (3, 3), (5, 4), (7, 1), (10, 9), (11, 0), (11, 8), (11, 1), (12, 10), (13, 4)}
+    got = queries.op3_decontamination(spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(got) == len(want)
+    for r in got:
+        if r["item_id"] != 9:
+            part = texts[r["doc_id"]].encode()[r["begin"] : r["end"]].decode()
+            assert r["edits"] == 0 and part.lower().replace("\t", " ") == items[r["item_id"]].lower()
+    left = corpus_pipeline.benchmark_filter(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in left} == set(range(len(texts))) - {i for i, _ in want}
