@@ -1,6 +1,8 @@
 """MinHash near-dedup: fast similarity sketches, banding, and a check of every link on full sets."""
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
@@ -21,8 +23,9 @@ class SketchParams(NamedTuple):
     #: a pair of similarity 0.8 shares no band with probability (1 - 0.8**rows)**bands, 3e-7 here
     bands: int = 64
     rows: int = 7
-    #: MB of sets compared in one task; larger groups are compared in pairs of chunks
+    #: MB and rows of sets compared in one task; larger groups are compared in pairs of chunks
     chunk_mb: int = 16
+    chunk_rows: int = 256
 
 
 _SLICE = 1 << 22
@@ -91,33 +94,57 @@ def _sketches(p: SketchParams):
                 key = np.broadcast_to(K.seeded(p.bands, 5), (j - i, p.bands)).copy()
                 for r in range(p.rows):
                     key = K.mix(key * np.uint64(31) + s[:, :, r])
-                digest = [np.concatenate(([np.uint64(0)], np.cumsum(K.mix(h ^ np.uint64(seed))))) for seed in (1, 2)]
-                d1, d2 = (K.signed(c[at[1:]] - c[at[:-1]]) for c in digest)
-                yield pa.RecordBatch.from_arrays([batch["id"][i:j], batch["tx"][i:j], batch["th"][i:j], pa.array(np.diff(at)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in K.signed(key).astype(">i8")], pa.binary())], names=["id", "tx", "th", "n", "d1", "d2", "bands"])
+                digest = np.frombuffer(b"".join(blake2b(t, digest_size=16).digest() for t in normalised(data, offs)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([batch["id"][i:j], batch["t1"][i:j], batch["t2"][i:j], pa.array(np.diff(at)), pa.array(digest[:, 0]), pa.array(digest[:, 1]), pa.array([k.tobytes() for k in K.signed(key).astype(">i8")], pa.binary())], names=["id", "t1", "t2", "n", "d1", "d2", "bands"])
 
     return run
 
 
 def _band_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, node, to): nodes of a batch that share a key are edges to the least of them, under a key of their own, and
+    only that one meets other batches. So a key that very many share sends one row for each batch."""
     for batch in batches:
-        raw = batch["bands"].to_pylist()
+        raw, node = batch["bands"].to_pylist(), batch["node"].to_numpy()
         keys = np.frombuffer(b"".join(raw), ">i8").astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(batch["node"].to_numpy(), len(keys) // max(1, len(raw))))], names=["key", "node"])
+        node = np.repeat(node, len(keys) // max(1, len(raw)))
+        order = np.lexsort((node, keys))
+        keys, node = keys[order], node[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        low = node[new][np.cumsum(new) - 1] if len(keys) else node
+        own = node == low
+        yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array(node[new]), pa.nulls(int(new.sum()), pa.int64())], names=["key", "node", "to"])
+        if not own.all():
+            edges = np.unique(np.stack((node[~own], low[~own])), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(edges[0]), pa.array(edges[0]), pa.array(edges[1])], names=["key", "node", "to"])
 
 
-def _sets(p: SketchParams):
+def normalised(data: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """Each text's words in lower case, a space between them."""
+    raw = K.lower(data).tobytes()
+    return [b" ".join(raw[offs[d] : offs[d + 1]].translate(_BLANK).split()) for d in range(len(offs) - 1)]
+
+
+_BLANK = bytes(32 if c in (9, 10, 11, 12, 13) else c for c in range(256))
+
+
+def _words(p: SketchParams):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offs in K.slices(batch["text"], _SLICE):
-                h, at = shingle_sets(data, offs, p.shingle)
-                parts = [h[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch["group"][i:j], batch["chunks"][i:j], batch["node"][i:j], pa.array(parts, pa.binary())], names=["group", "chunks", "node", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch["group"][i:j], batch["chunks"][i:j], batch["node"][i:j], pa.array(normalised(data, offs), pa.binary())], names=["group", "chunks", "node", "words"])
 
     return run
 
 
-def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[list[int], list[int]]:
-    """Links that connect, as all links do, the sets of a group: a forest, every edge of it checked on full sets."""
+def exact_set(words: bytes, size: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, of normalised words."""
+    w = words.split(b" ") if words else []
+    return {tuple(w[i : i + size]) for i in range(max(1, len(w) - size + 1))} if w else set()
+
+
+def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int, holds: Callable[[int, int], bool]) -> tuple[list[int], list[int]]:
+    """Links that connect, as all links do, the sets of a group (of hashes): a forest, of whose every edge holds(i, j) is true."""
     m = len(sets)
     size = np.array([len(s) for s in sets])
     order = np.argsort(size, kind="stable")
@@ -141,7 +168,7 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[lis
             continue
         both = np.bincount(postings[K.spread(first[t], first[t + 1] - 1)], minlength=m)[later]
         for j in later[both * 100 >= percent * (size[i] + size[later] - both)]:
-            if part[j] != part[i]:
+            if part[j] != part[i] and holds(int(i), int(j)):
                 part[part == part[j]] = part[i]
                 a.append(int(nodes[i]))
                 b.append(int(nodes[j]))
@@ -149,31 +176,42 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], percent: int) -> tuple[lis
 
 
 def _verify(p: SketchParams):
+    """Links of a group, or of two of its chunks: hashes of shingles find them, the shingles themselves confirm them."""
+
     def run(key, table):
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        a, b = linked(table["node"].to_numpy(), sets, p.percent)
+        words = table["words"].to_pylist()
+        data, offs = np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum([len(w) for w in words])))
+        h, at = shingle_sets(data, offs, p.shingle)
+        full = lru_cache(maxsize=512)(lambda i: exact_set(words[i], p.shingle))
+
+        def holds(i: int, j: int) -> bool:
+            both = len(full(i) & full(j))
+            return 100 * both >= p.percent * (len(full(i)) + len(full(j)) - both)
+
+        a, b = linked(table["node"].to_numpy(), [h[x:y] for x, y in zip(at[:-1], at[1:], strict=True)], p.percent, holds)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
 def _parts(docs: DataFrame, p: SketchParams) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(sketches of all rows, classes of equal sets, (node, id, component) of each class); a component is named by a node."""
-    keyed = R.keyed(docs).withColumn("th", F.xxhash64("text"))
-    all_ = land(keyed.mapInArrow(_sketches(p), "id long, tx int, th long, n long, d1 long, d2 long, bands binary"), "sketches")
-    classes = all_.where("n > 0").groupBy("n", "d1", "d2").agg(F.min_by(F.struct("id", "tx", "th", "bands"), F.struct("id", "tx", "th")).alias("r"))
+    """(sketches of all rows, classes of equal words, (node, id, component) of each class); a component is named by a node."""
+    keyed = R.keyed(docs).drop("rest")
+    all_ = land(keyed.mapInArrow(_sketches(p), "id long, t1 long, t2 int, n long, d1 long, d2 long, bands binary"), "sketches")
+    classes = all_.where("n > 0").groupBy("n", "d1", "d2").agg(F.min_by(F.struct("id", "t1", "t2", "bands"), F.struct("id", "t1", "t2")).alias("r"))
     # one class can have the id of another (rows of one doc_id): a node is a class
-    classes = land(classes.select("n", "d1", "d2", F.xxhash64("n", "d1", "d2").alias("node"), F.col("r.id").alias("id"), F.col("r.tx").alias("tx"), F.col("r.th").alias("th"), F.col("r.bands").alias("bands")), "classes")
-    keys = classes.select("node", "bands").mapInArrow(_band_keys, "key long, node long")
-    low = F.min("node").over(Window.partitionBy("key"))
+    classes = land(classes.select("n", "d1", "d2", F.xxhash64("n", "d1", "d2").alias("node"), "r.id", "r.t1", "r.t2", "r.bands"), "classes")
+    keys = classes.select("node", "bands").mapInArrow(_band_keys, "key long, node long, to long")
+    low = F.coalesce("to", F.min("node").over(Window.partitionBy("key", F.col("to").isNull())))
     coarse = connected_components(keys.withColumn("low", low).where("low <> node").select(F.col("low").alias("a"), F.col("node").alias("b")))
-    members = classes.select("node", "id", "tx", "th", "n").join(coarse.withColumnRenamed("id", "node"), "node").withColumnRenamed("component", "group")
-    size = members.groupBy("group").agg(F.ceil(F.sum("n") * 8 / (p.chunk_mb << 20)).cast("int").alias("chunks"))
-    members = members.join(size, "group").select("id", "tx", "th", "node", "group", "chunks")
-    sets = keyed.join(members, ["id", "tx", "th"]).select("group", "chunks", "node", "text").mapInArrow(_sets(p), "group long, chunks int, node long, shingles binary")
-    own = F.pmod(F.hash("node"), F.col("chunks"))
+    members = classes.select("node", "t1", "t2", "n").join(coarse.withColumnRenamed("id", "node"), "node").withColumnRenamed("component", "group")
+    chunks = F.ceil(F.greatest(F.sum("n") * 8 / (p.chunk_mb << 20), F.count("*") / p.chunk_rows)).cast("int")
+    members = members.join(members.groupBy("group").agg(chunks.alias("chunks")), "group").select("t1", "t2", "node", "group", "chunks")
+    # rows repeated in full have one key: their class needs one of them
+    sets = keyed.select("t1", "t2", "text").join(members, ["t1", "t2"]).select("group", "chunks", "node", "text").mapInArrow(_words(p), "group long, chunks int, node long, words binary")
+    own = F.pmod(F.xxhash64("node"), F.col("chunks"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    tasks = sets.withColumn("pair", F.explode(pair)).select("group", "pair.i", "pair.j", "node", "shingles")
+    tasks = sets.withColumn("pair", F.explode(pair)).select("group", "pair.i", "pair.j", "node", "words")
     links = tasks.groupBy("group", "i", "j").applyInArrow(_verify(p), "a long, b long")
     joined = connected_components(links).withColumnRenamed("id", "node")
     ids = classes.select("node", "id").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -181,23 +219,24 @@ def _parts(docs: DataFrame, p: SketchParams) -> tuple[DataFrame, DataFrame, Data
 
 
 def near_duplicates(docs: DataFrame, params: SketchParams = SketchParams()) -> DataFrame:
-    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, and tx (a hash of the text).
+    """One row for each row of docs (doc_id, text): doc_id, n_shingles, component_id and kept.
 
     Words are `[^\\x20\\x09-\\x0D]+` with A-Z in lower case; a text's set has its distinct runs of `shingle` words,
     or all its words as one run if it has fewer. Null, empty and blank texts have an empty set and link with nothing.
     component_id is the smallest doc_id that links lead to. A null doc_id counts as the smallest, and comes
-    back null. Rows repeated in full are in one component; of rows of one doc_id, all or none are kept.
+    back null. Rows repeated in full are in one component; of rows of one doc_id, all or none are kept. Other columns
+    are ignored, and an empty table gives an empty result. A text has to fit in a task.
 
-    Texts of equal sets form a class, and only its first text goes on. Texts that share a band of their sketch form
-    groups; each group's sets are compared in full, large groups by pairs of chunks, and what was
-    confirmed is joined into components.
+    Texts of equal words form a class (by a 128-bit digest), and only its first text goes on. Texts that share a band of their sketch form
+    groups; each group's sets are compared in full, large groups by pairs of chunks, links are confirmed on the shingles
+    themselves, and what was confirmed is joined into components.
     """
     all_, classes, ids = _parts(docs, params)
     lows = ids.groupBy("component").agg(F.min("id").alias("low"))
     named = classes.select("n", "d1", "d2", "node").join(ids.select("node", "component"), "node").join(lows, "component").select("n", "d1", "d2", "low")
-    done = all_.select("id", "tx", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
+    done = all_.select("id", "n", "d1", "d2").join(named, ["n", "d1", "d2"], "left")
     component = F.coalesce("low", "id")
-    return done.select(R.doc_id(), F.col("n").alias("n_shingles"), F.when(component != F.lit(K.MIN_ID), component).alias("component_id"), (component == F.col("id")).alias("kept"), "tx")
+    return done.select(R.doc_id(), F.col("n").alias("n_shingles"), F.when(component != F.lit(K.MIN_ID), component).alias("component_id"), (component == F.col("id")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, params: SketchParams = SketchParams()) -> DataFrame:
@@ -207,14 +246,15 @@ def one_of_each(docs: DataFrame, params: SketchParams = SketchParams()) -> DataF
     Null, empty and blank texts stay too; of any rows repeated in full (doc_id and text) one is left.
     """
     all_, classes, ids = _parts(docs, params)
-    texts = all_.groupBy("n", "d1", "d2", "id", "tx", "th").agg(F.count("*").alias("copies"))
-    least = texts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct("id", "tx", "th", "copies")).alias("r"))
+    key = ["id", "t1", "t2"]
+    texts = all_.groupBy("n", "d1", "d2", *key).agg(F.count("*").alias("copies"))
+    least = texts.where("n > 0").groupBy("n", "d1", "d2").agg(F.min(F.struct(*key, "copies")).alias("r"))
     parts = classes.select("n", "d1", "d2", "node").join(ids.select("node", "component"), "node")
     first = least.join(parts, ["n", "d1", "d2"]).groupBy("component").agg(F.min("r").alias("r")).select("r.*")
-    kept = land(first.union(texts.where("n = 0").select("id", "tx", "th", "copies")), "kept")
-    key = ["near_id", "near_tx", "near_th"]
-    rows = docs.select("*", F.coalesce(F.col("doc_id").cast("long"), F.lit(K.MIN_ID)).alias(key[0]), F.hash("text").alias(key[1]), F.xxhash64("text").alias(key[2]))
-    kept = kept.toDF(*key, "copies")
-    once = rows.join(kept.where("copies = 1"), key, "left_semi")
-    more = rows.join(kept.where("copies > 1"), key, "left_semi").dropDuplicates(key)
+    kept = land(first.union(texts.where("n = 0").select(*key, "copies")), "kept")
+    own = ["near_id", "near_t1", "near_t2"]
+    rows = docs.select("*", R.known_id().alias(own[0]), *(c.alias(n) for c, n in zip(R.row_key(), own[1:], strict=True)))
+    kept = kept.toDF(*own, "copies")
+    once = rows.join(kept.where("copies = 1"), own, "left_semi")
+    more = rows.join(kept.where("copies > 1"), own, "left_semi").dropDuplicates(own)
     return once.select(*docs.columns).union(more.select(*docs.columns))

@@ -76,13 +76,14 @@ def corpus_order(data: np.ndarray, offs: np.ndarray, triggers: np.ndarray, windo
     return starts[np.argsort(head * (len(after) + 2) + tail, kind="stable")]
 
 
-def repeated(data: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
-    """Those starts, given in order, whose next `width` bytes equal a neighbour's."""
+def repeated(data: np.ndarray, order: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Those starts, given in order, whose next `width` bytes equal a neighbour's, and a number for each set of equal ones."""
     if not len(order):
-        return order
+        return order, order
     same = np.zeros(len(order) + 1, bool)
     lanes = np.lib.stride_tricks.sliding_window_view(data, width)
     for i in range(0, len(order) - 1, 8192):
         a, b = order[i : i + 8192], order[i + 1 : i + 8193]
         same[i + 1 : i + 1 + len(b)] = (lanes[a[: len(b)]] == lanes[b]).all(axis=1)
-    return order[same[:-1] | same[1:]]
+    again = same[:-1] | same[1:]
+    return order[again], np.cumsum(~same[:-1])[again]

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from quarry.llm import chat, decontaminate, embedding_dedup, labelled, minhash_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity, warc
 
 
@@ -56,7 +55,7 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     params = minhash_dedup.SketchParams(shingle=2)
-    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), params).drop("tx")
+    return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"), params)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,7 +71,7 @@ _ALL = (op1_warc, op2_suffix_dedup, op3_decontamination, op4_chat_format, op5_to
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {q.__name__: q for q in _ALL} | {"pipeline": corpus_pipeline.run}
+    return {q.__name__: q for q in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,12 +19,14 @@ class AnchorParams(NamedTuple):
     #: bits for each indexed block in the filter that spares probes, and its greatest size: 2**29 bits are 64 MB
     filter_bits: int = 24
     filter_log2_most: int = 29
+    #: edges of repeats with one core in one slice above which a few speak for all
+    slice_edges: int = 16
 
 
 def _units(data: np.ndarray, offs: np.ndarray) -> R.Units:
     s, e, woffs = K.words(data, offs)
-    w = K.word_hashes(data, s, e)
-    return R.Units((K.Sums(w, 0), K.Sums(K.mix(w + np.uint64(77)), 1)), woffs)
+    # lanes of their own from the bytes on
+    return R.Units((K.Sums(K.word_hashes(data, s, e, 0), 2), K.Sums(K.word_hashes(data, s, e, 1), 3)), woffs)
 
 
 def _join(data: np.ndarray, keep: np.ndarray) -> bytes:
@@ -123,7 +125,7 @@ def remove_repeated_words(docs: DataFrame, params: AnchorParams = AnchorParams()
     """Cut from each text every word covered by a `width`-word window that also starts in a text of smaller doc_id.
 
     docs: doc_id, text; other columns are ignored. Returns one row for each row: doc_id, n_words, n_removed,
-    kept_sha256 (the kept words joined by one space), and with keep_text also kept (what is left as text, without bytes of characters cut in two) and tx.
+    kept_sha256 (the kept words joined by one space), and with keep_text also kept (what is left as text, without bytes of characters cut in two).
     A null text or one without words has none. A null doc_id counts as smaller than all others. Rows of one
     doc_id don't remove each other's words. An empty table gives an empty result.
 
@@ -133,7 +135,7 @@ def remove_repeated_words(docs: DataFrame, params: AnchorParams = AnchorParams()
     keyed = R.keyed(docs)
     bits, log2 = block_filter(keyed, params)
     shared = docs.sparkSession.sparkContext.broadcast(bits)
-    scheme = R.Scheme(params.width, _units, _blocks(params, shared, log2), _join, True)
+    scheme = R.Scheme(params.width, _units, _blocks(params, shared, log2), _join, R.FIRST, slice_edges=params.slice_edges)
     done = R.remove_repeats(keyed, scheme, keep_text=keep_text)
-    extra = [F.col("kept"), F.col("tx")] if keep_text else []
+    extra = [F.col("kept")] if keep_text else []
     return done.select(R.doc_id(), F.col("n_units").alias("n_words"), "n_removed", F.col("sha").alias("kept_sha256"), *extra)

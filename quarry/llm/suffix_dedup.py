@@ -18,6 +18,10 @@ class ParseParams(NamedTuple):
     every: int = 64
     #: starts that one record settles
     block: int = 128
+    #: whether one of equal strings stays: that of the smallest doc_id, its first if several
+    keep_one: bool = False
+    #: edges of repeats with one core in one slice above which a few speak for all
+    slice_edges: int = 16
 
 
 def _units(data: np.ndarray, offs: np.ndarray) -> R.Units:
@@ -64,35 +68,13 @@ def _blocks(p: ParseParams):
         s = K.spread(g0, g1)
         parts.append((np.repeat(gt, np.maximum(g1 - g0 + 1, 0)), s, s, one.of(s, s + p.width), two.of(s, s + p.width)))
         at, s0, s1, k, u = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return _known(at, s0, s1, k, u)
+        return at, s0, s1, np.ones(len(at), bool), k, u
 
     return run
 
 
-def _known(at, s0, s1, k, u) -> tuple:
-    """Blocks that repeat within the slice (as in text of a short period) are settled here: one speaks for them all,
-    and their starts go on as ranges."""
-    order = np.lexsort((u, k))
-    new = np.ones(len(order), bool)
-    new[1:] = (k[order][1:] != k[order][:-1]) | (u[order][1:] != u[order][:-1])
-    group = np.cumsum(new) - 1
-    many = (np.bincount(group) > 1)[group] if len(order) else new
-    one, sure = order[new], np.sort(order[many])
-    if not len(sure):
-        return at[one], s0[one], s1[one], np.ones(len(one), bool), k[one], u[one]
-    sure = sure[np.lexsort((s0[sure], at[sure]))]
-    a, b, c = s0[sure], s1[sure], at[sure]
-    apart = np.ones(len(sure), bool)
-    apart[1:] = (c[1:] != c[:-1]) | (a[1:] > b[:-1] + 1)
-    first = np.flatnonzero(apart)
-    a, b, c = a[first], np.maximum.reduceat(b, first), c[first]
-    own = K.mix(k[sure[first]] + a.astype(np.uint64) + np.uint64(99))
-    ref = np.arange(len(one) + len(c)) < len(one)
-    return np.concatenate((at[one], c)), np.concatenate((s0[one], a)), np.concatenate((s1[one], b)), ref, np.concatenate((k[one], own)), np.concatenate((u[one], own))
-
-
 def _repeated(p: ParseParams):
-    def run(data: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def run(data: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         t, _ = triggers(K.byte_sums(data, 0), offs, p)
         return pfp.repeated(data, pfp.corpus_order(data, offs, t, p.window, starts), p.width)
 
@@ -100,20 +82,22 @@ def _repeated(p: ParseParams):
 
 
 def remove_repeated_bytes(docs: DataFrame, params: ParseParams = ParseParams(), keep_text: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Cut from each text every byte covered by a `width`-byte string that also starts anywhere else.
+    """Cut from each text every byte covered by a `width`-byte string that also starts anywhere else; with keep_one, one of
+    equal strings stays where it is.
 
     docs: doc_id, text; other columns are ignored. Returns one row for each row: doc_id, n_bytes, n_removed,
-    n_spans, kept_sha256, and with keep_text also kept (what is left as text, without bytes of characters cut in two) and tx (a hash of the text).
+    n_spans, kept_sha256, and with keep_text also kept (what is left as text, without bytes of characters cut in two).
     Columns named in carry come along, so that no join has to bring them back.
     A null or empty text has no bytes. Rows repeated in full are texts of their own, so they remove each
-    other. Null doc_ids come back null. An empty table gives an empty result. A text may have up to 512 MB.
+    other; with keep_one they count as one text. Null doc_ids come back null. An empty table gives an empty result. A text may have
+    up to 512 MB, and has to fit in a task.
 
     Phrases end where a rolling hash triggers, so equal strings are cut at equal places. Runs of phrases whose
     context is alone in the corpus, or repeats in full, are settled by hashes of that context. What is left,
     the edges of repeats, meets by its common core; there, suffix arrays of the dictionary of phrases and of the
     parse give the order of all suffixes, in which equal strings are neighbours.
     """
-    scheme = R.Scheme(params.width, _units, _blocks(params), lambda data, keep: data[keep].tobytes(), False, _repeated(params))
+    scheme = R.Scheme(params.width, _units, _blocks(params), lambda data, keep: data[keep].tobytes(), R.ONE if params.keep_one else R.NONE, _repeated(params), params.slice_edges)
     done = R.remove_repeats(R.keyed(docs, carry), scheme, keep_text=keep_text)
-    extra = [F.col("kept"), F.col("tx")] if keep_text else []
+    extra = [F.col("kept")] if keep_text else []
     return done.select(R.doc_id(), F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", F.col("sha").alias("kept_sha256"), *extra, *R.carried(docs, carry))

@@ -173,8 +173,8 @@ def test_pipeline(spark):
     assert ids[1] == {r["doc_id"] for r in quality.score(docs, net).where("quality_score >= 0.3").collect()}
     texts = [[(r["doc_id"], r["text"]) for r in d.select("doc_id", "text").collect()] for d in seen]
     assert ids[2] == {r[0] for r in brute(texts[1], minhash_dedup.SketchParams().shingle) if r[3]}
-    left = {r[0]: r[1] - r[2] for r in brute_bytes(texts[2], 400)}
-    assert ids[3] == {i for i, n in left.items() if n} and all(len(t.encode()) <= left[i] for i, t in texts[3])
+    left = {r[0]: r[4] for r in brute_bytes(texts[2], corpus_pipeline.PASSAGE_BYTES, keep_one=True) if r[1] > r[2]}
+    assert ids[3] == set(left) and all(sha(t) == left[i] for i, t in texts[3] if t.isascii())
     items = [decontaminate.folded(np.frombuffer(r["text"].encode(), np.uint8)).tobytes() for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     held = {i for i, t in texts[3] if any(s in decontaminate.folded(np.frombuffer(t.encode(), np.uint8)).tobytes() for s in items)}
     assert ids[4] == ids[3] - held
@@ -198,6 +198,57 @@ def test_near_dedup_keeps_one_row(spark):
     assert by_row(left) == by_row(map(tuple, kept.select("doc_id", "text").collect()))
 
 
+def test_passages_of_over_50_words(spark):
+    """Passages of 51 to 70 words stay in the document of the smallest id alone, and what stands around them stays."""
+    rng = np.random.default_rng(9)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmno"), int(rng.integers(3, 8)))) for _ in range(n))
+    rows, want = [], {}
+    for i, n in enumerate(range(51, 71)):
+        passage = prose(n)
+        for k in range(5):
+            head, tail = prose(80), prose(60)
+            rows.append((100 * k + i, f"{head} {passage} {tail}"))
+            want[100 * k + i] = (head, passage if k == 0 else "", tail)
+    docs = spark.createDataFrame([(i, t, "en", None, len(t), "x", 1) for i, t in rows] + [(None, None, None, None, None, "y", 2)], "doc_id long, text string, lang string, source string, n_chars long, id string, t1 int").repartition(3)
+    got = corpus_pipeline.repeated_bytes(spark, docs, SF).collect()
+    assert len(got) == len(rows) + 1 and [r["text"] for r in got if r["doc_id"] is None] == [None]
+    for r in got:
+        if r["doc_id"] is not None:
+            head, passage, tail = want[r["doc_id"]]
+            # neighbouring bytes that agree by chance may go with the passage
+            assert r["text"].startswith(head[:-3]) and r["text"].endswith(tail[3:]) and r["n_chars"] == len(r["text"])
+            assert (passage in r["text"]) if passage else len(r["text"]) <= len(head) + len(tail) + 2
+    assert corpus_pipeline.repeated_bytes(spark, docs.limit(0), SF).count() == 0
+
+
+def test_stages_with_nulls_ties_and_clashing_columns(spark, tmp_path):
+    """Every stage by itself: nulls in any column, repeated rows, columns with names that the operators use, and an empty table."""
+    rng = np.random.default_rng(10)
+    prose = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmno"), int(rng.integers(3, 8)))) for _ in range(n))
+    a, b = prose(90), prose(90)
+    rows = [(1, a, "en", "s", 5), (1, a, "en", "s", 5), (2, b, None, None, None), (None, prose(50), None, "s", 7), (None, None, None, None, None), (3, "", "de", "t", 0), (4, "held item of a benchmark, forty bytes long", "en", "t", 43)]
+    extra = "text2 string, size long, kept string, t1 long, id string, group int, copy int, quality_score double"
+    docs = spark.createDataFrame([(*r, "x", 1, "y", 2, "z", 3, 4, 0.5) for r in rows], f"doc_id long, text string, lang string, source string, n_chars long, {extra}").repartition(2)
+    spark.createDataFrame([(0, "held item of a benchmark, forty bytes long"), (None, None)], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (None, 0, None), (77, None, 1)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    base = [r[:5] for r in rows]
+    want = {
+        "quality classifier": base,  # learnt from good ones alone
+        "MinHash near-dedup": base[1:],
+        "suffix-array dedup": base,  # rows repeated in full are one text here
+        "benchmark decontamination": base[:-1],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs, str(tmp_path))
+        columns = list(corpus_pipeline.COLUMNS)
+        assert got.columns == (columns if name in want else [*columns, "copy"])
+        if name in want:
+            assert by_row(got.collect()) == by_row(want[name]), name
+        else:
+            assert {r["doc_id"] for r in got.collect()} <= {r[0] for r in rows}
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
 def test_short_items(spark, tmp_path):
     """Items of a few bytes are found where they stand as words, in the query and in the pipeline's stage."""
     items = ["Who wrote Emma?", "who wrote", "谁写了红楼梦", "née", "x", " \n", "", None, "Who wrote Emma?", "the capital of France is Paris, and", "[a]"]
