@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, else the context's; where both are unset (tests), a new local one, set for the session."""
+    """The folder in spark.checkpoint.dir, else the context's. Where both are unset a new local one will do if Spark runs in this
+    process alone, as in tests; on a cluster it's an error, as executors don't share it."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
         where = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", where)
         spark.sparkContext.setCheckpointDir(where)
@@ -32,10 +35,20 @@ def clear(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def land(df: DataFrame, name: str) -> DataFrame:
-    """Write df once and return a reader of what was written: later jobs don't repeat its work, and lost executors can't lose it."""
+    """Write df once and return a reader of what was written: later jobs don't repeat its work, and lost executors can't lose it.
+
+    The shuffles that df took aren't needed any more, so their disk is freed at once."""
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_FREE, None)
+    spark.conf.set(_FREE, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(schema).parquet(path)
