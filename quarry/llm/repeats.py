@@ -347,6 +347,8 @@ def remove_repeats(docs: DataFrame, scheme: Scheme, keep_text: bool = False) ->
     r = r.withColumn("mark", mark)
     ordered = F.col("m") == IN_ORDER
     marks = r.groupBy(*key).agg(F.collect_list(F.when(~ordered, F.col("mark"))).alias("marks"), F.collect_list(F.when(ordered, F.struct("mark", "k"))).alias("segs"))
+    # written, so that the records' shuffle is freed before the texts'
+    marks = land(marks, "marks")
     seen = docs.join(marks, key, "left").select("id", *key, "text", "rest", "marks", "segs")
     found = land(seen.mapInArrow(_look(scheme, keep_text), FOUND), "repeats")
     wins = found.where("kind = 2").select("id", *key, "w1", "w2", "s")
