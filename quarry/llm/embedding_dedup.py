@@ -6,7 +6,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm import kernels as K
@@ -24,7 +24,7 @@ class CodeParams(NamedTuple):
     check_bits: int = 256
     sigmas: float = 5.0
     #: vectors compared in one task; larger buckets and groups are compared in pairs of chunks
-    chunk: int = 2048
+    chunk: int = 512
     seed: int = 1
 
 
@@ -46,6 +46,23 @@ def signs(u: np.ndarray, bits: int, p: CodeParams) -> np.ndarray:
     return np.concatenate([u @ rotation(dim, p.seed + r).T > 0 for r in range(turns)], axis=1)[:, :bits]
 
 
+def coded(u: np.ndarray, p: CodeParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit vectors: the signs of the rotated vector as booleans, its inner product with the unit vector of these signs (the
+    correction factor), and how far an estimate by them may be off."""
+    dim = u.shape[1]
+    turned = u @ rotation(dim, p.seed).T
+    code = turned > 0
+    factor = np.abs(turned).sum(axis=1) / np.sqrt(dim)
+    return code, factor, p.sigmas * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, dim - 1))
+
+
+def upper(u: np.ndarray, code: np.ndarray, factor: np.ndarray, error: np.ndarray, p: CodeParams) -> np.ndarray:
+    """Upper bounds of the cosines of unit vectors u with coded ones: unbiased estimates, and their errors on top."""
+    dim = u.shape[1]
+    signs_ = np.where(code, 1.0, -1.0) / np.sqrt(dim)
+    return (u @ rotation(dim, p.seed).T) @ (signs_ / factor[:, None]).T + error[None]
+
+
 def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, vectors in double) for each dimension; null and zero vectors and those with null or non-finite parts aren't among them."""
     column = column.cast(pa.large_list(pa.float64()))
@@ -62,7 +79,7 @@ def _vectors(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _coded(p: CodeParams):
-    """Each usable vector with a digest of its numbers, its buckets and the bits that go along."""
+    """Each usable vector with a digest of its numbers, its buckets and the bits that go along, its code, correction factor and error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -76,9 +93,11 @@ def _coded(p: CodeParams):
                 parts = bits[:, : p.band_bits * p.bands].reshape(len(x), p.bands, p.band_bits) @ weights
                 keys = K.mix((parts << np.uint64(16)) + np.arange(p.bands, dtype=np.uint64)[None] + np.uint64(dim << 48))
                 check = np.packbits(bits[:, : p.check_bits], axis=1)
+                code, factor, error = coded(unit(x), p)
+                code = np.packbits(code, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch["vec_id"].take(pa.array(rows)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in K.signed(keys).astype(">i8")], pa.binary()), pa.array([c.tobytes() for c in check], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())],
-                    names=["vec_id", "d1", "d2", "keys", "check", "vector"],
+                    [batch["vec_id"].take(pa.array(rows)), pa.array(d1), pa.array(d2), pa.array([k.tobytes() for k in K.signed(keys).astype(">i8")], pa.binary()), pa.array([c.tobytes() for c in check], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary()), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(factor), pa.array(error)],
+                    names=["vec_id", "d1", "d2", "keys", "check", "vector", "code", "factor", "error"],
                 )
 
     return run
@@ -155,22 +174,19 @@ def _linked(p: CodeParams):
     def run(key, table):
         i, j = key[1].as_py(), key[2].as_py()
         node, rows = table["node"].to_numpy(), table["rows"].to_numpy()
-        raw = table["vector"].to_pylist()
+        raw, codes = table["vector"].to_pylist(), table["code"].to_pylist()
+        factor, error = table["factor"].to_numpy(), table["error"].to_numpy()
         count, edges = np.zeros(len(node), np.int64), []
         forest = Forest(len(node))
         own = table["own"].to_numpy()
         for size in {len(r) for r in raw}:
             pick = np.array([k for k, r in enumerate(raw) if len(r) == size])
             u = unit(np.frombuffer(b"".join(raw[k] for k in pick), np.float64).reshape(len(pick), -1))
-            dim = u.shape[1]
-            turned = u @ rotation(dim, p.seed).T
-            code = np.where(turned > 0, 1.0, -1.0) / np.sqrt(dim)
-            factor = (turned * code).sum(axis=1)
-            error = p.sigmas * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / np.sqrt(max(1, dim - 1))
+            packed = np.frombuffer(b"".join(codes[k] for k in pick), np.uint8).reshape(len(pick), -1)
+            code = np.unpackbits(packed, axis=1)[:, : u.shape[1]].astype(bool)
             for begin in range(0, len(pick), 512):
                 part = slice(begin, min(begin + 512, len(pick)))
-                # unbiased estimates of all inner products with coded vectors, and how far off they may be
-                may = turned[part] @ (code / factor[:, None]).T + error[None] >= p.cosine
+                may = upper(u[part], code, factor[pick], error[pick], p) >= p.cosine
                 may[np.arange(part.stop - part.start), np.arange(part.start, part.stop)] = False
                 if i != j:
                     may &= own[pick][part][:, None] != own[pick][None]
@@ -201,25 +217,26 @@ def near_duplicates(vectors: DataFrame, params: CodeParams = CodeParams()) -> Da
     Rows are linked if the cosine of their vectors, in double precision, is at least `cosine`. Null and zero vectors,
     those with null or non-finite parts, and vectors of different length link with nothing. A row repeated links
     with its copy. A null vec_id counts as larger than others and its component may be null. component_id is the
-    smallest vec_id that links lead to.
+    smallest vec_id that links lead to. Other columns are ignored; an empty table gives an empty result.
 
     Equal vectors form a node. Each node's vector is rotated at random; the signs are its code, whose bands are
     buckets. Codes of a bucket's nodes bound their angles; nodes that may be linked form groups, to which each
-    vector goes once. There, codes with correction factors give unbiased estimates of inner products, and
+    vector goes once. There, the stored codes and correction factors give unbiased estimates of inner products, and
     pairs whose upper bound reaches the threshold are computed exactly. Large buckets and groups are dealt out as pairs of chunks.
     """
     p = params
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
-    coded = land(rows.mapInArrow(_coded(p), "vec_id long, d1 long, d2 long, keys binary, check binary, vector binary"), "codes")
-    nodes = coded.groupBy("d1", "d2").agg(F.count("*").alias("rows"), F.min("vec_id").alias("low"), F.first("keys").alias("keys"), F.first("check").alias("check"), F.first("vector").alias("vector"))
+    coded = land(rows.mapInArrow(_coded(p), "vec_id long, d1 long, d2 long, keys binary, check binary, vector binary, code binary, factor double, error double"), "codes")
+    nodes = coded.groupBy("d1", "d2").agg(F.count("*").alias("rows"), F.min("vec_id").alias("low"), F.first("keys").alias("keys"), F.first("check").alias("check"), *(F.first(c).alias(c) for c in ("vector", "code", "factor", "error")))
     nodes = land(nodes.withColumn("node", F.xxhash64("d1", "d2")), "nodes")
     by = nodes.select("node", "keys", "check").mapInArrow(_buckets, "key long, node long, check binary")
-    by = by.withColumn("n", F.count("*").over(Window.partitionBy("key"))).where("n > 1")
+    # counts of keys are put together before they are shuffled, and AQE splits hot keys of the join
+    by = by.join(by.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "key")
     by = in_pairs_of_chunks(by.withColumn("chunks", F.ceil(F.col("n") / p.chunk)).drop("n"), "chunks").select("key", "i", "j", "node", "check")
     likely = by.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_likely(p), "a long, b long")
     group = connected_components(likely).withColumnRenamed("id", "node").withColumnRenamed("component", "group")
     size = group.groupBy("group").agg(F.ceil(F.count("*") / p.chunk).alias("chunks"))
-    members = nodes.select("node", "rows", "vector").join(group, "node").join(size, "group")
+    members = nodes.select("node", "rows", "vector", "code", "factor", "error").join(group, "node").join(size, "group")
     tasks = in_pairs_of_chunks(members, "chunks").groupBy("group", "i", "j")
     found = land(tasks.applyInArrow(_linked(p), "a long, b long, n long"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
