@@ -118,12 +118,50 @@ def test_decontamination(spark):
                 want[i, k] = e
     got = decontaminate.contaminated(d, b).collect()
     assert {(r["doc_id"], r["item_id"]): r["edits"] for r in got} == want and any(want.values())
-    for p in (decontaminate.GramParams(), decontaminate.GramParams(block_mb=0)):
+    for p in (decontaminate.GramParams(), decontaminate.GramParams(block_mb=0.0005, pairs=50)):
         left = decontaminate.without_benchmark(d, b, p).collect()
         assert sorted(r["doc_id"] for r in left if r["doc_id"] is not None) == sorted(i for i, _ in docs if i is not None and not any(i == x for x, _ in want))
     assert decontaminate.contaminated(d.limit(0), b).count() == 0 and decontaminate.contaminated(d, b.limit(0)).count() == 0
 
 
+def test_decontamination_of_runs():
+    """A MiB of blanks, and dashes, against items of blanks and dashes: bounded memory, and the best places by brute force."""
+    import tracemalloc
+
+    items = [b" " * 200, b"-" * 60 + b" " * 140, b"-" * 200, b"0" * 40, b"-" * 30 + b"x" * 10 + b"-" * 30]
+    texts = [b" " * (1 << 20), b" " * 300 + b"-" * 66 + b" " * 500, b"-" * 199 + b"y" + b" " * 135, b"000 " * 30, b"-" * 33 + b"x" * 9 + b"-" * 31, b""]
+    p = decontaminate.GramParams()
+    found = decontaminate.index(list(range(len(items))), items, p)
+    data, offs = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    tracemalloc.start()
+    got = decontaminate.matches(found, data, offs, decontaminate._table(found, p), p)
+    assert tracemalloc.get_traced_memory()[1] < 600e6
+    tracemalloc.stop()
+    want = {(0, 0): 0}
+    for t in range(1, len(texts)):
+        for i, s in enumerate(items):
+            e = edit_distance(s, texts[t])
+            if e <= found.budget[i]:
+                want[t, i] = e
+    assert {(t, i): e for t, i, e, _, _ in got} == want and len(want) == 6
+    for t, i, e, a, b in got:
+        assert edit_distance(items[i], texts[t][a:b]) == e and abs(b - a - len(items[i])) <= e
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text("ab ", min_size=33, max_size=70), st.lists(st.text("ab ", max_size=90), min_size=1, max_size=4), st.lists(st.tuples(st.integers(0, 60), st.sampled_from(["", "c", "ab"])), max_size=6))
+def test_decontamination_against_brute_force(item, texts, edits):
+    changed = list(item)
+    for at, put in edits:
+        changed[at : at + 1] = [put]
+    texts = [*texts, "b" + "".join(changed) + " a"]
+    p = decontaminate.GramParams(pairs=100)
+    found = decontaminate.index([0], [item.encode()], p)
+    data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    got = {t: e for t, _, e, _, _ in decontaminate.matches(found, data, offs, decontaminate._table(found, p), p)}
+    assert got == {t: e for t, x in enumerate(texts) if (e := edit_distance(item, x)) <= found.budget[0]}
+
+
 def fill(sizes, weights):
     """Targets by sharing again and again."""
     total, target, left = sum(sizes.values()), {}, dict(weights)
