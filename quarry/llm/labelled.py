@@ -16,5 +16,5 @@ def sampled_ids(labels: DataFrame, label: str, value: int, most: int) -> DataFra
 
 
 def sampled_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The (doc_id, text) of sampled ids: they are few, their number being a parameter, so they go to every task."""
+    """The (doc_id, text) of sampled ids, with their other columns: they are few, their number being a parameter, so they go to every task."""
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")

@@ -20,9 +20,8 @@ class NetParams(NamedTuple):
     filters: int = 16
     #: bytes by which chunks begin; a chunk is two of these long, so chunks overlap by half
     half: int = 128
-    #: labelled rows learnt from, for each label, and bytes taken from one of them
+    #: labelled rows learnt from, for each label; their texts are learnt from whole
     sample: int = 1000
-    sample_bytes: int = 1536
     #: steps of training, however many rows there are, and rows in a step
     steps: int = 320
     batch: int = 64
@@ -39,15 +38,21 @@ class Net(NamedTuple):
 
 
 def layout(data: np.ndarray, offs: np.ndarray, p: NetParams) -> tuple[np.ndarray, np.ndarray]:
-    """Texts laid in whole halves (two at least), with zeros after them, and where each text's halves begin."""
+    """Texts laid in whole halves (two at least), with zeros after them and one more half of zeros, so that no filter sees the next
+    text; and where each text's halves begin."""
     size = np.diff(offs)
-    halves = np.maximum(2, -(-size // p.half))
+    halves = np.maximum(2, -(-size // p.half)) + 1
     begin = np.concatenate(([0], np.cumsum(halves)))
     out = np.zeros(begin[-1] * p.half + p.width, np.uint8)
-    out[np.repeat(begin[:-1] * p.half - offs[:-1], size) + np.arange(len(data))] = data
+    for t in range(len(size)):
+        out[begin[t] * p.half : begin[t] * p.half + size[t]] = data[offs[t] : offs[t + 1]]
     return out, begin
 
 
+#: halves whose outputs are held at once, so that a text of any length takes bounded memory
+_HALVES = 2048
+
+
 def activations(net: Net, laid: np.ndarray, p: NetParams) -> np.ndarray:
     """Filter outputs at every step: (steps, filters)."""
     parts = p.width // p.step
@@ -64,16 +69,18 @@ def activations(net: Net, laid: np.ndarray, p: NetParams) -> np.ndarray:
 def pooled(net: Net, laid: np.ndarray, begin: np.ndarray, p: NetParams, where: bool = False):
     """Each overlapping chunk's largest output of each filter, the chunk's text, and with `where` the step it came from."""
     steps = p.half // p.step
-    acts = activations(net, laid, p)
-    acts = acts[: begin[-1] * steps].reshape(-1, steps, p.filters)
-    half = acts.max(axis=1)
-    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin) - 1)
-    first = np.arange(len(text)) + text
+    half = np.empty((begin[-1], p.filters), net.kernel.dtype)
+    at = np.empty(half.shape if where else (0, 0), np.int64)
+    for i in range(0, begin[-1], _HALVES):
+        j = min(i + _HALVES, begin[-1])
+        acts = activations(net, laid[i * p.half : j * p.half + p.width], p)[: (j - i) * steps].reshape(-1, steps, p.filters)
+        half[i:j] = acts.max(axis=1)
+        if where:
+            at[i:j] = acts.argmax(axis=1) + np.arange(i, j)[:, None] * steps
+    text = np.repeat(np.arange(len(begin) - 1), np.diff(begin) - 2)
+    first = np.arange(len(text)) + 2 * text
     best = np.maximum(np.maximum(half[first], half[first + 1]), 0)
-    if not where:
-        return best, text, None
-    at = acts.argmax(axis=1) + np.arange(len(half))[:, None] * steps
-    return best, text, np.where(half[first] >= half[first + 1], at[first], at[first + 1])
+    return best, text, np.where(half[first] >= half[first + 1], at[first], at[first + 1]) if where else None
 
 
 def features(best: np.ndarray, text: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -106,11 +113,13 @@ def gradients(net: Net, texts: list[bytes], y: np.ndarray, weight: np.ndarray, p
     d += back[text, p.filters :] * top / np.maximum(np.add.reduceat(top.astype(np.float32), first, axis=0)[text], 1)
     d *= best > 0
     # only the step that each filter's largest output came from learns
-    seen = laid[at[:, :, None] * p.step + np.arange(p.width)]
-    x = net.embed[seen].reshape(*at.shape, -1)
-    kernel = np.einsum("cf,cfk->kf", d, x)
-    to_x = (d[:, :, None] * net.kernel.T[None]).reshape(-1, p.depth)
-    embed = np.stack([np.bincount(seen.reshape(-1), to_x[:, i], 256) for i in range(p.depth)], axis=1)
+    kernel, embed = np.zeros_like(net.kernel), np.zeros_like(net.embed)
+    for i in range(0, len(at), _HALVES):
+        seen = laid[at[i : i + _HALVES, :, None] * p.step + np.arange(p.width)]
+        x = net.embed[seen].reshape(*seen.shape[:2], -1)
+        kernel += np.einsum("cf,cfk->kf", d[i : i + _HALVES], x)
+        to_x = (d[i : i + _HALVES, :, None] * net.kernel.T[None]).reshape(-1, p.depth)
+        embed += np.stack([np.bincount(seen.reshape(-1), to_x[:, c], 256) for c in range(p.depth)], axis=1).astype(embed.dtype)
     return [embed, kernel, d.sum(axis=0), g @ f, g.sum(keepdims=True)]
 
 
@@ -132,12 +141,8 @@ def train(good: list[bytes], bad: list[bytes], p: NetParams) -> Net:
             order = np.concatenate((order, rng.permutation(len(texts))))
         pick, order = order[: p.batch], order[p.batch :]
         rate = p.rate * (1 - step / (p.steps + 1))
-        cut = []
-        for t in (texts[j] for j in pick):
-            a = int(rng.integers(0, max(1, len(t) - p.sample_bytes + 1)))
-            cut.append(t[a : a + p.sample_bytes])
         moved = []
-        for k, g in enumerate(gradients(net, cut, y[pick], weight[pick], p)):
+        for k, g in enumerate(gradients(net, [texts[j] for j in pick], y[pick], weight[pick], p)):
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.999 * v[k] + 0.001 * g * g
             moved.append((net[k] - rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32))
@@ -145,20 +150,35 @@ def train(good: list[bytes], bad: list[bytes], p: NetParams) -> Net:
     return net
 
 
+def _trained(p: NetParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["value"], r["doc_id"], r["b"]) for batch in batches for r in batch.to_pylist())
+        net = train(*([b for v, _, b in rows if v == value] for value in (1, 0)), p)
+        yield pa.RecordBatch.from_pydict({"part": pa.array([a.astype(np.float32).tobytes() for a in net], pa.binary()), "at": pa.array(range(len(net)), pa.int32())})
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, params: NetParams = NetParams()) -> Net:
-    """Train on the driver from at most 2 * sample labelled rows outside the held-out fold."""
-    texts = []
-    for value in (1, 0):
-        rows = labelled.sampled_texts(docs, labelled.sampled_ids(labels, "quality", value, params.sample))
-        cut = rows.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("b"))
-        texts.append([bytes(r["b"]) for r in sorted(cut.toLocalIterator(), key=lambda r: (r["doc_id"], bytes(r["b"])))])
-    return train(*texts, params)
+    """Train, in one task, from the whole texts of at most 2 * sample labelled rows outside the held-out fold; only the network comes to the driver.
+
+    Rows repeated in docs are learnt from as often; labels repeated count once; labels that are null, or of no document or no doc_id, are
+    passed over. A null text is learnt from as an empty one. Without rows of one label (as for empty tables) the network
+    answers with the other's.
+    """
+    p = params
+    ids = [labelled.sampled_ids(labels, "quality", value, p.sample).withColumn("value", F.lit(value)) for value in (1, 0)]
+    rows = labelled.sampled_texts(docs, ids[0].union(ids[1])).select("value", "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("b"))
+    parts = sorted(rows.repartition(1).mapInArrow(_trained(p), "part binary, at int").collect(), key=lambda r: r["at"])
+    shapes = ((256, p.depth), (p.width * p.depth, p.filters), (p.filters,), (2 * p.filters,), (1,))
+    return Net(*(np.frombuffer(bytes(r["part"]), np.float32).reshape(shape) for r, shape in zip(parts, shapes, strict=True)))
 
 
 def score(docs: DataFrame, net: Net, params: NetParams = NetParams(), threshold: float = 0.3) -> DataFrame:
     """docs with two more columns, quality_score and quality_predicted (1 from the threshold on). Every byte of every text counts.
 
-    A null or empty text is scored as a chunk of zeros. Other columns pass through; nothing is shuffled.
+    A null or empty text is scored as a chunk of zeros, and repeated rows get one score. Other columns pass through, but those of the two
+    names, which are replaced; an empty table gives an empty result. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(net))
 

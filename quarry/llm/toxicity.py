@@ -91,17 +91,23 @@ def _observed(p: PUParams):
 def fit(docs: DataFrame, labels: DataFrame, params: PUParams = PUParams()) -> Model:
     """Train from confirmed toxic rows outside the held-out fold and from texts whose labels aren't looked at.
 
-    The class prior is the share of toxic rows among the labels that may be learnt from.
+    The class prior is the share of toxic rows among the labels that may be learnt from. Rows of one doc_id are one example, however
+    often it or its label is repeated; labels that are null, or of no document or no doc_id, are no examples, and a null text has no words. Without
+    examples (as for empty tables) the model answers with the prior.
     """
     p = params
     open_ = labels.where(~labelled.held_out())
     prior = open_.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
     toxic = labelled.sampled_ids(labels, "toxic", 1, p.positives).withColumn("toxic", F.lit(1))
     other = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~labelled.held_out()).orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.unlabelled).withColumn("toxic", F.lit(0))
-    ids = toxic.union(other)
+    # two orderings of all ids: done once
+    ids = land(toxic.union(other), "sample")
     sample = labelled.sampled_texts(docs, ids).withColumn("row", F.xxhash64("doc_id", "toxic"))
     seen = land(sample.mapInArrow(_observed(p), "at long, row long, toxic int"), "features")
-    n1, n0 = (max(1, ids.where(F.col("toxic") == t).count()) for t in (1, 0))
+    # rows are those that have a text; ids of labels alone aren't
+    found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("row").alias("n")).collect()}
+    n1, n0 = (max(1, found.get(t, 0)) for t in (1, 0))
+    seen = seen.distinct()
     df = seen.groupBy("at").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= p.least)
     df = df.withColumn("lift", (F.col("a") / n1) / ((F.col("b") + 1) / n0)).where(F.col("lift") >= p.times)
     kept = np.sort([r["at"] for r in df.orderBy(F.desc(F.col("a") * F.log("lift")), "at").limit(p.most).collect()]).astype(np.int64)
@@ -136,7 +142,8 @@ def probability(model: Model, data: np.ndarray, offs: np.ndarray, p: PUParams) -
 def score(docs: DataFrame, model: Model, params: PUParams = PUParams(), threshold: float = 0.5) -> DataFrame:
     """docs with two more columns, toxic_score and toxic_predicted (1 from the threshold on). Every word of every text counts.
 
-    A null or empty text has no features and gets the score of the bias. Other columns pass through; nothing is shuffled.
+    A null or empty text has no features and gets the score of the bias; repeated rows get one score. Other columns pass through, but
+    those of the two names, which are replaced; an empty table gives an empty result. Nothing is shuffled.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 

@@ -1,11 +1,16 @@
 """Classifiers: held-out accuracy, gradients and risks; scores of whole texts."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.llm import kernels as K
 from quarry.llm import labelled, quality, toxicity
 
+from .test_repeats import split
+
 SF = "/root/testdata/sf0.01"
 
 
@@ -41,6 +46,58 @@ def test_quality_counts_every_byte():
     assert score(head + b"$$$%%%### " * 400) < score(head + b"plain words only " * 235)
 
 
+def test_quality_against_a_plain_convolution(spark, docs, texts):
+    """Scores of whole texts, in blocks or not, against loops over filters and chunks."""
+    p = quality.NetParams(filters=4, depth=3)
+    rng = np.random.default_rng(1)
+    net = quality.Net(*(rng.normal(0, 0.5, s).astype(np.float32) for s in ((256, 3), (48, 4), (4,), (8,), (1,))))
+
+    def plain(text):
+        b = text + bytes(max(2, -(-len(text) // p.half)) * p.half - len(text) + p.width)
+        outs = [[float(np.concatenate([net.embed[c] for c in b[at : at + p.width]]) @ net.kernel[:, f] + net.shift[f]) for f in range(4)] for at in range(0, len(b) - p.width, p.step)]
+        steps = p.half // p.step
+        chunks = [[max(0.0, *(o[f] for o in outs[k * steps : (k + 2) * steps])) for f in range(4)] for k in range(len(outs) // steps - 1)]
+        x = [sum(c[f] for c in chunks) / len(chunks) for f in range(4)] + [max(c[f] for c in chunks) for f in range(4)]
+        return 1 / (1 + np.exp(-(np.dot(x, net.dense) + net.bias[0])))
+
+    some = [t for _, t in texts if t is None or len(t) < 1200]
+    got = {r["text"]: r["quality_score"] for r in quality.score(docs.where("text is null or length(text) < 1200"), net, p).select("text", "quality_score").collect()}
+    for t in set(some):
+        assert got[t] == pytest.approx(plain((t or "").encode()), abs=1e-4)
+    data = np.frombuffer(max((t for _, t in texts if t), key=len).encode() * 10, np.uint8)
+    offs = np.array([0, 100, len(data)])
+    whole = quality.probability(net, data, offs, p)
+    before, quality._HALVES = quality._HALVES, 7
+    assert quality.probability(net, data, offs, p) == pytest.approx(whole, abs=1e-6)
+    quality._HALVES = before
+
+
+def test_toxicity_scores_against_brute_force(spark, docs, texts):
+    p = toxicity.PUParams()
+    rng = np.random.default_rng(2)
+    one = lambda b, i: int((K.byte_sums(np.frombuffer(b, np.uint8), 0).of(np.array([0]), np.array([len(b)]))[0] ^ K.seeded(9, 1)[i]) >> np.uint64(64 - p.log2_space))
+
+    def places(text):
+        words = split(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {one(w.encode()[:h], i) for w in words for i, h in enumerate((None, 4, 5, 6))}
+
+    kept = np.array(sorted(set().union(*(places(t) for _, t in texts)))[::3], np.int64)
+    model = toxicity.Model(kept, rng.normal(size=len(kept)), -0.3)
+    weights = dict(zip(kept.tolist(), model.weights))
+    got = {r["text"]: r["toxic_score"] for r in toxicity.score(docs, model).select("text", "toxic_score").collect()}
+    for _, t in texts:
+        z = -0.3 + sum(weights.get(x, 0.0) for x in places(t))
+        assert got[t] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+
+def test_labels_without_documents_are_no_examples(spark):
+    """Of 300 toxic labels 30 have a document: rows of zeros for the others would drown what those teach."""
+    d = spark.createDataFrame([(i, f"vile words here {i}" if i % 10 == 0 else f"kind words there {i}") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(300)] + [(1000 + i, int(i < 270)) for i in range(2700)], "doc_id long, toxic int")
+    got = toxicity.score(d, toxicity.fit(d.union(d), labels)).collect()
+    assert all(r["toxic_predicted"] == (r["doc_id"] % 10 == 0) for r in got)
+
+
 def test_gradients_match_differences():
     p = quality.NetParams(depth=2, filters=3, half=32)
     rng = np.random.default_rng(0)
