@@ -20,42 +20,56 @@ class WarcParams(NamedTuple):
     #: a range read goes over gaps of so many bytes, and has so many at most unless one record has more
     gap: int = 1 << 16
     most: int = 8 << 20
+    #: bytes of records that a task reads back
+    task_bytes: int = 64 << 20
 
 
 INDEX = "file string, offset long, length long, url string, digest string, record_type string, page_id long"
 RECORD = "file string, offset long, page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
 
 
+def _member(lines: list[str], block: bytes) -> bytes:
+    return gzip.compress("\r\n".join([*lines, f"Content-Length: {len(block)}"]).encode() + b"\r\n\r\n" + block + b"\r\n\r\n", 6, mtime=0)
+
+
+_DATE = "WARC-Date: 1970-01-01T00:00:00Z"
+
+
+def _info(file: str) -> bytes:
+    return _member(["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:file:{file}>", _DATE, f"WARC-Filename: {file}", "Content-Type: application/warc-fields"], b"format: WARC File Format 1.1\r\n")
+
+
 def _record(r: dict) -> bytes:
-    """One gzip member holding a WARC/1.1 record; all its lines come from the row, so that a repeated task writes the same."""
+    """One gzip member holding a WARC/1.1 record; all its lines come from the row, so that a repeated task writes the same.
+    A record is named by its page and payload, so names are repeated only if rows are."""
     revisit = r["refers_to"] is not None
-    body = b"" if revisit else r["payload"]
     clean = lambda s: " ".join((s or "").split())
     page = "" if r["page_id"] is None else str(r["page_id"])
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{page}>",
-        "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Record-ID: <urn:page:{page}:{r['digest']}>",
+        _DATE,
         f"WARC-Target-URI: {clean(r['url'])}",
         f"WARC-Payload-Digest: sha1:{r['digest']}",
         f"X-Payload-Length: {r['size']}",
         "Content-Type: application/http;msgtype=response",
-        f"Content-Length: {len(body)}",
     ]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{r['refers_to']}>"]
-    return gzip.compress("\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n", 6, mtime=0)
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{r['refers_to']}:{r['digest']}>"]
+    http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {r['size']}\r\n\r\n".encode()
+    return _member(lines, http if revisit else http + r["payload"])
 
 
 def parse_record(raw: bytes) -> dict:
-    """The headers of one gzip member, by lower-case name, and its body."""
+    """The headers of one gzip member, by lower-case name, and as body its block, of HTTP the payload."""
     head, _, rest = gzip.decompress(raw).partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError("not a WARC record")
     headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in lines[1:])}
-    return headers | {"body": rest[: int(headers["content-length"])]}
+    block = rest[: int(headers["content-length"])]
+    return headers | {"body": block.partition(b"\r\n\r\n")[2] if headers["content-type"].startswith("application/http") else block}
 
 
 def _writer(where: str):
@@ -69,6 +83,7 @@ def _writer(where: str):
                 if out is None:
                     store.create_dir(root, recursive=True)
                     out = store.open_output_stream(f"{root}/{file}", compression=None)
+                    offset = out.write(_info(file))
                 raw = _record(r)
                 out.write(raw)
                 index.append({"file": file, "offset": offset, "length": len(raw), "url": r["url"], "digest": r["digest"], "record_type": "response" if r["refers_to"] is None else "revisit", "page_id": r["page_id"]})
@@ -91,6 +106,9 @@ def write_archives(pages: DataFrame, params: WarcParams = WarcParams()) -> tuple
     largest page_id are responses and the others revisits of it; where none has a page_id, all are responses.
     Smaller payloads are responses. A null url is written as an empty one, white space in it as single spaces.
 
+    Rows repeated in full are records each, of one name; rows of one page_id are told apart by their payloads. Other columns are ignored, and
+    an empty table gives an empty index. A payload has to fit in a task.
+
     Each task writes one file and tells where each record is; files of failed or repeated tasks are in no index.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
@@ -124,8 +142,8 @@ def _reader(where: str, params: WarcParams):
                 for w in wanted[i:j]:
                     at = w["offset"] - first["offset"]
                     h = parse_record(block[at : at + w["length"]])
-                    page, refers = h["warc-record-id"][len("<urn:page:") : -1], h.get("warc-refers-to")
-                    out.append({"file": w["file"], "offset": w["offset"], "page_id": int(page) if page else None, "url": h["warc-target-uri"], "record_type": h["warc-type"], "refers_to": int(refers[len("<urn:page:") : -1]) if refers else None, "payload_bytes": int(h["x-payload-length"]), "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "payload": None if refers else h["body"]})
+                    page, refers = h["warc-record-id"].split(":")[2], h.get("warc-refers-to")
+                    out.append({"file": w["file"], "offset": w["offset"], "page_id": int(page) if page else None, "url": h["warc-target-uri"], "record_type": h["warc-type"], "refers_to": int(refers.split(":")[2]) if refers else None, "payload_bytes": int(h["x-payload-length"]), "payload_digest": h["warc-payload-digest"].removeprefix("sha1:"), "payload": None if refers else h["body"]})
                     size += len(h["body"])
                 if size >= params.most:
                     yield pa.RecordBatch.from_pylist(out, schema=_RECORD)
@@ -141,9 +159,12 @@ def _reader(where: str, params: WarcParams):
 
 def read_records(where: str, index: DataFrame, params: WarcParams = WarcParams()) -> DataFrame:
     """The records that index selects (any rows of a folder's index), as RECORD. Rows go by file and place, so that
-    neighbours are read by one range read. A revisit has its payload's length and digest, and a null payload."""
+    neighbours are read by one range read, and as many tasks as the records' bytes ask for, one for each core at least. A revisit has
+    its payload's length and digest, and a null payload; an empty index gives no records."""
     wanted = index.select("file", "offset", "length")
-    wanted = wanted.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = wanted.agg(F.sum("length")).first()[0] or 0
+    tasks = max(-(-size // params.task_bytes), wanted.sparkSession.sparkContext.defaultParallelism)
+    wanted = wanted.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     return wanted.mapInArrow(_reader(where, params), RECORD)
 
 

@@ -45,6 +45,17 @@ def test_warc(spark):
     some = index.where("page_id in (3, 6)")
     assert sorted(r["url"] for r in warc.read_records(where, some).collect()) == ["", "x y z"]
     assert warc.read_records(*warc.write_archives(pages.limit(0))).count() == 0
+    for p in (warc.WarcParams(gap=0, most=1), warc.WarcParams(gap=0), warc.WarcParams(most=700), warc.WarcParams(task_bytes=100)):
+        again = warc.verified(warc.read_records(where, index, p)).collect()
+        assert sorted(map(str, again)) == sorted(map(str, got))
+    # each file begins with a warcinfo record, and members follow one another without gaps
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(where)
+    for file, own in {r["file"]: sorted((x["offset"], x["length"]) for x in index.collect() if x["file"] == r["file"]) for r in index.select("file").distinct().collect()}.items():
+        raw = store.open_input_file(f"{root}/{file}").read()
+        assert warc.parse_record(raw[: own[0][0]])["warc-type"] == "warcinfo"
+        assert [a + n for a, n in own] == [*(a for a, _ in own[1:]), len(raw)]
 
 
 @settings(max_examples=200, deadline=None)
