@@ -25,7 +25,7 @@ class GramParams(NamedTuple):
     #: MB of items that go to every task at once, about half of it on average; more are searched for in turns
     block_mb: float = 32
     #: pairs of a text's and an item's gram that are counted at once
-    pairs: int = 1 << 21
+    pairs: int = 1 << 20
     #: log2 of the places in the table that most grams of a text are ruled out by
     log2_table: int = 22
 
@@ -200,7 +200,7 @@ def alignments(item: np.ndarray, data: np.ndarray, begin: np.ndarray, end: np.nd
     return row[np.arange(len(row)), best], at[np.arange(len(row)), best]
 
 
-def banded(item: bytes, data: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, width: int, budget: int, most: int = 1 << 21) -> np.ndarray:
+def banded(item: bytes, data: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, width: int, budget: int, most: int = 1 << 18) -> np.ndarray:
     """(edits, begin, end) of the item within each band of diagonals low..low + width and what the budget adds, -1 for edits if
     there is none. Bands are aligned so many at once that their cells and bytes are `most` at most."""
     a = np.frombuffer(item, np.uint8)

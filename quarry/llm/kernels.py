@@ -80,7 +80,7 @@ def _power(lane: int, n: int) -> list[np.ndarray]:
     """High and low limbs of the powers of a lane's base and of their inverses; symbol sums use the former, differences the latter."""
     have = _powers.get(lane)
     if have is None or len(have[0]) < n:
-        size, prime = max(n, SLICE_BYTES + 1024), (1 << 61) - 1
+        size, prime = max(n, 2 * len(have[0]) if have else 1 << 16), (1 << 61) - 1
         base, out = int(seeded(4, 4711)[lane] >> _U(4)) + 1000, []
         for b in (base, pow(base, -1, prime)):
             p = np.ones(size, _U)
@@ -89,7 +89,7 @@ def _power(lane: int, n: int) -> list[np.ndarray]:
                 step, m = pow(b, done, prime), min(done, size - done)
                 p[done : done + m] = _least(_times(p[:m].copy(), _U(step >> 31), _U(step & ((1 << 31) - 1))))
                 done += m
-            out += [p >> _31, p & _LOW31]
+            out += [(p >> _31).astype(np.uint32), (p & _LOW31).astype(np.uint32)]
         _powers[lane] = have = out
     return have
 
