@@ -28,7 +28,7 @@ class SketchParams(NamedTuple):
     chunk_rows: int = 256
 
 
-_SLICE = 1 << 22
+_SLICE = 1 << 20
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
