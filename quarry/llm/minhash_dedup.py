@@ -24,7 +24,7 @@ class SketchParams(NamedTuple):
     bands: int = 64
     rows: int = 7
     #: MB and rows of sets compared in one task; larger groups are compared in pairs of chunks
-    chunk_mb: int = 16
+    chunk_mb: int = 8
     chunk_rows: int = 256
 
 
@@ -182,7 +182,7 @@ def _verify(p: SketchParams):
         words = table["words"].to_pylist()
         data, offs = np.frombuffer(b"".join(words), np.uint8), np.concatenate(([0], np.cumsum([len(w) for w in words])))
         h, at = shingle_sets(data, offs, p.shingle)
-        full = lru_cache(maxsize=512)(lambda i: exact_set(words[i], p.shingle))
+        full = lru_cache(maxsize=4)(lambda i: exact_set(words[i], p.shingle))
 
         def holds(i: int, j: int) -> bool:
             both = len(full(i) & full(j))
