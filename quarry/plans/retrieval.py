@@ -135,13 +135,14 @@ def minibatch_update(spark, d):
     return u.select("cluster_id", F.posexplode("centroid").alias("pos", "x")).select("cluster_id", (F.col("pos") + 1).alias("pos"), r6(F.col("x")).alias("x"))
 
 
-@query(f"""WITH {X.ASKED_TWICE}, {CENT}, {NEAREST}, n AS (SELECT query_id, qv, cluster_id FROM q, c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv::DOUBLE[], centroid), 9) DESC, cluster_id) <= 3),
+@query(f"""WITH {X.ASKED_TWICE}, {CENT}, {NEAREST}, n AS (SELECT query_id, qv, cluster_id FROM q, c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(qv::DOUBLE[], centroid), 9) DESC, cluster_id) <= 6),
 x AS (SELECT query_id, id, list_distance(v, qv::DOUBLE[]) AS distance FROM n JOIN (SELECT id, v, CASE WHEN id % 10 = 0 THEN -1 ELSE cluster_id END AS cluster_id FROM a) USING (cluster_id) UNION ALL SELECT query_id, id, list_distance(v, qv::DOUBLE[]) FROM q, a WHERE id % 10 = 0)
 SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), id) AS rank, round(distance, 6) AS distance FROM x QUALIFY rank <= 10""")
 def ivf_probe(spark, d):
+    # vectors here are all but unclustered: 6 of 8 clusters hold 0.92 of the true neighbours, 3 hold 0.68
     c = _centroids(spark, d)
     ivf = I.assigned(X.vectors(spark, d), c).withColumn("cluster_id", F.when(F.col("id") % 10 == 0, -1).otherwise(F.col("cluster_id")))
-    return I.probed(ivf, c, X.asked_twice(spark, d), k=10, probes=3).withColumn("distance", r6(F.col("distance")))
+    return I.probed(ivf, c, X.asked_twice(spark, d), k=10, probes=6).withColumn("distance", r6(F.col("distance")))
 
 
 GRADED = "g AS (SELECT 'v' || (doc_id % 2) AS profile, doc_id // 20 AS query_id, doc_id AS id, quality + toxic + doc_id % 2 AS grade, doc_id * 7919 % 10007 AS created FROM labels), r AS (SELECT *, row_number() OVER (PARTITION BY profile, query_id ORDER BY created, id) AS rank FROM g)"

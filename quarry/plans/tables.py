@@ -99,14 +99,14 @@ ASKED_TWICE = "q AS (SELECT vec_id // 20 AS query_id, coalesce(text, '') AS quer
 def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit lines: events of a session (user) in one hour are what one prompt was given. A line of one event is a corrupt one."""
     e = events(spark, sf_dir).withColumn("hour", F.floor(F.col("t") / 3600))
-    g = e.groupBy("user_id", "hour").agg(F.max("t").alias("ts"), F.collect_set(F.col("k") % 50).alias("ids"), F.count("*").alias("n"))
+    g = e.groupBy("user_id", "hour").agg(F.max("t").alias("ts"), F.collect_set("k").alias("ids"), F.count("*").alias("n"))
     return g.select(F.concat_ws(":", F.col("user_id").cast("string"), F.col("hour").cast("string")).alias("line_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "ts", F.when((F.col("user_id") % 10) != 0, F.col("ids")).alias("ids"), (F.col("n") * 100).alias("injected_tokens"))
 
 
 AUDIT = (
     EVENTS
     + """, audit AS (SELECT user_id || ':' || (t // 3600) AS line_id, 's' || user_id AS session_id, max(t) AS ts,
-  CASE WHEN user_id % 10 <> 0 THEN list(DISTINCT k % 50) FILTER (k IS NOT NULL) END AS ids, count(*) * 100 AS injected_tokens FROM e GROUP BY user_id, t // 3600)"""
+  CASE WHEN user_id % 10 <> 0 THEN list(DISTINCT k) FILTER (k IS NOT NULL) END AS ids, count(*) * 100 AS injected_tokens FROM e GROUP BY user_id, t // 3600)"""
 )
 
 

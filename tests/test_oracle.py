@@ -34,3 +34,17 @@ def test_query(spark, con, name):
     columns = [x[0] for x in cur.description]
     assert sorted(columns) == sorted(df.columns)
     assert got == rows(columns, cur.fetchall())
+
+
+def test_recall_of_the_index(spark):
+    """At least 0.9 of the ten nearest by an exact search."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import search
+    from quarry.plans import tables
+
+    sf = "/root/testdata/sf0.01"
+    found = {(r["query_id"], r["id"]) for r in registry.queries()["ivf_probe"](spark, sf).collect()}
+    exact = search.knn(tables.vectors(spark, sf), tables.asked_twice(spark, sf), k=10).where(F.col("rank") <= 10)
+    true = {(r["query_id"], r["id"]) for r in exact.select("query_id", "id").collect()}
+    assert len(found & true) >= 0.9 * len(true) > 0
