@@ -170,6 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: NetParams = NetParams()) ->
     ids = [labelled.sampled_ids(labels, "quality", value, p.sample).withColumn("value", F.lit(value)) for value in (1, 0)]
     rows = labelled.sampled_texts(docs, ids[0].union(ids[1])).select("value", "doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("b"))
     parts = sorted(rows.repartition(1).mapInArrow(_trained(p), "part binary, at int").collect(), key=lambda r: r["at"])
+    if not parts:  # Spark runs no task for a table that it knows to be empty
+        return train([], [], p)
     shapes = ((256, p.depth), (p.width * p.depth, p.filters), (p.filters,), (2 * p.filters,), (1,))
     return Net(*(np.frombuffer(bytes(r["part"]), np.float32).reshape(shape) for r, shape in zip(parts, shapes, strict=True)))
 
