@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: fixed value: channels in the order in which they are shown
-CHANNELS = ("memory", "skill", "observation", "remote")
+CHANNELS = ("inbox", "memory", "skill", "observation", "remote")
 MARKER = "… [truncated]"
 
 

@@ -2,9 +2,10 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions import lifecycle as L
 from quarry.operators import records as R
 from quarry.operators import search as H
 from quarry.operators import semantic as G
@@ -48,19 +49,28 @@ def use_report(points: DataFrame, distances: DataFrame, created: DataFrame, eps:
     return c.groupBy("cluster").agg(F.count("*").alias("members"), F.count(F.when(F.col("is_core"), 1)).alias("cores"), days)
 
 
-def search_channel(docs: DataFrame, vectors: DataFrame, queries: DataFrame, channel: str, k: int = 5, prefilter: bool = False, p: H.RankProfile = H.RankProfile()) -> DataFrame:
-    """Hits of one channel. As a rule it is filtered after fusion, so a small channel can come up short; prefilter looks in it alone."""
+def search_channel(docs: DataFrame, vectors: DataFrame, queries: DataFrame, channel: str, k: int = 5, prefilter: bool = False, p: H.RankProfile = H.RankProfile(), where: Column | None = None) -> DataFrame:
+    """Hits of one channel for which `where`, a condition on columns of docs (type, skill, files), is true. As a rule both are
+    filtered after fusion, so a small channel can come up short; prefilter looks among these documents alone."""
+    fits = F.col("channel") == channel if where is None else (F.col("channel") == channel) & where
     if prefilter:
-        docs = docs.where(F.col("channel") == channel)
+        docs = docs.where(fits)
         vectors = vectors.join(docs.select("id"), "id", "left_semi")
-    found = H.hybrid(docs, vectors, queries, 2 * p.per_leg, p).join(docs.select("id", "channel"), "id").where(F.col("channel") == channel)
+    found = H.hybrid(docs, vectors, queries, 2 * p.per_leg, p).join(docs.where(fits).select("id", "channel"), "id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def tides(records: DataFrame, now: int) -> DataFrame:
+    """(id, multiplier) of records: how much their hits count for by buoyancy."""
+    b = L.buoyancy(F.col("stability_days"), F.col("last_surfaced"), F.col("created"), F.col("is_anchored"), now)
+    return records.select("id", L.multiplier(b).alias("multiplier"))
+
+
 def injected(docs: DataFrame, vectors: DataFrame, queries: DataFrame, records: DataFrame, now: int, k: int = 5, p: H.RankProfile = H.RankProfile()) -> DataFrame:
-    """What prompts are given: three times k hits, those of archived and sunk records dropped, superseded ones demoted, cut to k, and aged."""
-    hits = H.hybrid(docs, vectors, queries, 3 * k, p)
+    """What prompts are given: three times k hits, weighed by the buoyancy of their records, those of archived and sunk records dropped, superseded ones demoted, cut to k, and aged."""
+    afloat = tides(records, now).join(docs.where(F.col("channel") == "observation").select("id"), "id", "left_semi")
+    hits = H.hybrid(docs, vectors, queries, 3 * k, p, afloat)
     gone = records.where(F.col("archived") | (F.col("tide_state") != "active")).select("id")
     hits = H.without(hits, gone).join(records.select("id", "superseded", "created"), "id", "left")
     hits = hits.join(docs.select("id", "channel"), "id", "left").withColumn("superseded", F.coalesce("superseded", F.lit(False)))

@@ -18,6 +18,16 @@ def to_delete(queue: DataFrame) -> DataFrame:
     return again.union(later).distinct()
 
 
+def accepted(events: DataFrame, longest: int = 2000) -> DataFrame:
+    """Events that may be queued: with session, project and tool, a time, and a prompt number of 0 or more. Their summaries, where
+    there are such columns, are cut to `longest` characters; missing lists of files are empty."""
+    said = lambda c: F.length(F.coalesce(c, F.lit(""))) > 0
+    fine = said("session_id") & said("project_id") & said("tool_name") & F.col("ts").isNotNull() & (F.col("prompt_number") >= 0)
+    cut = {c: F.substring(c, 1, longest) for c in ("tool_input_summary", "tool_result_summary") if c in events.columns}
+    lists = {c: F.coalesce(c, F.array().cast("array<string>")) for c in ("files", "files_read", "files_modified") if c in events.columns}
+    return events.where(fine).withColumns(cut | lists)
+
+
 def observations(events: DataFrame) -> DataFrame:
     """One row for each session and prompt: scalars of the first event, files in order of first appearance."""
     first = lambda c: F.min_by(c, F.struct("ts", "id")).alias(c)

@@ -46,6 +46,15 @@ def in_blocks(df: DataFrame, key: str, most: int = BLOCK) -> list[DataFrame]:
     return [df] if parts <= 1 else [df.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
+#: terms that go to every task at most; more meet the postings by a shuffle
+TERMS = 100_000
+
+
+def small(df: DataFrame, most: int = TERMS) -> bool:
+    """Whether df has at most `most` rows, so that it may be broadcast."""
+    return df.limit(most + 1).count() <= most
+
+
 def _top(df: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query. Spark keeps k of each task and query before it shuffles (window group limit)."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))
@@ -66,13 +75,15 @@ def corpus_size(docs: DataFrame) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     """Okapi BM25 (k1 1.2, b 0.75) of distinct query terms, idf floored at 1e-6; ties by id.
 
-    Only postings of the queries' terms, a set that goes to every task, are kept, so text is read once and other terms aren't shuffled.
+    Only postings of the queries' terms are kept: a set of up to TERMS goes to every task, so that other terms aren't shuffled; a larger one is joined by a shuffle.
     """
     wanted = queries.select("query_id", F.explode(F.array_distinct(T.tokens("query"))).alias("term"))
     terms = docs.select("id", T.tokens("text").alias("terms")).select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    post = terms.join(F.broadcast(wanted.select("term").distinct()), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
+    asked = wanted.select("term").distinct()
+    sent = F.broadcast if small(asked) else (lambda x: x)
+    post = terms.join(sent(asked), "term").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    scored = post.join(F.broadcast(df.crossJoin(corpus_size(docs))), "term").join(F.broadcast(wanted), "term")
+    scored = post.join(sent(df), "term").join(wanted, "term").crossJoin(F.broadcast(corpus_size(docs)))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     total = scored.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
@@ -165,10 +176,18 @@ def without(hits: DataFrame, dropped: DataFrame, key: str = "id") -> DataFrame:
     return hits.join(dropped.select(key).distinct(), key, "left_anti")
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, p: RankProfile = RankProfile()) -> DataFrame:
-    """Both legs, fused, boosted by words of the query, and cut to k: (query_id, id, rank, score)."""
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, p: RankProfile = RankProfile(), tide: DataFrame | None = None) -> DataFrame:
+    """Both legs, fused, boosted by words of the query, and cut to k: (query_id, id, rank, score).
+
+    If docs have a branch and queries a current_branch, hits of that branch gain. tide (id, multiplier, one row an id) scales
+    the hits that it names before the cut.
+    """
     legs = knn(vectors, queries, p.per_leg), bm25(docs, queries, p.per_leg)
     fused = weighted(*legs, p.vector_weight, p.keyword_weight) if p.fusion == "weighted" else rrf(list(legs), p.rrf_k)
-    found = fused.join(docs.select("id", "text"), "id", "left").join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    branches = "branch" in docs.columns and "current_branch" in queries.columns
+    of_docs, of_queries = (["branch"], ["current_branch"]) if branches else ([], [])
+    found = fused.join(docs.select("id", "text", *of_docs), "id", "left").join(queries.select("query_id", "query", *of_queries), "query_id")
     found = boosted(found.withColumn("text", F.coalesce("text", F.lit(""))), p)
+    if tide is not None:
+        found = found.join(tide.select("id", "multiplier"), "id", "left").withColumn("score", F.col("score") * F.coalesce("multiplier", F.lit(1.0)))
     return reranked(found).where(F.col("rank") <= k).select("query_id", "id", "rank", "score")

@@ -59,6 +59,24 @@ def usage_by_session(usage: DataFrame, fields: tuple[str, ...]) -> DataFrame:
     return once.groupBy("session_id").agg(F.count("*").alias("messages"), *(F.sum(f).alias(f) for f in fields))
 
 
+def usage_totals(usage: DataFrame, since: int) -> DataFrame:
+    """One row of usage (session_id, parent_id, ts, fresh, output, cached): sessions and sub-agents, which have a parent, counted
+    apart; the oldest last activity; token sums of all time, and as window_* those from `since` on. Sums over nothing are 0."""
+    fields = ("fresh", "output", "cached")
+    inside = {f"window_{f}": F.when(F.col("ts") >= since, F.col(f)) for f in fields}
+    sums = lambda names: [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]
+    per = usage.withColumns(inside).groupBy("session_id").agg(F.max("parent_id").alias("parent_id"), F.max("ts").alias("last"), *sums((*fields, *inside)))
+    return per.agg(F.count(F.when(F.col("parent_id").isNull(), 1)).alias("sessions"), F.count("parent_id").alias("agents"), F.min("last").alias("oldest"), *sums((*fields, *inside)))
+
+
+def migration_counts(progress: DataFrame) -> DataFrame:
+    """(kind, records) of an import's progress (kind, source_id, ...): both kinds, also those of which nothing was imported; others don't count."""
+    kinds = F.explode(F.array(F.lit("observation"), F.lit("summary"))).alias("kind")
+    some = progress.groupBy("kind").agg(F.count("*").alias("n"))
+    both = progress.sparkSession.range(1).select(kinds)
+    return both.join(some, "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("records"))
+
+
 def minute_buckets(events: DataFrame, since: int) -> DataFrame:
     """Tokens by session and minute, from `since` (epoch seconds) on."""
     minute = F.floor(F.col("ts") / 60) * 60

@@ -85,9 +85,11 @@ def theme_sums(spark, d):
     return o.groupBy("project_id").agg(F.sum("from_auto").alias("from_auto"), F.max("last_surfaced").alias("last_surfaced"), G.cluster_key(F.collect_list("id")).alias("cluster_key"))
 
 
-@query("SELECT label AS cluster_id, count(*) AS hits FROM embeddings GROUP BY 1")
+@query("WITH c AS (SELECT label, count(*) * 2 AS hits FROM embeddings WHERE label % 3 = 0 GROUP BY 1), n AS (SELECT count(*) AS vectors FROM embeddings), t AS (SELECT count(*) AS clusters, sum(hits) AS told FROM c) SELECT clusters, vectors, least(told, vectors)::BIGINT AS assigned FROM t, n")
 def index_summary(spark, d):
-    return X.vectors(spark, d).groupBy(F.col("label").alias("cluster_id")).agg(F.count("*").alias("hits"))
+    v = X.vectors(spark, d)
+    hits = v.where("label % 3 = 0").groupBy(F.col("label").alias("cluster_id")).agg((F.count("*") * 2).alias("hits"))
+    return I.summary(v, hits)
 
 
 @query(f"WITH {X.EVENTS}, t AS (SELECT user_id AS conv_id, event_id AS n, event_type AS line, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM e) SELECT conv_id, n, line FROM t WHERE before IS NULL OR before <> line")
@@ -120,6 +122,26 @@ def session_usage(spark, d):
     return S.session_report(a.select("session_id").distinct(), S.injected_by_session(a.where("ids is not null")))
 
 
+USAGE = X.EVENTS + """, u AS (SELECT 's' || user_id AS session_id, CASE WHEN user_id % 4 <> 0 THEN 's' || (user_id // 4) END AS parent_id, t AS ts, coalesce(k, 0) AS fresh, coalesce(k % 7, 0) AS output, coalesce(k * 2, 0) AS cached FROM e)"""
+
+
+@query(f"""WITH {USAGE}, s AS (SELECT session_id, max(parent_id) AS parent_id, max(ts) AS last FROM u GROUP BY 1),
+w AS (SELECT * FROM u WHERE ts >= 1705500000)
+SELECT count(*) FILTER (parent_id IS NULL) AS sessions, count(parent_id) AS agents, min(last) AS oldest, (SELECT sum(fresh)::BIGINT FROM u) AS fresh, (SELECT sum(output)::BIGINT FROM u) AS output, (SELECT sum(cached)::BIGINT FROM u) AS cached,
+(SELECT coalesce(sum(fresh), 0)::BIGINT FROM w) AS window_fresh, (SELECT coalesce(sum(output), 0)::BIGINT FROM w) AS window_output, (SELECT coalesce(sum(cached), 0)::BIGINT FROM w) AS window_cached FROM s""")
+def fleet_totals(spark, d):
+    user, k = F.col("user_id"), F.coalesce("k", F.lit(0))
+    parent = F.when(user % 4 != 0, F.concat(F.lit("s"), F.floor(user / 4).cast("string")))
+    u = X.events(spark, d).select(F.concat(F.lit("s"), user.cast("string")).alias("session_id"), parent.alias("parent_id"), F.col("t").alias("ts"), k.alias("fresh"), (k % 7).alias("output"), (k * 2).alias("cached"))
+    return S.usage_totals(u, 1705500000)
+
+
+@query(f"WITH {X.EVENTS}, p AS (SELECT CASE WHEN event_type = 'view' THEN 'observation' WHEN event_type = 'error' THEN 'other' END AS kind FROM e) SELECT k.kind, count(p.kind) AS records FROM (VALUES ('observation'), ('summary')) k(kind) LEFT JOIN p USING (kind) GROUP BY 1")
+def migration_counts(spark, d):
+    kind = F.when(F.col("event_type") == "view", "observation").when(F.col("event_type") == "error", "other")
+    return S.migration_counts(X.events(spark, d).select(kind.alias("kind"), F.col("event_id").alias("source_id")))
+
+
 VEC = "ov AS (SELECT obs.*, embedding::DOUBLE[] AS v FROM obs JOIN embeddings ON vec_id = id)"
 
 
@@ -170,7 +192,7 @@ def representative_vectors(spark, d):
 
 @query("SELECT greatest(1, round(count(*) / 300.0))::BIGINT AS clusters FROM embeddings")
 def cluster_count(spark, d):
-    return _vectors(spark, d).agg(F.greatest(F.lit(1), F.round(F.count("*") / 300)).cast("long").alias("clusters"))
+    return spark.createDataFrame([(I.cluster_count(_vectors(spark, d).count()),)], "clusters long")
 
 
 @query()
@@ -253,20 +275,29 @@ def protected(spark, d):
     return X.observations(spark, d).select("id", (F.col("from_auto") + F.col("from_search") + F.col("from_drill")).alias("total"), (F.col("is_anchored") | (F.col("from_drill") > 0)).alias("protected"))
 
 
+#: records whose titles can be alike have ids 120 apart: all but each seventh share a vector with these
+ALIKE = "ov AS (SELECT obs.*, embedding::DOUBLE[] AS v FROM obs JOIN embeddings ON vec_id = CASE WHEN id % 7 = 0 THEN id ELSE id % 120 END)"
+
+
+def _alike(spark, d):
+    at = F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.col("id") % 120)
+    return X.observations(spark, d).select("id", at.alias("vec_id")).join(_vectors(spark, d).withColumnRenamed("id", "vec_id"), "vec_id").select("id", "vector")
+
+
 @query()
 def dedup_pass(spark, d):
     from quarry.operators import passes
 
-    return passes.dedup_merges(X.observations(spark, d), _vectors(spark, d), 0.3, -1.0)
+    return passes.dedup_merges(X.observations(spark, d), _alike(spark, d))
 
 
-@query(f"""WITH {X.OBS}, {VEC}, v AS (SELECT id, project_id, branch, created, v, regexp_extract(title, ' v1\\.([0-9]+)\\.', 1) AS mi, regexp_extract(title, ' v1\\.[0-9]+\\.([0-9]+)', 1) AS pa, regexp_replace(title, ' v1\\.[0-9]+\\.[0-9]+', '') AS entity FROM ov),
+@query(f"""WITH {X.OBS}, {ALIKE}, v AS (SELECT id, project_id, branch, created, v, regexp_extract(title, ' v1\\.([0-9]+)\\.', 1) AS mi, regexp_extract(title, ' v1\\.[0-9]+\\.([0-9]+)', 1) AS pa, regexp_replace(title, ' v1\\.[0-9]+\\.[0-9]+', '') AS entity FROM ov),
 t AS (SELECT * REPLACE (mi::BIGINT AS mi, pa::BIGINT AS pa) FROM v WHERE mi <> ''), h AS (SELECT *, first(id) OVER w AS hid, first(mi) OVER w AS hm, first(pa) OVER w AS hp, first(created) OVER w AS hc FROM t WINDOW w AS (PARTITION BY project_id, branch, entity ORDER BY mi DESC, pa DESC, id))
-SELECT h.id, hid AS superseded_by FROM h JOIN ov o ON o.id = hid WHERE (mi, pa) < (hm, hp) AND h.created <= hc AND list_cosine_similarity(h.v, o.v) >= -0.05""")
+SELECT h.id, hid AS superseded_by FROM h JOIN ov o ON o.id = hid WHERE (mi, pa) < (hm, hp) AND h.created <= hc AND round(list_cosine_similarity(h.v, o.v), 9) >= 0.93""")
 def supersede_pass(spark, d):
     from quarry.operators import passes
 
-    return passes.supersessions(X.observations(spark, d), _vectors(spark, d), -0.05)
+    return passes.supersessions(X.observations(spark, d), _alike(spark, d))
 
 
 @query()

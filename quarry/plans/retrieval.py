@@ -9,7 +9,7 @@ from quarry.operators import evaluation as E
 from quarry.operators import index as I
 from quarry.operators import search as H
 from quarry.plans import tables as X
-from quarry.plans.core import ALL, NOW, query, r6
+from quarry.plans.core import ALL, BUOY, NOW, query, r6
 from quarry.sources import chunkers, transcripts
 
 BM25 = r"""t AS (SELECT doc_id AS id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS toks FROM documents),
@@ -67,6 +67,17 @@ def hybrid_search_topk(spark, d):
     return H.hybrid(X.chunks(spark, d), X.vectors(spark, d), X.asked_twice(spark, d)).withColumn("score", r6(F.col("score")))
 
 
+@query(f"""WITH {LEGS}, {WEIGHTED}, {RARE}, {X.OBS.replace("e AS (", "ev AS (", 1).replace("FROM e LEFT", "FROM ev LEFT")}, tide AS (SELECT id, 0.3 + 0.7 * ({BUOY}) AS factor FROM obs),
+z AS (SELECT f.query_id, f.id, leg, lr, score * {BOOSTS} * CASE WHEN lang = 'en' THEN 1.1 ELSE 1.0 END * coalesce(factor, 1.0) AS score FROM fused f JOIN x USING (query_id) LEFT JOIN documents ON doc_id = f.id LEFT JOIN tide ON tide.id = f.id)
+SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, leg, lr, id) AS rank, round(score, 6) AS score FROM z QUALIFY rank <= 10""")
+def hybrid_branch_tide_topk(spark, d):
+    from quarry.operators import passes
+
+    docs = X.chunks(spark, d).withColumn("branch", F.col("channel"))
+    asked = X.asked_twice(spark, d).withColumn("current_branch", F.lit("en"))
+    return H.hybrid(docs, X.vectors(spark, d), asked, tide=passes.tides(X.observations(spark, d), NOW)).withColumn("score", r6(F.col("score")))
+
+
 @query("WITH i AS (SELECT doc_id AS id, text, 'see src/app.py or fooBar and of_the' AS query FROM documents) SELECT id, least(2.0, 1.0 + 0.3 * (contains(text, 'src/app.py')::INT + contains(text, 'fooBar')::INT + contains(text, 'of_the')::INT))::DOUBLE AS boost FROM i")
 def identifier_boost(spark, d):
     return X.chunks(spark, d).select("id", H.identifier_boost(F.lit("see src/app.py or fooBar and of_the"), F.col("text")).alias("boost"))

@@ -92,6 +92,20 @@ def split_text(text: str, target: int) -> list[str]:
     return [text[i : i + target * 16] for i in range(0, len(text), target * 16)]
 
 
+#: fixed values: tokens that embedding models take at most
+MODEL_LIMITS = {
+    "voyage-4-large": 32_000, "voyage-4-lite": 32_000, "voyage-3-large": 32_000, "voyage-3.5": 32_000, "voyage-3.5-lite": 32_000,
+    "voyage-3-lite": 32_000, "voyage-code-3": 32_000, "voyage-code-2": 16_000, "voyage-finance-2": 32_000, "voyage-law-2": 16_000,
+    "voyage-4-nano": 512, "text-embedding-3-large": 8_192, "text-embedding-3-small": 8_192, "text-embedding-ada-002": 8_192,
+}
+
+
+def model_limit(model: Column, default: int = 512) -> Column:
+    """The limit of a model by its name, with or without its maker before a slash; unknown ones get the default."""
+    limits = F.create_map(*(F.lit(x) for pair in MODEL_LIMITS.items() for x in pair))
+    return F.coalesce(F.try_element_at(limits, F.substring_index(model, "/", -1)), F.lit(default))
+
+
 def split_for_limit(chunks: DataFrame, limit_tokens: int = 512) -> DataFrame:
     """chunks (id, text) cut to three quarters of a model's limit: (id, split_index, split_total, text)."""
     target = max(1, limit_tokens * 3 // 4)

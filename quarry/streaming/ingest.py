@@ -16,7 +16,7 @@ def observations_to(stream: DataFrame, out: str, checkpoint: str):
     """Each micro-batch's events as observations, appended under its number, so that a repeated batch replaces its own rows."""
 
     def write(batch: DataFrame, number: int) -> None:
-        queueing.observations(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        queueing.observations(queueing.accepted(batch)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
