@@ -4,8 +4,13 @@ Queries are a DataFrame too (query_id, query, and vector for the vector leg), so
 A leg is (query_id, id, rank, score).
 """
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -90,11 +95,44 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     return _top(total, k, F.round("score", 9).desc(), F.col("id")).select("query_id", "id", "rank", "score")
 
 
+def _nearest(asked: Broadcast, k: int):
+    """Each batch's k nearest of each query, ties by id, so that only these are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, points = asked.value
+        for batch in batches:
+            column = batch["vector"].cast(pa.list_(pa.float64()))
+            size = np.asarray(column.value_lengths().fill_null(0))
+            flat, end = column.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False), np.cumsum(size)
+            for dim in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == dim)
+                x = flat[(end[rows] - dim)[:, None] + np.arange(dim)]
+                for place, q in enumerate(points):
+                    if len(q) != dim:
+                        continue
+                    away = x - q
+                    d = np.sqrt(np.einsum("ij,ij->i", away, away))
+                    near = np.flatnonzero(np.isfinite(d))
+                    if len(near) > k:
+                        near = near[d[near] <= np.partition(d[near], k - 1)[k - 1] + 2e-9]
+                    hits = pa.table({"id": batch["id"].take(pa.array(rows[near])), "distance": d[near], "r": np.round(d[near], 9)})
+                    hits = hits.take(pc.sort_indices(hits, [("r", "ascending"), ("id", "ascending")])[:k])
+                    yield from pa.table({"query_id": ids.take(pa.array([place] * hits.num_rows, pa.int64())), "id": hits["id"], "distance": hits["distance"]}).to_batches()
+
+    return run
+
+
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """Exact nearest vectors by L2; score is the cosine moved to 0..1. Queries meet all vectors in blocks that go to every task."""
+    """Exact nearest vectors by L2; score is the cosine moved to 0..1. Queries meet all vectors in blocks that go to every task.
+    Null vectors, those of another length and those with null or non-finite parts are near nothing."""
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    rows = vectors.select("id", "vector")
+    schema = f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, distance double"
     far = None
-    for block in in_blocks(queries.select("query_id", F.col("vector").alias("q")), "query_id"):
-        pairs = vectors.select("id", "vector").crossJoin(F.broadcast(block)).select("query_id", "id", V.l2(F.col("vector"), F.col("q")).alias("distance"))
+    for block in in_blocks(queries.where("vector is not null").select("query_id", "vector"), "query_id"):
+        got = block.toArrow()  # as many rows as a block has
+        asked = got["query_id"].combine_chunks(), [np.array(v, np.float64) for v in got["vector"].to_pylist()]
+        pairs = rows.mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast(asked), k), schema)
         far = pairs if far is None else far.unionByName(pairs)
     return _top(far, k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank", "distance", V.similarity_of_distance(F.col("distance")).alias("score"))
 

@@ -76,3 +76,13 @@ def test_totals_of_nothing(spark):
 def test_model_limits(spark):
     df = spark.createDataFrame([("maker/voyage-4-nano",), ("voyage-code-2",), ("other",), (None,)], "m string")
     assert [r[0] for r in df.select(chunkers.model_limit(F.col("m"))).collect()] == [512, 16_000, 512, 512]
+
+
+def test_nearest_with_odd_vectors(spark):
+    """Nulls, other lengths and non-finite parts are near nothing; of equal vectors the lower ids come first."""
+    rows = [(9, [1.0, 0.0]), (3, [1.0, 0.0]), (1, None), (2, [1.0]), (4, [float("nan"), 0.0]), (5, [None, 1.0]), (6, [0.0, 1.0]), (7, [])]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [2.0])], "query_id int, vector array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in H.knn(v, asked, 2).collect()}
+    assert got == {(1, 1): 3, (1, 2): 9, (3, 1): 2}
+    assert H.knn(v, asked.limit(0), 2).count() == 0 == H.knn(v.limit(0), asked, 2).count()
