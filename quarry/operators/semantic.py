@@ -1,12 +1,12 @@
 """Folds and themes by meaning: pairs come from a scope or from being used together, then vectors confirm them."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
+from quarry.operators.scratch import land
 from quarry.operators.search import in_blocks
-from quarry.operators.similarity import may_merge
+from quarry.operators.similarity import merge_guard
 
 
 def representative_vectors(chunks: DataFrame) -> DataFrame:
@@ -28,36 +28,42 @@ def scope_pairs(records: DataFrame, scope: tuple[str, ...]) -> DataFrame:
     return rows.alias("x").join(rows.alias("y"), "scope").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
-def _greedy(records: DataFrame, edges: DataFrame, scope: tuple[str, ...], least_members: int, sessions: int) -> DataFrame:
-    """(seed_id, id) of greedy stars over edges, per scope: in order of total and id, a record that isn't claimed takes
-    its unclaimed neighbours that it may merge with; small or single-session stars are let go."""
+def _greedy(records: DataFrame, edges: DataFrame, sessions: int) -> DataFrame:
+    """(seed_id, id) of greedy stars over edges (a, b): in order of total and id, a record that isn't claimed takes its unclaimed
+    neighbours that it may merge with; stars of one record or of fewer sessions are let go, and their records can be claimed later.
+
+    A round tries every record that is the first to wait within two steps: what it can take no longer depends on others. Rounds go on
+    until none waits, and are written to the scratch folder.
+    """
     total = F.col("from_auto") + F.col("from_search") + F.col("from_drill")
-    rows = records.select("id", "title", "session_id", total.alias("total"), F.to_json(F.struct(*scope)).alias("scope"))
-    both = edges.select("a", "b").union(edges.select("b", "a")).groupBy(F.col("a").alias("id")).agg(F.collect_set("b").alias("near"))
-
-    def stars(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["total", "id"], ascending=[False, True])
-        known = {i: (t, s) for i, t, s in zip(pdf["id"], pdf["title"], pdf["session_id"], strict=True)}
-        place = {i: n for n, i in enumerate(known)}
-        claimed, out = set(), []
-        for i, near in zip(pdf["id"], pdf["near"], strict=True):
-            if i in claimed:
-                continue
-            members = sorted((j for j in near if j in known and j not in claimed and may_merge(known[i][0], known[j][0])), key=place.get)
-            star = [i, *members]
-            if len(star) < least_members or len({known[j][1] for j in star}) < sessions:
-                continue
-            claimed.update(star)
-            out += [(i, j) for j in star]
-        return pd.DataFrame(out, columns=["seed_id", "id"])
-
-    return rows.join(both, "id").groupBy("scope").applyInPandas(stars, "seed_id long, id long")
+    rows = records.select("id", "title", "session_id", (-total).alias("t"))
+    side = lambda s: rows.select(F.col("id").alias(s), F.col("title").alias(f"title_{s}"), F.col("session_id").alias(f"s{s}"), F.col("t").alias(f"t{s}"))
+    pairs = merge_guard(edges.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b")).where("may_merge")
+    near = pairs.select("a", "ta", "sa", "b", "tb", "sb")
+    near = near.union(near.select("b", "tb", "sb", "a", "ta", "sa")).withColumns({"wa": F.lit(True), "wb": F.lit(True)})
+    near, out = land(near, "near"), None
+    while not near.where("wa").isEmpty():
+        place = lambda s: F.when(F.col(f"w{s}"), F.struct(F.col(f"t{s}").alias("t"), F.col(s).alias("id")))
+        low = near.groupBy("b").agg(F.least(F.min(place("a")), F.min(place("b"))).alias("low"))
+        first = near.join(low, "b").groupBy("a", "sa", "wa").agg(F.min("low").alias("low")).where("wa and low.id = a")
+        first = land(first.select(F.col("a").alias("seed_id"), F.col("sa").alias("s")), "first")
+        stars = near.join(first.select(F.col("seed_id").alias("a")), "a").select(F.col("a").alias("seed_id"), F.col("b").alias("id"), F.col("sb").alias("s"))
+        stars = stars.union(first.select("seed_id", "seed_id", "s"))
+        enough = stars.groupBy("seed_id").agg(F.count_distinct(F.struct("s")).alias("n")).where(F.col("n") >= sessions)
+        claimed = land(stars.join(enough, "seed_id").select("seed_id", "id"), "claimed")
+        out = claimed if out is None else out.union(claimed)
+        tried = first.select(F.col("seed_id").alias("id"), F.lit(True).alias("tried"))
+        for s in "ab":
+            near = near.join(claimed.select(F.col("id").alias(s)), s, "left_anti").join(tried.withColumnRenamed("id", s), s, "left")
+            near = near.withColumn(f"w{s}", F.col(f"w{s}") & F.col("tried").isNull()).drop("tried")
+        near = land(near, "near")
+    return rows.select(F.col("id").alias("seed_id"), "id").where(F.lit(False)) if out is None else out
 
 
 def semantic_folds(records: DataFrame, vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(seed_id, id): records of one session, project and branch that mean the same."""
     scope = ("session_id", "project_id", "branch")
-    return _greedy(records, confirmed(scope_pairs(records, scope), vectors, least), scope, 2, 1)
+    return _greedy(records, confirmed(scope_pairs(records, scope), vectors, least), 1)
 
 
 def theme_clusters(records: DataFrame, vectors: DataFrame, together: DataFrame, least: float = 0.93, used_together: float = 0.02) -> DataFrame:
@@ -70,7 +76,7 @@ def theme_clusters(records: DataFrame, vectors: DataFrame, together: DataFrame,
     key = F.to_json(F.struct(*scope))
     sa, sb = (free.select(F.col("id").alias(x), key.alias(f"s{x}")) for x in "ab")
     pairs = together.where(F.col("similarity") >= used_together).join(sa, "a").join(sb, "b").where("sa = sb").select("a", "b")
-    return _greedy(free, confirmed(pairs, vectors, least), scope, 2, 2)
+    return _greedy(free, confirmed(pairs, vectors, least), 2)
 
 
 def semantic_overlaps(claims: DataFrame, vectors: DataFrame, least: float = 0.8) -> DataFrame:

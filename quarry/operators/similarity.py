@@ -1,4 +1,4 @@
-"""Similar titles and records: edges in Spark, order-dependent grouping within a scope, and clusters over edges."""
+"""Similar titles and records: edges, order-dependent grouping in rounds over edges, and clusters over edges."""
 
 import re
 from collections.abc import Iterator
@@ -82,10 +82,49 @@ def title_pairs(records: DataFrame, least: float = 0.5, scope: tuple[str, ...] =
     return both.select(F.col("x.kind").alias("a"), F.col("y.kind").alias("b"), similarity.alias("similarity")).where(F.col("similarity") >= least).distinct()
 
 
+def first_seeds(edges: DataFrame) -> DataFrame:
+    """(id, seed) of the ends of edges (lo, lo_t, hi), where lo comes before hi and (lo_t, lo) is its place: a node beside no earlier
+    seed is a seed, others go to the earliest seed beside them.
+
+    Each round makes seeds of nodes without an earlier neighbour and takes what is beside them away, so a long row of nodes, each
+    beside the one before, needs a round for every second node. Rounds are written to the scratch folder.
+    """
+    edges = land(edges, "edges")
+    left, taken = edges.select("lo", "hi"), None
+    while not left.isEmpty():
+        roots = left.select("lo").distinct().join(left.select(F.col("hi").alias("lo")), "lo", "left_anti")
+        took = land(left.join(roots, "lo").select("hi").distinct(), "taken")
+        taken = took if taken is None else taken.union(took)
+        gone = roots.union(took)
+        left = land(left.join(gone, "lo", "left_anti").join(gone.withColumnRenamed("lo", "hi"), "hi", "left_anti"), "edges")
+    nodes = edges.select(F.col("lo").alias("id")).union(edges.select("hi")).distinct()
+    if taken is None:
+        return nodes.withColumn("seed", F.col("id"))
+    beside = edges.join(taken.select("hi"), "hi").join(taken.select(F.col("hi").alias("lo")), "lo", "left_anti")
+    seed = beside.groupBy(F.col("hi").alias("id")).agg(F.min_by("lo", F.struct("lo_t", "lo")).alias("seed"))
+    return nodes.join(seed, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))
+
+
+def _signed(rows: DataFrame, guard: bool) -> DataFrame:
+    """rows with what may_merge looks at in a title: denies, versions and names (identifiers)."""
+    if not guard:
+        return rows.withColumns({"denies": F.lit(False), "versions": F.lit(""), "names": F.array().cast("array<string>")})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            t = pdf["title"]
+            yield pdf.assign(denies=t.map(denies), versions=t.map(lambda x: " ".join(sorted(set(_VERSION.findall(x))))), names=t.map(lambda x: sorted(identifiers(x))))
+
+    return rows.mapInPandas(run, rows.withColumns({"denies": F.lit(True), "versions": F.lit(""), "names": F.array(F.lit(""))}).schema)
+
+
 def title_groups(records: DataFrame, least: float = 0.5, scope: tuple[str, ...] = ("project_id", "branch"), guard: bool = True) -> DataFrame:
     """(id, seed_id) of greedy groups within each scope: in order of total and id, a record joins the first seed that its
-    title is similar to and may merge with, else becomes a seed. The order decides, so a scope is one sequence; only
-    records that have a similar one at all take part."""
+    title is similar to and may merge with, else becomes a seed. Only records that have a similar one at all take part.
+
+    Titles of equal words, versions and identifiers fare alike, so they are one node; nodes meet by similar classes of words and a
+    shared identifier, or where one has none, and first_seeds decides in rounds. No scope is one task.
+    """
     edges = title_pairs(records, least, scope)
     kinds = title_classes(records, scope)
     busy = kinds.where("members > 1").select("kind").union(edges.select("a")).union(edges.select("b")).distinct()
@@ -93,23 +132,25 @@ def title_groups(records: DataFrame, least: float = 0.5, scope: tuple[str, ...]
     on = F.col("r.toks") == F.col("k.toks")
     for c in scope:
         on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
-    rows = records.withColumn("toks", toks).alias("r").join(kinds.join(busy, "kind").alias("k"), on, "left_semi")
-    rows = rows.select("id", "title", (F.col("from_auto") + F.col("from_search") + F.col("from_drill")).alias("total"), "toks", F.to_json(F.struct(*scope)).alias("scope"))
-
-    def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["total", "id"], ascending=[False, True])
-        seeds, out = [], []
-        for i, title, toks in zip(pdf["id"], pdf["title"], map(set, pdf["toks"]), strict=True):
-            for seed, other, s in seeds:
-                if len(toks & s) >= least * len(toks | s) and (not guard or may_merge(title, other)):
-                    out.append((i, seed))
-                    break
-            else:
-                seeds.append((i, title, toks))
-                out.append((i, i))
-        return pd.DataFrame(out, columns=["id", "seed_id"])
-
-    return rows.groupBy("scope").applyInPandas(greedy, "id long, seed_id long")
+    total = (F.col("from_auto") + F.col("from_search") + F.col("from_drill")).alias("total")
+    rows = records.withColumn("toks", toks).alias("r").join(kinds.join(busy, "kind").alias("k"), on).select("r.id", "r.title", total, "k.kind")
+    rows = land(_signed(rows, guard).drop("title"), "titles")
+    sign = ("kind", "denies", "versions", "names")
+    nodes = rows.groupBy(*sign).agg(F.min(F.struct((-F.col("total")).alias("t"), "id")).alias("f"))
+    nodes = land(nodes.select(*sign, F.col("f.id").alias("node"), F.col("f.t").alias("t")), "nodes")
+    alike = edges.select("a", "b").union(edges.select("b", "a")).union(nodes.groupBy("kind").count().where("count > 1").select("kind", "kind"))
+    x, y = (nodes.select(*(F.col(c).alias(f"{c}_{s}") for c in nodes.columns)) for s in "xy")
+    left = x.join(alike, F.col("kind_x") == F.col("a"))
+    # a class has few nodes without identifiers: they meet all others; the rest meets by an identifier
+    none = left.where(F.size("names_x") == 0).join(y, F.col("b") == F.col("kind_y"))
+    named = left.withColumn("name", F.explode("names_x")).join(y.withColumn("name_y", F.explode("names_y")), (F.col("b") == F.col("kind_y")) & (F.col("name") == F.col("name_y")))
+    both = none.drop("a", "b").union(named.drop("a", "b", "name", "name_y")).where("denies_x = denies_y and (versions_x = versions_y or versions_x = '' or versions_y = '')")
+    x_first = F.struct("t_x", "node_x") < F.struct(F.col("t_y").alias("t_x"), F.col("node_y").alias("node_x"))
+    pick = lambda c: F.when(x_first, F.col(f"{c}_x")).otherwise(F.col(f"{c}_y"))
+    late = F.when(x_first, F.col("node_y")).otherwise(F.col("node_x"))
+    seeds = first_seeds(both.where("node_x <> node_y").select(pick("node").alias("lo"), pick("t").alias("lo_t"), late.alias("hi")).distinct())
+    seeds = nodes.join(seeds.withColumnRenamed("id", "node"), "node", "left").select(*sign, F.coalesce("seed", "node").alias("seed_id"))
+    return rows.join(seeds, list(sign)).select("id", "seed_id")
 
 
 def merge_guard(pairs: DataFrame, a: str = "title_a", b: str = "title_b") -> DataFrame:

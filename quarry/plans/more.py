@@ -157,7 +157,7 @@ def scoped_cosine_pairs(spark, d):
 
 @query()
 def semantic_folds(spark, d):
-    return G.semantic_folds(X.observations(spark, d).withColumn("session_id", F.col("project_id")), _vectors(spark, d), 0.2)
+    return G.semantic_folds(X.observations(spark, d).withColumn("session_id", F.col("project_id")), _alike(spark, d))
 
 
 @query()
@@ -165,7 +165,7 @@ def theme_clusters(spark, d):
     from quarry.plans.core import _similar
 
     together = _similar(spark, d).select("a", "b", F.col("co").alias("similarity"))
-    return G.theme_clusters(X.observations(spark, d), _vectors(spark, d), together, 0.1)
+    return G.theme_clusters(X.observations(spark, d), _alike(spark, d, 30), together)
 
 
 @query(f"WITH {X.OBS}, {VEC} SELECT x.session_id AS a, y.session_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM ov x JOIN ov y ON x.project_id = y.project_id AND x.session_id < y.session_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.25")
@@ -279,8 +279,8 @@ def protected(spark, d):
 ALIKE = "ov AS (SELECT obs.*, embedding::DOUBLE[] AS v FROM obs JOIN embeddings ON vec_id = CASE WHEN id % 7 = 0 THEN id ELSE id % 120 END)"
 
 
-def _alike(spark, d):
-    at = F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.col("id") % 120)
+def _alike(spark, d, apart=120):
+    at = F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.col("id") % apart)
     return X.observations(spark, d).select("id", at.alias("vec_id")).join(_vectors(spark, d).withColumnRenamed("id", "vec_id"), "vec_id").select("id", "vector")
 
 
