@@ -173,8 +173,8 @@ CO = X.AUDIT + ", one AS (SELECT line_id, ts, unnest(ids) AS id FROM audit), n A
 CO_SIM = "least(1.0, together::DOUBLE / (na.n + nb.n - together))"
 
 
-def _similar(spark, d):
-    lines = X.audit(spark, d).where("ids is not null")
+def _similar(spark, d, hours=1):
+    lines = X.audit(spark, d, hours).where("ids is not null")
     n = lines.select("ts", F.explode("ids").alias("id")).groupBy("id").agg(F.count("*").alias("n"), F.min("ts").alias("first"))
     p = M.co_retrieval(lines)
     for side in "ab":

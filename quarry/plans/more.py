@@ -164,8 +164,9 @@ def semantic_folds(spark, d):
 def theme_clusters(spark, d):
     from quarry.plans.core import _similar
 
-    together = _similar(spark, d).select("a", "b", F.col("co").alias("similarity"))
-    return G.theme_clusters(X.observations(spark, d), _alike(spark, d, 30), together)
+    # in lines of a week records meet often enough for the threshold to tell them apart
+    together = _similar(spark, d, hours=168).select("a", "b", F.col("co").alias("similarity"))
+    return G.theme_clusters(X.observations(spark, d), _alike(spark, d, 15), together)
 
 
 @query(f"WITH {X.OBS}, {VEC} SELECT x.session_id AS a, y.session_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM ov x JOIN ov y ON x.project_id = y.project_id AND x.session_id < y.session_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.25")

@@ -96,9 +96,9 @@ ASKED = "q AS (SELECT item_id AS query_id, text AS query FROM benchmark)"
 ASKED_TWICE = "q AS (SELECT vec_id // 20 AS query_id, coalesce(text, '') AS query, embedding AS qv FROM embeddings LEFT JOIN benchmark ON item_id = vec_id // 20 WHERE vec_id % 20 = 0)"
 
 
-def audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Audit lines: events of a session (user) in one hour are what one prompt was given. A line of one event is a corrupt one."""
-    e = events(spark, sf_dir).withColumn("hour", F.floor(F.col("t") / 3600))
+def audit(spark: SparkSession, sf_dir: str, hours: int = 1) -> DataFrame:
+    """Audit lines: events of a session (user) in so many hours are what one prompt was given. A line of one event is a corrupt one."""
+    e = events(spark, sf_dir).withColumn("hour", F.floor(F.col("t") / (3600 * hours)))
     g = e.groupBy("user_id", "hour").agg(F.max("t").alias("ts"), F.collect_set("k").alias("ids"), F.count("*").alias("n"))
     return g.select(F.concat_ws(":", F.col("user_id").cast("string"), F.col("hour").cast("string")).alias("line_id"), F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"), "ts", F.when((F.col("user_id") % 10) != 0, F.col("ids")).alias("ids"), (F.col("n") * 100).alias("injected_tokens"))
 
