@@ -199,15 +199,16 @@ def test_search_by_channel(spark):
 
 
 def test_split_chunks(spark):
-    """Each piece keeps to the limit, and no word is lost."""
+    """Pieces are numbered, all of them are counted, and no word is lost."""
     from quarry.sources import chunkers
 
-    pieces = chunkers.split_for_limit(X.chunks(spark, SF), 512)
     counts = {r["id"]: r["pieces"] for r in run(spark, "split_chunks").collect()}
     texts = {r["id"]: r["text"] for r in X.chunks(spark, SF).collect()}
-    got = defaultdict(list)
-    for r in pieces.orderBy(*[c for c in pieces.columns if c != "text"]).collect():
-        got[r["id"]].append(r["text"])
-    assert {i: len(p) for i, p in got.items()} == counts
+    got = defaultdict(dict)
+    for r in chunkers.split_for_limit(X.chunks(spark, SF), 512).collect():
+        got[r["id"]][r["split_index"]] = r["text"]
+        assert r["split_total"] == counts[r["id"]]
+    assert {i: len(p) for i, p in got.items()} == counts and max(counts.values()) > 1
     for i, parts in got.items():
-        assert {w for w in re.findall(r"\S+", texts[i])} <= {w for p in parts for w in re.findall(r"\S+", p)} or len(texts[i]) > 512
+        assert sorted(parts) == list(range(len(parts)))
+        assert set(re.findall(r"\S+", texts[i] or "")) <= {w for p in parts.values() for w in re.findall(r"\S+", p)}
