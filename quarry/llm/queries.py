@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, decontaminate, embedding_dedup, labelled, minhash_dedup, mixing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from quarry.llm import bpe, chat, decontaminate, embedding_dedup, labelled, minhash_dedup, mixing, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,7 +74,11 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), params), params)
 
 
-_ALL = (op1_warc, op2_suffix_dedup, op3_decontamination, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_minhash_dedup, op9_mixing, op10_embedding_dedup, op12_byte_bpe)
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+_ALL = (op1_warc, op2_suffix_dedup, op3_decontamination, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_minhash_dedup, op9_mixing, op10_embedding_dedup, op12_byte_bpe, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
