@@ -10,6 +10,7 @@ import base64
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
+from hashlib import sha256
 from typing import NamedTuple
 
 import numpy as np
@@ -384,17 +385,21 @@ def decoded(tokens: DataFrame, params: BpeParams) -> DataFrame:
     return tokens.select(*(f.name for f in rest)).mapInArrow(_decode(params, [f.name for f in rest]), schema)
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch["ids"]
-        raw, at = ids.flatten().to_numpy().astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
-        packed = [raw[4 * x : 4 * y] for x, y in zip(at[:-1], at[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], pa.array(packed, pa.binary()), batch["bytes"]], names=["doc_id", "n_tokens", "packed", "bytes"])
+def _digests(p: BpeParams):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _decode(p, ["doc_id", "n_tokens", "ids"])(_encode(p)(batches)):
+            ids = batch["ids"]
+            raw, at = ids.flatten().to_numpy().astype("<u4").tobytes(), np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy()))).tolist()
+            packed = [sha256(raw[4 * x : 4 * y]).hexdigest() for x, y in zip(at[:-1], at[1:], strict=True)]
+            back = [sha256(x.as_buffer()).hexdigest() for x in batch["bytes"]]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["n_tokens"], pa.array(packed, pa.string()), pa.array(back, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    return run
 
 
-def digests(tokens: DataFrame, params: BpeParams) -> DataFrame:
-    """Of encoded rows: doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit numbers) and decoded_sha256 (the bytes they decode to)."""
-    back = decoded(tokens.select("doc_id", "n_tokens", "ids"), params)
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    packed = back.mapInArrow(_packed, f"doc_id {kind}, n_tokens long, packed binary, bytes binary")
-    return packed.select("doc_id", "n_tokens", F.sha2("packed", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+def digests(docs: DataFrame, params: BpeParams) -> DataFrame:
+    """What encoded and decoded give for docs (doc_id, text), as digests: doc_id, n_tokens, ids_sha256 (ids as little-endian 32-bit numbers)
+    and decoded_sha256 (the bytes that the ids decode to). One Python worker a task does all three, so ids don't travel."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_digests(params), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, chat, decontaminate, embedding_dedup, labelled, minhash_dedup, mixing, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
+from quarry.llm import bpe, chat, collocations, decontaminate, embedding_dedup, labelled, minhash_dedup, mixing, quality, spelling, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,18 +67,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     params = bpe.BpeParams(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(bpe.encoded(table(spark, sf_dir, "documents"), params), params)
+    return bpe.digests(table(spark, sf_dir, "documents"), params)
 
 
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
 
 
-_ALL = (op1_warc, op2_suffix_dedup, op3_decontamination, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_minhash_dedup, op9_mixing, op10_embedding_dedup, op12_byte_bpe, op13_spelling_variants)
+_ALL = (op1_warc, op2_suffix_dedup, op3_decontamination, op4_chat_format, op5_toxicity, op6_substring_dedup, op7_quality_classifier, op8_minhash_dedup, op9_mixing, op10_embedding_dedup, op11_collocations, op12_byte_bpe, op13_spelling_variants)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -86,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op1_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op11_collocations": collocations.ORACLE_SQL}

@@ -64,11 +64,13 @@ def test_query(spark, lib, docs, texts):
     for r in rows:
         raw = [lib.decode_single_token_bytes(i) for i in r["ids"]]
         assert r["ends"] == np.cumsum([len(x) for x in raw]).tolist()
-    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(bpe.encoded(docs, PARAMS), PARAMS).collect())
+    back = bpe.decoded(bpe.encoded(docs, PARAMS), PARAMS)
+    assert sorted(bytes(r["bytes"]) for r in back.collect()) == sorted((t or "").encode() for _, t in texts)
+    got = sorted((r["doc_id"] or -1, r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.digests(docs, PARAMS).collect())
     sha = lambda b: hashlib.sha256(b).hexdigest()
     want = sorted((i or -1, len(e := lib.encode_ordinary(t or "")), sha(np.array(e, "<u4").tobytes()), sha((t or "").encode())) for i, t in texts)
     assert got == want
-    assert bpe.digests(bpe.encoded(docs.limit(0), PARAMS), PARAMS).count() == 0
+    assert bpe.digests(docs.limit(0), PARAMS).count() == 0
 
 
 def test_text_above_a_slice(spark, lib):
