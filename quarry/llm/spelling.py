@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm import bloom
 from quarry.llm import kernels as K
 from quarry.llm.scratch import land
 
@@ -87,14 +88,6 @@ def _hashes(letters: np.ndarray) -> np.ndarray:
     return (letters.astype(np.uint64) * _powers(letters.shape[1])).sum(axis=1, dtype=np.uint64)
 
 
-def _places(h: np.ndarray, log2: int) -> Iterator[np.ndarray]:
-    h = K.mix(h)
-    mask = np.uint64((1 << log2) - 1)
-    for shift in (0, 17, 34):
-        yield (h >> np.uint64(shift)) & mask
-        h = h * _STEP
-
-
 def _by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, their code points as a matrix) of the words of each length."""
     text = words.to_pylist()
@@ -104,44 +97,9 @@ def _by_length(words: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield rows, np.frombuffer("".join(text[i] for i in rows).encode("utf-32-le"), np.uint32).reshape(len(rows), n)
 
 
-def _index(log2: int):
-    """The filter's set bits, 64 to a row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, letters in _by_length(batch["word"]):
-                both = np.unique(np.concatenate(list(_places(_hashes(letters), log2))))
-                cell, first = np.unique(both >> np.uint64(6), return_index=True)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (both & np.uint64(63)), first)
-                yield pa.RecordBatch.from_arrays([pa.array(K.signed(cell)), pa.array(K.signed(bits))], names=["cell", "bits"])
-
-    return run
-
-
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([batch[c].to_numpy().tobytes()], pa.binary()) for c in ("cell", "bits")], names=["cells", "bits"])
-
-
-def word_filter(vocabulary: DataFrame, n: int, params: VariantParams = VariantParams()) -> tuple[np.ndarray, int]:
-    """A Bloom filter over the n words, of bounded size; it only spares neighbours that can't be words."""
-    wanted = int(np.ceil(np.log2(max(64, n * params.filter_bits))))
-    log2 = min(params.filter_log2_most, wanted)
-    bits = np.zeros(1 << (log2 - 6), np.uint64)
-    cells = vocabulary.mapInArrow(_index(log2), "cell long, bits long").groupBy("cell").agg(F.bit_or("bits").alias("bits"))
-    for batch in cells.mapInArrow(_packed, "cells binary, bits binary").toLocalIterator():
-        bits[np.frombuffer(batch["cells"], np.int64)] = np.frombuffer(batch["bits"], np.uint64)
-    return bits, log2
-
-
-def _may(h: np.ndarray, bits: np.ndarray, log2: int) -> np.ndarray:
-    """Places (of a flat h) that the filter lets through."""
-    left = np.arange(h.size)
-    h = h.reshape(-1)
-    for place in range(3):
-        at = next(x for i, x in enumerate(_places(h[left], log2)) if i == place)
-        left = left[(bits[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)]
-    return left
+def _word_hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    for _, letters in _by_length(batch["word"]):
+        yield _hashes(letters)
 
 
 def neighbours(letters: np.ndarray, alphabet: np.ndarray, shortest: int, bits: np.ndarray, log2: int) -> Iterator[tuple[int, str]]:
@@ -157,12 +115,12 @@ def neighbours(letters: np.ndarray, alphabet: np.ndarray, shortest: int, bits: n
         # what follows the deleted code point moves one place down: to the terms' ring inverse of the step
         down = _INVERSE
         h = before[:, :-1] + (whole[:, None] - before[:, 1:]) * down
-        for i in _may(h, bits, log2).tolist():
+        for i in bloom.passing(h, bits, log2).tolist():
             row, at = divmod(i, n)
             yield row, text[row][:at] + text[row][at + 1 :]
     if n >= shortest:
         h = (whole[:, None, None] - terms[:, :, None]) + a[None, None, :] * power[None, :n, None]
-        for i in _may(h, bits, log2).tolist():
+        for i in bloom.passing(h, bits, log2).tolist():
             rest, c = divmod(i, len(a))
             row, at = divmod(rest, n)
             if letters[row, at] != alphabet[c]:
@@ -170,7 +128,7 @@ def neighbours(letters: np.ndarray, alphabet: np.ndarray, shortest: int, bits: n
     if n + 1 >= shortest:
         moved = before + (whole[:, None] - before) * _STEP
         h = moved[:, :, None] + a[None, None, :] * power[None, :, None]
-        for i in _may(h, bits, log2).tolist():
+        for i in bloom.passing(h, bits, log2).tolist():
             rest, c = divmod(i, len(a))
             row, at = divmod(rest, n + 1)
             yield row, text[row][:at] + chr(alphabet[c]) + text[row][at:]
@@ -202,7 +160,8 @@ def near_words(vocabulary: DataFrame, params: VariantParams = VariantParams()) -
     letters = vocabulary.select(F.explode(F.split("word", "")).alias("c")).distinct().where("c <> ''")
     alphabet = sorted(ord(r["c"]) for r in letters.collect())
     n = vocabulary.count()
-    shared = vocabulary.sparkSession.sparkContext.broadcast(word_filter(vocabulary, n, params))
+    log2 = bloom.log2_for(n, params.filter_bits, params.filter_log2_most)
+    shared = vocabulary.sparkSession.sparkContext.broadcast(bloom.built(vocabulary.select("word"), _word_hashes, log2))
     dealt = vocabulary.select("word", "n").repartition(max(1, -(-n // params.task_words)))
     edits = dealt.mapInArrow(_generated(shared, alphabet, params), "near string, word string, n long")
     known = vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n"))

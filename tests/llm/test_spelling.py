@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quarry.llm import bloom
 from quarry.llm import queries as Q
 from quarry.llm import spelling as S
 
@@ -100,7 +101,7 @@ def test_hashes_of_neighbours_are_those_of_words():
     for word in ("abcéf", "bcdéf", "abcdé", "abcdÿf", "xbcdéf", "abcdéx", "abcdéfx", "xabcdéf", "abcxdéf"):
         h = S._hashes(np.array([list(map(ord, word))], np.uint32))
         log2, bits = 20, np.zeros(1 << 14, np.uint64)
-        for at in S._places(h, log2):
+        for at in bloom._places(h, log2):
             bits[at >> np.uint64(6)] |= np.uint64(1) << (at & np.uint64(63))
         assert word in {x for _, x in S.neighbours(letters, np.array([ord("x"), 255], np.uint32), 1, bits, log2)}, word
 
