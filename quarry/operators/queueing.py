@@ -73,6 +73,11 @@ def latest_claims(notes: DataFrame) -> DataFrame:
     return notes.withColumn("r", F.row_number().over(w)).where("r = 1").drop("r")
 
 
+def lease_end(default_s: int = 1800, least: int = 60, most: int = 28_800) -> Column:
+    """When the lease of a note (ts in ms, ttl_s) runs out; ttl is kept within least..most seconds."""
+    return F.col("ts") + F.least(F.greatest(F.coalesce("ttl_s", F.lit(default_s)), F.lit(least)), F.lit(most)).cast("long") * 1000
+
+
 def live(notes: DataFrame, now_ms: int, default_s: int = 1800, least: int = 60, most: int = 28_800) -> DataFrame:
     """Notes whose lease runs still; ttl is kept within least..most seconds."""
     ttl = F.least(F.greatest(F.coalesce("ttl_s", F.lit(default_s)), F.lit(least)), F.lit(most)).cast("long")
