@@ -100,15 +100,22 @@ def glob_base(glob: Column) -> Column:
     return F.struct(prefix.alias("prefix"), path.alias("path"))
 
 
-def _under(child: Column, base: Column) -> Column:
-    return (base == "") | (child == base) | F.startswith(child, F.concat(base, F.lit("/")))
+def _ancestors(path: Column) -> Column:
+    """The path and all folders above it, the whole tree ("") too."""
+    parts = F.split(path, "/")
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))))
 
 
 def overlaps(claims: DataFrame) -> DataFrame:
-    """(a, b, file_a, file_b), a < b: claims (session_id, repo_root, file) of two sessions in one repository that touch."""
-    c = claims.select("session_id", "repo_root", "file", glob_base(F.col("file")).alias("g"))
-    x, y = c.alias("x"), c.alias("y")
-    j = x.join(y, (F.col("x.repo_root") == F.col("y.repo_root")) & (F.col("x.session_id") < F.col("y.session_id")))
-    px, py, a, b = F.col("x.g.prefix"), F.col("y.g.prefix"), F.col("x.g.path"), F.col("y.g.path")
-    touch = F.when(~px & ~py, a == b).when(px & ~py, _under(b, a)).when(~px & py, _under(a, b)).otherwise(_under(a, b) | _under(b, a))
-    return j.where(touch).select(F.col("x.session_id").alias("a"), F.col("y.session_id").alias("b"), F.col("x.file").alias("file_a"), F.col("y.file").alias("file_b"))
+    """(a, b, file_a, file_b), a < b: claims (session_id, repo_root, file) of two sessions in one repository that touch: of one path, or one within a
+    folder that the other claims. Claims of folders meet others by equality with one of their ancestors, so only what touches is ever paired."""
+    c = claims.where("repo_root is not null").select("session_id", "repo_root", "file", glob_base(F.col("file")).alias("g")).select("session_id", "repo_root", "file", "g.prefix", "g.path")
+    above = c.where("prefix").select("repo_root", F.col("path").alias("above"), F.col("session_id").alias("s"), F.col("file").alias("f"))
+    under = c.withColumn("above", F.explode(_ancestors(F.col("path")))).join(above, ["repo_root", "above"]).where("session_id <> s")
+    # of two folders that are the same each is under the other
+    under = under.where(~(F.col("prefix") & (F.col("path") == F.col("above"))) | (F.col("s") < F.col("session_id"))).select("s", "f", "session_id", "file")
+    exact = c.where("not prefix").select("repo_root", "path", F.col("session_id").alias("s"), F.col("file").alias("f"))
+    same = exact.join(exact.toDF("repo_root", "path", "session_id", "file"), ["repo_root", "path"]).where("s < session_id").select("s", "f", "session_id", "file")
+    first = F.col("s") < F.col("session_id")
+    pick = lambda x, y, name: F.when(first, F.col(x)).otherwise(F.col(y)).alias(name)
+    return under.union(same).select(pick("s", "session_id", "a"), pick("session_id", "s", "b"), pick("f", "file", "file_a"), pick("file", "f", "file_b"))

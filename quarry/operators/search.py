@@ -95,8 +95,8 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     return _top(total, k, F.round("score", 9).desc(), F.col("id")).select("query_id", "id", "rank", "score")
 
 
-def _nearest(asked: Broadcast, k: int):
-    """Each batch's k nearest of each query, ties by id, so that only these are shuffled."""
+def _nearest(asked: Broadcast, k: int, cosine: bool):
+    """Each batch's k nearest of each query, ties by id, so that only these are shuffled. Distances are L2, or cosines with their sign turned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, points = asked.value
@@ -107,11 +107,16 @@ def _nearest(asked: Broadcast, k: int):
             for dim in np.unique(size[size > 0]).tolist():
                 rows = np.flatnonzero(size == dim)
                 x = flat[(end[rows] - dim)[:, None] + np.arange(dim)]
+                norm = np.sqrt(np.einsum("ij,ij->i", x, x)) if cosine else None
                 for place, q in enumerate(points):
                     if len(q) != dim:
                         continue
-                    away = x - q
-                    d = np.sqrt(np.einsum("ij,ij->i", away, away))
+                    if cosine:
+                        size = norm * np.sqrt(q @ q)
+                        d = -np.divide(x @ q, size, out=np.where(np.isfinite(size), 0.0, np.nan), where=size > 0)
+                    else:
+                        away = x - q
+                        d = np.sqrt(np.einsum("ij,ij->i", away, away))
                     near = np.flatnonzero(np.isfinite(d))
                     if len(near) > k:
                         near = near[d[near] <= np.partition(d[near], k - 1)[k - 1] + 2e-9]
@@ -122,9 +127,8 @@ def _nearest(asked: Broadcast, k: int):
     return run
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
-    """Exact nearest vectors by L2; score is the cosine moved to 0..1. Queries meet all vectors in blocks that go to every task.
-    Null vectors, those of another length and those with null or non-finite parts are near nothing."""
+def _far(vectors: DataFrame, queries: DataFrame, k: int, cosine: bool) -> DataFrame:
+    """(query_id, id, distance) of candidates that hold each query's k nearest; queries meet all vectors in blocks that go to every task."""
     kind = lambda df, c: df.schema[c].dataType.simpleString()
     rows = vectors.select("id", "vector")
     schema = f"query_id {kind(queries, 'query_id')}, id {kind(vectors, 'id')}, distance double"
@@ -132,9 +136,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
     for block in in_blocks(queries.where("vector is not null").select("query_id", "vector"), "query_id"):
         got = block.toArrow()  # as many rows as a block has
         asked = got["query_id"].combine_chunks(), [np.array(v, np.float64) for v in got["vector"].to_pylist()]
-        pairs = rows.mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast(asked), k), schema)
+        pairs = rows.mapInArrow(_nearest(vectors.sparkSession.sparkContext.broadcast(asked), k, cosine), schema)
         far = pairs if far is None else far.unionByName(pairs)
-    return _top(far, k, F.round("distance", 9), F.col("id")).select("query_id", "id", "rank", "distance", V.similarity_of_distance(F.col("distance")).alias("score"))
+    return far
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
+    """Exact nearest vectors by L2; score is the cosine moved to 0..1. Queries meet all vectors in blocks that go to every task.
+    Null vectors, those of another length and those with null or non-finite parts are near nothing."""
+    top = _top(_far(vectors, queries, k, False), k, F.round("distance", 9), F.col("id"))
+    return top.select("query_id", "id", "rank", "distance", V.similarity_of_distance(F.col("distance")).alias("score"))
+
+
+def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
+    """(query_id, id, rank, cosine): the vectors of largest cosine, ties by id; a zero vector has cosine 0 with all. Else as knn."""
+    top = _top(_far(vectors, queries, k, True), k, F.round("distance", 9), F.col("id"))
+    return top.select("query_id", "id", "rank", (-F.col("distance")).alias("cosine"))
 
 
 def rrf(legs: list[DataFrame], k: int = 60) -> DataFrame:

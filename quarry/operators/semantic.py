@@ -4,8 +4,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import vector as V
+from quarry.operators.near import near_pairs, scope_of
 from quarry.operators.scratch import land
-from quarry.operators.search import in_blocks
+from quarry.operators.search import knn
 from quarry.operators.similarity import merge_guard
 
 
@@ -21,11 +22,9 @@ def confirmed(pairs: DataFrame, vectors: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("cosine") >= least).drop("va", "vb")
 
 
-def scope_pairs(records: DataFrame, scope: tuple[str, ...]) -> DataFrame:
-    """(a, b), a < b, of records of one scope; meant for scopes that are small, as sessions are."""
-    key = F.to_json(F.struct(*scope))
-    rows = records.select("id", key.alias("scope"))
-    return rows.alias("x").join(rows.alias("y"), "scope").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
+def alike(records: DataFrame, vectors: DataFrame, scope: tuple[str, ...], least: float) -> DataFrame:
+    """(a, b, cosine), a < b, of records of one scope whose vectors have a cosine of `least`; see near.near_pairs for what that costs and may miss."""
+    return near_pairs(records.select("id", scope_of(*scope).alias("scope")).join(vectors.select("id", "vector"), "id"), least)
 
 
 def _greedy(records: DataFrame, edges: DataFrame, sessions: int) -> DataFrame:
@@ -63,7 +62,7 @@ def _greedy(records: DataFrame, edges: DataFrame, sessions: int) -> DataFrame:
 def semantic_folds(records: DataFrame, vectors: DataFrame, least: float = 0.95) -> DataFrame:
     """(seed_id, id): records of one session, project and branch that mean the same."""
     scope = ("session_id", "project_id", "branch")
-    return _greedy(records, confirmed(scope_pairs(records, scope), vectors, least), 1)
+    return _greedy(records, alike(records, vectors, scope, least), 1)
 
 
 def theme_clusters(records: DataFrame, vectors: DataFrame, together: DataFrame, least: float = 0.93, used_together: float = 0.02) -> DataFrame:
@@ -73,7 +72,7 @@ def theme_clusters(records: DataFrame, vectors: DataFrame, together: DataFrame,
     """
     scope = ("project_id", "branch")
     free = records.where((F.col("from_drill") == 0) & ~F.col("is_anchored"))
-    key = F.to_json(F.struct(*scope))
+    key = scope_of(*scope)
     sa, sb = (free.select(F.col("id").alias(x), key.alias(f"s{x}")) for x in "ab")
     pairs = together.where(F.col("similarity") >= used_together).join(sa, "a").join(sb, "b").where("sa = sb").select("a", "b")
     return _greedy(free, confirmed(pairs, vectors, least), 2)
@@ -81,11 +80,10 @@ def theme_clusters(records: DataFrame, vectors: DataFrame, together: DataFrame,
 
 def semantic_overlaps(claims: DataFrame, vectors: DataFrame, least: float = 0.8) -> DataFrame:
     """(a, b, cosine), a < b, of claims (session_id, repo_root, id) in one repository whose intents mean much the same."""
-    c = claims.select("session_id", "repo_root", "id").join(vectors, "id")
-    x, y = c.alias("x"), c.alias("y")
-    j = x.join(y, (F.col("x.repo_root") == F.col("y.repo_root")) & (F.col("x.session_id") < F.col("y.session_id")))
-    near = j.select(F.col("x.session_id").alias("a"), F.col("y.session_id").alias("b"), F.round(V.cosine(F.col("x.vector"), F.col("y.vector")), 6).alias("cosine"))
-    return near.where(F.col("cosine") >= least)
+    pairs = alike(claims.where("repo_root is not null"), vectors, ("repo_root",), least)
+    x, y = (claims.select(F.col("id").alias(s), F.col("session_id").alias(f"s{s}")) for s in "ab")
+    both = pairs.join(x, "a").join(y, "b").where("sa <> sb")
+    return both.select(F.least("sa", "sb").alias("a"), F.greatest("sa", "sb").alias("b"), F.round("cosine", 6).alias("cosine"))
 
 
 def cluster_key(ids: Column) -> Column:
@@ -104,14 +102,10 @@ def themes(records: DataFrame, stars: DataFrame, declined: DataFrame, now: int,
 
 def write_targets(new: DataFrame, known: DataFrame, least: float = 0.85) -> DataFrame:
     """(id, action, target_id) of new memories (id, file, vector): update the file of this name, else the nearest known one at
-    1 - distance of `least`, else create. known (id, file, vector) is joined by name; the rest meets it in blocks of the new ones."""
+    1 - distance of `least`, else create. known (id, file, vector) is joined by name; the rest is searched for by search.knn."""
     by_name = new.select("id", "file").join(known.select(F.col("id").alias("same_id"), "file"), "file").groupBy("id").agg(F.min("same_id").alias("same_id"))
-    rest = new.join(by_name, "id", "left_anti").select("id", F.col("vector").alias("v"))
-    near = None
-    for block in in_blocks(rest, "id"):
-        far = known.select(F.col("id").alias("near_id"), "vector").crossJoin(F.broadcast(block)).select("id", "near_id", F.round(1 - V.l2(F.col("vector"), F.col("v")), 9).alias("sim"))
-        near = far if near is None else near.unionByName(far)
-    near = near.where(F.col("sim") >= least).groupBy("id").agg(F.max(F.struct("sim", (-F.col("near_id")).alias("neg"))).alias("m")).select("id", (-F.col("m.neg")).alias("near_id"))
+    rest = new.join(by_name, "id", "left_anti").select(F.col("id").alias("query_id"), "vector")
+    near = knn(known.select("id", "vector"), rest, 1).where(F.round(1 - F.col("distance"), 9) >= least).select(F.col("query_id").alias("id"), F.col("id").alias("near_id"))
     j = new.select("id").join(by_name, "id", "left").join(near, "id", "left")
     target = F.coalesce("same_id", "near_id")
     return j.select("id", F.when(target.isNull(), "create").otherwise("update").alias("action"), target.alias("target_id"))

@@ -142,17 +142,21 @@ def migration_counts(spark, d):
     return S.migration_counts(X.events(spark, d).select(kind.alias("kind"), F.col("event_id").alias("source_id")))
 
 
-VEC = "ov AS (SELECT obs.*, embedding::DOUBLE[] AS v FROM obs JOIN embeddings ON vec_id = id)"
-
-
 def _vectors(spark, d):
     return X.vectors(spark, d).select("id", "vector")
 
 
-@query(f"WITH {X.OBS}, {VEC} SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM ov x JOIN ov y ON x.project_id = y.project_id AND x.branch IS NOT DISTINCT FROM y.branch AND x.id < y.id WHERE list_cosine_similarity(x.v, y.v) >= 0.1")
+ALIKE = "ov AS (SELECT obs.*, embedding::DOUBLE[] AS v FROM obs JOIN embeddings ON vec_id = CASE WHEN id % 7 = 0 THEN id ELSE id % 120 END)"
+
+
+def _alike(spark, d, apart=120):
+    at = F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.col("id") % apart)
+    return X.observations(spark, d).select("id", at.alias("vec_id")).join(_vectors(spark, d).withColumnRenamed("id", "vec_id"), "vec_id").select("id", "vector")
+
+
+@query(f"WITH {X.OBS}, {ALIKE} SELECT x.id AS a, y.id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM ov x JOIN ov y ON x.project_id = y.project_id AND x.branch IS NOT DISTINCT FROM y.branch AND x.id < y.id WHERE round(list_cosine_similarity(x.v, y.v), 9) >= 0.95")
 def scoped_cosine_pairs(spark, d):
-    o = X.observations(spark, d)
-    return G.confirmed(G.scope_pairs(o, ("project_id", "branch")), _vectors(spark, d), 0.1).withColumn("cosine", r6(F.col("cosine")))
+    return G.alike(X.observations(spark, d), _alike(spark, d), ("project_id", "branch"), 0.95).withColumn("cosine", r6(F.col("cosine")))
 
 
 @query()
@@ -169,20 +173,24 @@ def theme_clusters(spark, d):
     return G.theme_clusters(X.observations(spark, d), _alike(spark, d, 15), together)
 
 
-@query(f"WITH {X.OBS}, {VEC} SELECT x.session_id AS a, y.session_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM ov x JOIN ov y ON x.project_id = y.project_id AND x.session_id < y.session_id WHERE round(list_cosine_similarity(x.v, y.v), 6) >= 0.25")
+@query(f"WITH {X.OBS}, {ALIKE} SELECT x.session_id AS a, y.session_id AS b, round(list_cosine_similarity(x.v, y.v), 6) AS cosine FROM ov x JOIN ov y ON x.project_id = y.project_id AND x.session_id < y.session_id WHERE round(list_cosine_similarity(x.v, y.v), 9) >= 0.8")
 def semantic_overlap(spark, d):
-    return G.semantic_overlaps(X.observations(spark, d).withColumn("repo_root", F.col("project_id")), _vectors(spark, d), 0.25)
+    return G.semantic_overlaps(X.observations(spark, d).withColumn("repo_root", F.col("project_id")), _alike(spark, d))
 
 
-@query("""WITH n AS (SELECT vec_id AS id, 'f' || vec_id AS file, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0), k AS (SELECT vec_id AS id, 'f' || (vec_id - 101) AS file, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 <> 0),
+@query("""WITH n AS (SELECT vec_id AS id, 'f' || vec_id AS file, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 20 = 0),
+k AS (SELECT x.vec_id AS id, 'f' || (x.vec_id - 101) AS file, list_transform(y.embedding::DOUBLE[], lambda z: z * (1 + 0.02 * (x.vec_id % 5))) AS v FROM embeddings x JOIN embeddings y ON y.vec_id = CASE WHEN x.vec_id % 20 IN (7, 8, 13) THEN x.vec_id - x.vec_id % 20 ELSE x.vec_id END WHERE x.vec_id % 20 <> 0),
 s AS (SELECT n.id, min(k.id) AS same_id FROM n JOIN k USING (file) GROUP BY 1),
-c AS (SELECT n.id, arg_max(k.id, (round(1 - list_distance(n.v, k.v), 9), -k.id)) AS near_id FROM n, k WHERE 1 - list_distance(n.v, k.v) >= -0.1 AND n.id NOT IN (SELECT id FROM s) GROUP BY 1)
+c AS (SELECT n.id, arg_max(k.id, (round(1 - list_distance(n.v, k.v), 9), -k.id)) AS near_id FROM n, k WHERE round(1 - list_distance(n.v, k.v), 9) >= 0.85 AND n.id NOT IN (SELECT id FROM s) GROUP BY 1)
 SELECT n.id, CASE WHEN same_id IS NULL AND near_id IS NULL THEN 'create' ELSE 'update' END AS action, coalesce(same_id, near_id) AS target_id FROM n LEFT JOIN s USING (id) LEFT JOIN c USING (id)""")
 def memory_targets(spark, d):
     v = _vectors(spark, d)
-    new = v.where("id % 20 = 0").withColumn("file", F.concat(F.lit("f"), F.col("id").cast("string")))
-    known = v.where("id % 20 <> 0").withColumn("file", F.concat(F.lit("f"), (F.col("id") - 101).cast("string")))
-    return G.write_targets(new, known, -0.1)
+    i = F.col("id")
+    new = v.where("id % 20 = 0").withColumn("file", F.concat(F.lit("f"), i.cast("string")))
+    of = F.when((i % 20).isin(7, 8, 13), i - i % 20).otherwise(i)
+    known = v.where("id % 20 <> 0").select("id", of.alias("of")).join(v.withColumnRenamed("id", "of"), "of")
+    known = known.select("id", F.concat(F.lit("f"), (i - 101).cast("string")).alias("file"), F.transform("vector", lambda z: z.cast("double") * (1 + 0.02 * (i % 5))).alias("vector"))
+    return G.write_targets(new, known)
 
 
 @query("SELECT doc_id // 4 AS id, round(avg(x), 6) AS first FROM (SELECT vec_id AS doc_id, embedding[1]::DOUBLE AS x FROM embeddings) GROUP BY 1")
@@ -277,12 +285,6 @@ def protected(spark, d):
 
 
 #: records whose titles can be alike have ids 120 apart: all but each seventh share a vector with these
-ALIKE = "ov AS (SELECT obs.*, embedding::DOUBLE[] AS v FROM obs JOIN embeddings ON vec_id = CASE WHEN id % 7 = 0 THEN id ELSE id % 120 END)"
-
-
-def _alike(spark, d, apart=120):
-    at = F.when(F.col("id") % 7 == 0, F.col("id")).otherwise(F.col("id") % apart)
-    return X.observations(spark, d).select("id", at.alias("vec_id")).join(_vectors(spark, d).withColumnRenamed("id", "vec_id"), "vec_id").select("id", "vector")
 
 
 @query()

@@ -47,9 +47,7 @@ def knn_l2_topk(spark, d):
 
 @query(f"WITH {X.ASKED_TWICE}, c AS (SELECT query_id, vec_id AS id, list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]) AS c FROM embeddings, q) SELECT query_id, id, round(c, 6) AS cosine FROM c QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, id) <= 10")
 def knn_cosine_topk(spark, d):
-    q = X.asked_twice(spark, d).select("query_id", F.col("vector").alias("q"))
-    pairs = X.vectors(spark, d).crossJoin(F.broadcast(q)).select("query_id", "id", V.cosine(F.col("vector"), F.col("q")).alias("cosine"))
-    return H._top(pairs, 10, F.round("cosine", 9).desc(), F.col("id")).select("query_id", "id", r6(F.col("cosine")).alias("cosine"))
+    return H.knn_cosine(X.vectors(spark, d), X.asked_twice(spark, d), 10).select("query_id", "id", r6(F.col("cosine")).alias("cosine"))
 
 
 @query(f"WITH {LEGS}, {WEIGHTED} SELECT query_id, id, round(score, 6) AS score FROM fused")
