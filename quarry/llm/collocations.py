@@ -12,6 +12,7 @@ from typing import NamedTuple
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,13 +85,14 @@ def _strings(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> pa.Array:
 
 
 def _summed(key: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of equal keys: (the first place of each, the number of each place's key, the sum of m), all exact."""
-    order = np.argsort(key, kind="stable")
+    """Of equal keys: (a place of each, the number of each place's key, the sum of m), all exact."""
+    order = np.argsort(key)
     new = np.ones(len(key), bool)
     new[1:] = key[order][1:] != key[order][:-1]
     which = np.empty(len(key), np.int64)
     which[order] = np.cumsum(new) - 1
     begin = np.flatnonzero(new)
+    # sums of whole numbers, in 64 bits
     return order[begin], which, np.add.reduceat(m[order], begin) if len(begin) else m[:0]
 
 
@@ -99,15 +101,14 @@ class _Slice:
 
     def __init__(self, batches: list[pa.RecordBatch]):
         table = pa.Table.from_batches(batches)
-        raw = table["piece"].to_pylist()
-        self.data = np.frombuffer("\n".join(raw).encode(), np.uint8)
+        piece = table["piece"].combine_chunks()
+        _, _, self.data, offs = next(K.slices(piece, 1 << 62))
         lang = table["lang"].combine_chunks().dictionary_encode()
         self.langs, m = lang.dictionary.to_pylist(), table["m"].to_numpy()
-        ids: dict[str, int] = defaultdict(lambda: len(ids))
-        self.s, self.e, _ = K.words(self.data, np.array([0, len(self.data)]))
+        self.s, self.e, _ = K.words(self.data, offs)
         count = table["words"].to_numpy()
-        word = np.fromiter((ids[w] for x in raw for w in x.split(" ")), np.int64, int(count.sum()))
-        piece = np.repeat(np.arange(len(raw)), count)
+        word = pc.split_pattern(piece, " ").flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+        piece = np.repeat(np.arange(len(count)), count)
         self.left = np.cumsum(count)[piece] - np.arange(len(word))  # words from here to the end of the piece
         self.lang, self.m = lang.indices.to_numpy()[piece].astype(np.int64), m[piece]
         self.word = word | self.lang << 32
@@ -133,10 +134,10 @@ class _Slice:
             at, number = at[ok], number[ok]
             if n > 1:
                 number = number << 32 | self.word[at + n - 1] & 0xFFFFFFFF
-            first, number, m = _summed(number, self.m[at])
+            one, number, m = _summed(number, self.m[at])
             if n not in sizes:
                 continue
-            own = at[first]
+            own = at[one]
             lang = pa.array(self.langs, pa.string()).take(pa.array(self.lang[own]))
             yield pa.RecordBatch.from_arrays([lang, pa.array(np.full(len(own), n, np.int32)), _strings(self.data, self.s[own], self.e[own + n - 1]), pa.array(m)], names=["lang", "words", "gram", "m"])
 
