@@ -30,6 +30,8 @@ class PhraseParams(NamedTuple):
     scale: int = 2_000_000
     top: int = 2000
     unknown: str = "und"
+    #: parts of a lang that are ranked by themselves first
+    parts: int = 32
     #: bytes of pieces whose n-grams are summed together before they are shuffled
     slice_bytes: int = 4 << 20
     #: memory of duckdb in a task; beyond it, it goes to the task's temporary folder
@@ -249,8 +251,11 @@ def phrases(docs: DataFrame, params: PhraseParams = PhraseParams()) -> DataFrame
     inner = F.transform(F.sequence(F.lit(2), F.col("words") - 1), lambda n: F.transform(F.sequence(F.lit(1), F.col("words") - n + 1), lambda i: _part(i, n)))
     covered = counts.where("words >= 3").select("lang", F.col("f").alias("longer"), F.explode(F.flatten(inner)).alias("gram")).groupBy("lang", "gram").agg(F.max("longer").alias("longer"))
     kept = scored(counts, params).join(covered, ["lang", "gram"], "left").where("longer is null or cast(longer as decimal(20,0)) * 100 < cast(a as decimal(20,0)) * " + str(params.percent))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "gram"))
-    first = kept.withColumn("rank", rank.cast("long")).where(F.col("rank") <= params.top)
+    # the first of each part of a lang, then the first of these: however many tasks there are, one lang's last task gets so many parts' first
+    best = (F.desc("score"), F.desc("a"), "gram")
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("gram"), F.lit(params.parts))).orderBy(*best)
+    first = kept.withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= params.top)
+    first = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= params.top)
     return first.join(totals, "lang").select("lang", "rank", F.col("gram").alias("phrase"), "a", "l", "r", "n", "score")
 
 
