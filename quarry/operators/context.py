@@ -9,9 +9,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions import byte_pairs
+from quarry.functions.byte_pairs import MARKER, Ranks
+
 #: fixed value: channels in the order in which they are shown
 CHANNELS = ("inbox", "memory", "skill", "observation", "remote")
-MARKER = "… [truncated]"
 
 
 def title_of(meta: Column) -> Column:
@@ -32,15 +34,35 @@ def truncated(text: Column, budget: int) -> Column:
     return F.when(token_count(text) <= budget, text).otherwise(F.concat(head, F.lit(MARKER)))
 
 
-def envelopes(hits: DataFrame, budget: int = 4000) -> DataFrame:
-    """(query_id, hits, envelope) of hits (query_id, rank, channel, title, snippet, score): groups by channel, in rank order."""
-    order = F.element_at(F.create_map(*(x for i, c in enumerate(CHANNELS) for x in (F.lit(c), F.lit(i)))), F.col("channel"))
-    line = F.concat(F.lit("### "), F.col("title"), F.lit(" · score "), F.format_number("score", 2), F.lit("\n"), F.trim(F.substring("snippet", 1, 600)))
-    rows = hits.withColumn("o", F.coalesce(order, F.lit(len(CHANNELS)))).withColumn("line", line)
-    group = rows.groupBy("query_id", "o", "channel").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("body"))
-    group = group.withColumn("body", F.concat(F.lit("## "), "channel", F.lit("\n"), "body"))
+def savings(work: Column, read: Column) -> Column:
+    """The badge of a record that took `work` tokens and is read for `read`: the share saved, in percent; null if nothing is known of the work."""
+    saved = F.greatest(F.lit(0), work - read)
+    return F.when(work > 0, F.concat(F.lit("saved "), F.floor(saved * 100 / work + 0.5).cast("string"), F.lit("%")))
+
+
+def envelopes(hits: DataFrame, budget: int = 4000, ranks: Ranks | None = None) -> DataFrame:
+    """(query_id, hits, envelope) of hits (query_id, rank, channel, title, snippet, score): groups by channel, in rank order, cut to a budget.
+
+    Tokens are counted by ranks if they are given, else as words and marks. More columns that hits may have: inbox (boolean; such hits come first whatever their
+    channel, without a heading, with sender and sent, or as their title alone if inbox_summary is true), and work_tokens, from which a badge says what is saved.
+    """
+    has = lambda c, kind: F.col(c).cast(kind) if c in hits.columns else F.lit(None).cast(kind)
+    count = (lambda c: byte_pairs.token_count(c, ranks)) if ranks else token_count
+    inbox = F.coalesce(has("inbox", "boolean"), F.lit(False))
+    order = F.element_at(F.create_map(*(x for i, c in enumerate(CHANNELS) for x in (F.lit(c), F.lit(i)))), F.when(inbox, "inbox").otherwise(F.col("channel")))
+    snippet = F.trim(F.substring("snippet", 1, 600))
+    line = F.concat(F.lit("### "), F.col("title"), F.lit(" · score "), F.format_number("score", 2), F.lit("\n"), snippet)
+    sent = F.coalesce(F.concat(F.lit(" · "), F.nullif(has("sent", "string"), F.lit(""))), F.lit(""))
+    note = F.when(F.coalesce(has("inbox_summary", "boolean"), F.lit(False)), F.col("title")).otherwise(F.concat(F.lit("### 📨 "), F.coalesce(has("sender", "string"), F.lit("peer")), sent, F.lit("\n"), snippet))
+    rows = hits.withColumns({"o": F.coalesce(order, F.lit(len(CHANNELS))), "channel": F.when(inbox, "inbox").otherwise(F.col("channel")), "line": F.when(inbox, note).otherwise(line)})
+    if "work_tokens" in hits.columns:
+        badge = F.when(~inbox, savings(F.col("work_tokens"), count(F.col("line"))))
+        rows = rows.withColumn("line", F.concat_ws("\n", "line", badge))
+    group = rows.withColumn("note", inbox).groupBy("query_id", "o", "channel").agg(F.count("*").alias("n"), F.max("note").alias("note"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "line"))), lambda x: x["line"]), "\n\n").alias("body"))
+    group = group.withColumn("body", F.when(F.col("note"), F.col("body")).otherwise(F.concat(F.lit("## "), "channel", F.lit("\n"), "body")))
     whole = group.groupBy("query_id").agg(F.sum("n").alias("hits"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "body"))), lambda x: x["body"]), "\n\n").alias("body"))
-    return whole.select("query_id", "hits", F.concat(F.lit("<memory-context>\n"), truncated(F.col("body"), budget), F.lit("\n</memory-context>")).alias("envelope"))
+    cut = byte_pairs.truncated(F.col("body"), budget, ranks) if ranks else truncated(F.col("body"), budget)
+    return whole.select("query_id", "hits", F.concat(F.lit("<memory-context>\n"), cut, F.lit("\n</memory-context>")).alias("envelope"))
 
 
 def audit_lines(hits: DataFrame, ts_ms: int, profile: str) -> DataFrame:

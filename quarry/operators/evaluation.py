@@ -60,3 +60,30 @@ def entity_staleness(docs: DataFrame, entities: DataFrame) -> DataFrame:
 def displacement(turns: DataFrame) -> DataFrame:
     """Turns, mean and median discovery calls with and without an injection (turns has injected_ts and calls)."""
     return turns.groupBy(F.col("injected_ts").isNotNull().alias("injected")).agg(F.count("*").alias("turns"), F.avg("calls").alias("mean"), F.percentile("calls", 0.5).alias("median"))
+
+
+def report(results: DataFrame, golden: DataFrame, grades: DataFrame, k: int = 10) -> DataFrame:
+    """A row for each profile: mrr, ndcg5, ndcg10 and recall10 over queries of other classes than temporal, by the judge's grades; freshness and staleness over temporal
+    queries with an entity; n and n_temporal.
+
+    results: profile, query_id, rank, id, text, created. golden: query_id, class, entity. grades: query_id, id, grade. Only the first k results count. A query without results, or a
+    temporal one of whose results none holds its entity (in any case), counts as 0. Of equally fresh results the first is the freshest.
+    """
+    top = results.where(F.col("rank") <= k)
+    temporal = F.coalesce((F.col("class") == "temporal") & (F.length("entity") > 0), F.lit(False))
+    asked = results.select("profile").distinct().crossJoin(golden.select("query_id", "class", "entity").withColumn("temporal", temporal))
+    plain = asked.where(~F.col("temporal") & (F.coalesce("class", F.lit("")) != "temporal")).select("profile", "query_id")
+    ranked = plain.join(top.select("profile", "query_id", "rank", "id"), ["profile", "query_id"], "left").join(grades.select("query_id", "id", "grade"), ["query_id", "id"], "left")
+    ranked = ranked.withColumn("grade", F.coalesce("grade", F.lit(0)))
+    hits = asked.where("temporal").join(top, ["profile", "query_id"], "left").withColumn("holds", F.coalesce(F.contains(F.lower("text"), F.lower("entity")), F.lit(False)))
+    first = F.row_number().over(Window.partitionBy("profile", "query_id").orderBy(F.desc("holds"), F.desc("created"), "rank")) == 1
+    hits = hits.withColumn("fresh", F.col("holds") & first)
+    at_one = F.max(((F.col("rank") == 1) & F.col("fresh")).cast("int"))
+    stale = F.count(F.when(F.col("holds") & ~F.col("fresh"), 1)) / F.greatest(F.count("rank"), F.lit(1))
+    per = hits.groupBy("profile", "query_id").agg(F.coalesce(at_one, F.lit(0)).alias("first"), stale.alias("stale"))
+    fresh = per.groupBy("profile").agg(F.avg("first").alias("freshness"), F.avg("stale").alias("staleness"))
+    out = asked.groupBy("profile").agg(F.count("*").alias("n"), F.count(F.when(F.col("temporal"), 1)).alias("n_temporal"))
+    parts = (mrr(ranked), ndcg(ranked, 5).withColumnRenamed("ndcg", "ndcg5"), ndcg(ranked, 10).withColumnRenamed("ndcg", "ndcg10"), recall(ranked, k).withColumnRenamed("recall", "recall10"), fresh)
+    for part in parts:
+        out = out.join(part, "profile", "left")
+    return out.na.fill(0.0, ["mrr", "ndcg5", "ndcg10", "recall10", "freshness", "staleness"])

@@ -10,6 +10,7 @@ from quarry.operators import records as R
 from quarry.operators import search as H
 from quarry.operators import semantic as G
 from quarry.operators import similarity as M
+from quarry.operators.scratch import land
 
 
 def dedup_merges(records: DataFrame, vectors: DataFrame, titles: float = 0.5, least: float = 0.95) -> DataFrame:
@@ -37,6 +38,32 @@ def collapsed(records: DataFrame, titles: float = 0.5) -> DataFrame:
     return g.join(titles_, "seed_id").withColumn("total", F.col("from_auto") + F.col("from_search") + F.col("from_drill")).withColumnRenamed("seed_id", "id")
 
 
+#: fixed value: rows that are looked at for groups at least, before a page is cut
+CANDIDATES = 200
+
+
+def collapsed_page(records: DataFrame, sort: str = "total", view: str = "all", kind: str | None = None, title: str | None = None, offset: int = 0, limit: int = 50, titles: float = 0.5) -> tuple[DataFrame, int]:
+    """One page of the recall browser with near titles put together, and how many rows matched before that.
+
+    The first rows by `sort` (total, recency, from_auto, from_search or from_drill), as many as the page reaches and CANDIDATES at least, are grouped in that
+    order by title; a group is a row with summed counters, the latest surfacing and its number of variants. Groups are put in order anew, ties by
+    the latest surfacing and the larger id, and the page is cut from them.
+    """
+    rows = R.viewed(records, view, kind, title)
+    metric = F.coalesce("last_surfaced", F.lit(0)) if sort == "recency" else F.col(sort)
+    order = (metric.desc(), F.coalesce("last_surfaced", F.lit(0)).desc(), F.desc("id"))
+    first = rows.orderBy(*order).limit(max(CANDIDATES, offset + limit))
+    # the groups are greedy by total and id: here the place in the order takes the total's part
+    placed = land(first.withColumn("place", F.row_number().over(Window.orderBy(*order))), "candidates")
+    by_place = placed.select("id", "title", (-F.col("place")).alias("from_auto"), F.lit(0).alias("from_search"), F.lit(0).alias("from_drill"))
+    groups = M.title_groups(by_place, titles, (), False)
+    j = placed.join(groups, "id", "left").withColumn("seed_id", F.coalesce("seed_id", "id"))
+    sums = (F.sum(c).alias(c) for c in ("from_auto", "from_search", "from_drill", "total"))
+    g = j.groupBy("seed_id").agg(*sums, F.max("last_surfaced").alias("last_surfaced"), F.count("*").alias("variants"))
+    shown = g.join(placed.select(F.col("id").alias("seed_id"), "title", "type"), "seed_id").withColumnRenamed("seed_id", "id")
+    return shown.orderBy(*order).offset(offset).limit(limit), rows.count()
+
+
 def promotions(records: DataFrame, keep: Callable[[DataFrame], DataFrame], now: int, most: int = 5) -> DataFrame:
     """The first `most` candidates that the judge `keep` (a filter of candidates) lets through, with the time of promotion."""
     return keep(R.promotion_candidates(records, limit=most)).withColumn("promoted_at", F.lit(now).cast("long"))

@@ -4,7 +4,7 @@ Queries are a DataFrame too (query_id, query, and vector for the vector leg), so
 A leg is (query_id, id, rank, score).
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions import vector as V
 from quarry.functions.lifecycle import recency
+from quarry.operators.scratch import land
 
 
 @dataclass(frozen=True)
@@ -154,6 +155,22 @@ def knn_cosine(vectors: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame
     return top.select("query_id", "id", "rank", (-F.col("distance")).alias("cosine"))
 
 
+def isolated(legs: dict[str, Callable[[], DataFrame]]) -> tuple[list[DataFrame], dict[str, str]]:
+    """The legs' results in order, and why those failed that did: a leg that throws, while it is put together or while it runs, is an empty one, and the
+    search goes on with the others. Results are written once, so what fails fails here."""
+    found: dict[str, DataFrame] = {}
+    why: dict[str, str] = {}
+    for name, leg in legs.items():
+        try:
+            found[name] = land(leg(), name)
+        except Exception as e:  # noqa: BLE001  whatever a leg's source throws
+            why[name] = str(e).splitlines()[0][:300] if str(e) else type(e).__name__
+    if not found:
+        raise RuntimeError(f"all legs failed: {why}")
+    shape = next(iter(found.values())).select("query_id", "id", "rank", "score").limit(0)
+    return [found.get(name, shape) for name in legs], why
+
+
 def rrf(legs: list[DataFrame], k: int = 60) -> DataFrame:
     """Reciprocal rank fusion, over the best that all legs together could give; ties by first leg and rank in it."""
     ranked = None
@@ -231,13 +248,13 @@ def without(hits: DataFrame, dropped: DataFrame, key: str = "id") -> DataFrame:
     return hits.join(dropped.select(key).distinct(), key, "left_anti")
 
 
-def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, p: RankProfile = RankProfile(), tide: DataFrame | None = None) -> DataFrame:
+def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10, p: RankProfile = RankProfile(), tide: DataFrame | None = None, legs: list[DataFrame] | None = None) -> DataFrame:
     """Both legs, fused, boosted by words of the query, and cut to k: (query_id, id, rank, score).
 
     If docs have a branch and queries a current_branch, hits of that branch gain. tide (id, multiplier, one row an id) scales
-    the hits that it names before the cut.
+    the hits that it names before the cut. legs are the vector and the keyword leg, if they come from elsewhere: from kept indexes, or through isolated().
     """
-    legs = knn(vectors, queries, p.per_leg), bm25(docs, queries, p.per_leg)
+    legs = legs or [knn(vectors, queries, p.per_leg), bm25(docs, queries, p.per_leg)]
     fused = weighted(*legs, p.vector_weight, p.keyword_weight) if p.fusion == "weighted" else rrf(list(legs), p.rrf_k)
     branches = "branch" in docs.columns and "current_branch" in queries.columns
     of_docs, of_queries = (["branch"], ["current_branch"]) if branches else ([], [])

@@ -7,7 +7,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from quarry.operators import judging, semantic, theme_log
+from quarry.operators import judging, theme_log
 from quarry.sources import migration, rollouts
 
 
@@ -151,7 +151,6 @@ def test_themes_are_made_unmade_and_listed(spark, tmp_path):
     assert theme_log.unmade(created, gone, gone.select("theme_id"), now + 2).count() == 0 and theme_log.listed(created, gone).count() == 0
     state = {r["id"]: (r["archived"], r["theme_id"]) for r in theme_log.folded(rec, created, gone).collect()}
     assert state[1] == (False, None) and state[9] == (True, None) and state[row["theme_id"]] == (True, None)
-    assert semantic.cluster_key(F.lit(1)) is not None
 
 
 ID = "0a1b2c3d-0000-1111-2222-333344445555"
