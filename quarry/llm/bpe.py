@@ -6,8 +6,6 @@ block, which is associative, so that all blocks of a slice advance together in n
 pieces are merged once for each worker.
 """
 
-import base64
-import heapq
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
@@ -19,6 +17,8 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.byte_pairs import merged
+from quarry.functions.byte_pairs import table as ranks
 from quarry.llm import kernels as K
 
 
@@ -138,45 +138,6 @@ def pieces(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.append(at[begins(_symbols(cp, first[at]))], len(data))
 
 
-@lru_cache(maxsize=4)
-def ranks(path: str) -> dict[bytes, int]:
-    """Token to rank, from a rank file."""
-    with open(path, "rb") as f:
-        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-
-
-def merged(piece: bytes, rank: dict[bytes, int]) -> list[int]:
-    """Ids of one piece: of all neighbours that together are a token, those of the least rank (the leftmost of these) become one, until none are."""
-    whole = rank.get(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end, prev = list(range(1, n + 1)), list(range(-1, n - 1))  # of the part that begins at each place; end 0: no part begins there
-
-    def pair(i: int) -> int | None:
-        return rank.get(piece[i : end[end[i]]]) if end[i] < n else None
-
-    heap = [(r, i, i + 2) for i in range(n - 1) if (r := pair(i)) is not None]
-    heapq.heapify(heap)
-    while heap:
-        _, i, until = heapq.heappop(heap)
-        j = end[i]
-        if not j or j >= n or end[j] != until:  # one of the two has changed since
-            continue
-        end[i], end[j] = until, 0
-        if until < n:
-            prev[until] = i
-            if (r := pair(i)) is not None:
-                heapq.heappush(heap, (r, i, end[until]))
-        if (h := prev[i]) >= 0 and (r := pair(h)) is not None:
-            heapq.heappush(heap, (r, h, until))
-    ids, i = [], 0
-    while i < n:
-        ids.append(rank[piece[i : end[i]]])
-        i = end[i]
-    return ids
-
-
 #: bits of the table of pairs, and the odd number that spreads pairs over it
 _SLOTS = 20
 _MIX = np.int64(0x9E3779B97F4A7C15 - (1 << 64))

@@ -52,6 +52,15 @@ def distinct(at: np.ndarray, text: np.ndarray, p: PUParams) -> tuple[np.ndarray,
     return both & ((1 << p.log2_space) - 1), both >> p.log2_space
 
 
+def risk(part: np.ndarray, sign: float, w: np.ndarray) -> tuple[float, np.ndarray]:
+    """Mean sigmoid loss of the rows of part if their label were sign, by weights w (the last is the bias), and its gradient."""
+    if not len(part):
+        return 0.0, np.zeros_like(w)
+    loss = 1 / (1 + np.exp(np.clip(sign * (part @ w[:-1].astype(np.float32) + w[-1]), -30, 30)))
+    slope = (-sign * loss * (1 - loss) / len(part)).astype(np.float32)
+    return float(loss.mean()), np.append(slope @ part, slope.sum())
+
+
 def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, p: PUParams) -> tuple[np.ndarray, float]:
     """Minimise prior * R+(P) + max(0, R-(U) - prior * R-(P)) with the sigmoid loss, by Adam. Where the estimate of
     the negatives' risk falls below zero, its gradient is followed upwards instead, which stops overfitting."""
@@ -60,15 +69,8 @@ def nnpu(x: np.ndarray, positive: np.ndarray, prior: float, p: PUParams) -> tupl
     w[-1] = -1.0
     m, v = np.zeros_like(w), np.zeros_like(w)
 
-    def risk(part: np.ndarray, sign: float) -> tuple[float, np.ndarray]:
-        if not len(part):
-            return 0.0, np.zeros_like(w)
-        loss = 1 / (1 + np.exp(np.clip(sign * (part @ w[:-1].astype(np.float32) + w[-1]), -30, 30)))
-        slope = (-sign * loss * (1 - loss) / len(part)).astype(np.float32)
-        return float(loss.mean()), np.append(slope @ part, slope.sum())
-
     for step in range(1, p.steps + 1):
-        (_, plus), (minus_p, g_p), (minus_u, g_u) = risk(pos, 1), risk(pos, -1), risk(unl, -1)
+        (_, plus), (minus_p, g_p), (minus_u, g_u) = risk(pos, 1, w), risk(pos, -1, w), risk(unl, -1, w)
         negative = minus_u - prior * minus_p
         g = prior * plus + (g_u - prior * g_p) if negative >= 0 else prior * g_p - g_u
         g[:-1] += p.decay * w[:-1]
@@ -92,7 +94,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: PUParams = PUParams()) -> Mo
     """Train from confirmed toxic rows outside the held-out fold and from texts whose labels aren't looked at.
 
     The class prior is the share of toxic rows among the labels that may be learnt from. Rows of one doc_id are one example, however
-    often it or its label is repeated; labels that are null, or of no document or no doc_id, are no examples, and a null text has no words. Without
+    often it or its label is repeated (its texts are put together); labels that are null, or of no document or no doc_id, are no examples, and a null text has no words. Without
     examples (as for empty tables) the model answers with the prior.
     """
     p = params
@@ -102,12 +104,13 @@ def fit(docs: DataFrame, labels: DataFrame, params: PUParams = PUParams()) -> Mo
     other = docs.select("doc_id").where(F.col("doc_id").isNotNull() & ~labelled.held_out()).orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.unlabelled).withColumn("toxic", F.lit(0))
     # two orderings of all ids: done once
     ids = land(toxic.union(other), "sample")
-    sample = labelled.sampled_texts(docs, ids).withColumn("row", F.xxhash64("doc_id", "toxic"))
+    sample = labelled.sampled_texts(docs, ids).select(F.xxhash64("doc_id", "toxic").alias("row"), "toxic", "text").distinct()
+    # the texts of one id are one text, so that a feature comes once from each row without a shuffle of features
+    sample = land(sample.groupBy("row", "toxic").agg(F.concat_ws(" ", F.collect_list("text")).alias("text")), "texts")
     seen = land(sample.mapInArrow(_observed(p), "at long, row long, toxic int"), "features")
     # rows are those that have a text; ids of labels alone aren't
-    found = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.countDistinct("row").alias("n")).collect()}
+    found = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = (max(1, found.get(t, 0)) for t in (1, 0))
-    seen = seen.distinct()
     df = seen.groupBy("at").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")).where(F.col("a") >= p.least)
     df = df.withColumn("lift", (F.col("a") / n1) / ((F.col("b") + 1) / n0)).where(F.col("lift") >= p.times)
     kept = np.sort([r["at"] for r in df.orderBy(F.desc(F.col("a") * F.log("lift")), "at").limit(p.most).collect()]).astype(np.int64)

@@ -149,3 +149,14 @@ def test_fold(spark):
 
     got = {r["doc_id"]: r["h"] for r in spark.range(200).select(F.col("id").alias("doc_id")).withColumn("h", labelled.held_out()).collect()}
     assert got == {i: zlib.crc32(str(i).encode()) % 5 == 0 for i in range(200)}
+
+
+def test_gradient_of_the_risk_matches_differences():
+    rng = np.random.default_rng(8)
+    x, w = (rng.random((40, 6)) < 0.4).astype(np.float64), rng.normal(size=7)
+    for sign in (1, -1):
+        loss = lambda v: float((1 / (1 + np.exp(sign * (x @ v[:-1] + v[-1])))).mean())  # noqa: B023, E731
+        value, slope = toxicity.risk(x, sign, w)
+        near = [(loss(w + d) - loss(w - d)) / 2e-5 for d in np.eye(7) * 1e-5]
+        assert abs(value - loss(w)) < 1e-6 and np.allclose(slope, near, atol=1e-5)
+    assert toxicity.risk(x[:0], 1, w)[0] == 0.0
