@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.search import in_blocks
+
 
 def mrr(ranked: DataFrame, relevant: int = 2) -> DataFrame:
     """Mean over queries of 1 / rank of the first result graded relevant (0 without one)."""
@@ -51,8 +53,12 @@ def displaced(turns: DataFrame, injections: DataFrame, within_ms: int = 20_000)
 
 
 def entity_staleness(docs: DataFrame, entities: DataFrame) -> DataFrame:
-    """(entity, id, stale) of docs (id, text, created) that contain an entity in any case: the freshest is not stale, ties to the lower id. entities are few."""
-    hit = docs.crossJoin(F.broadcast(entities)).where(F.contains(F.lower("text"), F.lower("entity")))
+    """(entity, id, stale) of docs (id, text, created) that contain an entity in any case: the freshest is not stale, ties to the lower id. Entities meet all docs
+    in blocks of a bounded number."""
+    hit = None
+    for block in in_blocks(entities.select("entity"), "entity"):
+        part = docs.crossJoin(F.broadcast(block)).where(F.contains(F.lower("text"), F.lower("entity")))
+        hit = part if hit is None else hit.union(part)
     w = Window.partitionBy("entity").orderBy(F.desc("created"), "id")
     return hit.select("entity", "id", (F.row_number().over(w) > 1).alias("stale"))
 

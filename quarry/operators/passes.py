@@ -76,6 +76,11 @@ def use_report(points: DataFrame, distances: DataFrame, created: DataFrame, eps:
     return c.groupBy("cluster").agg(F.count("*").alias("members"), F.count(F.when(F.col("is_core"), 1)).alias("cores"), days)
 
 
+def touching(files: Column, asked: list[str]) -> Column:
+    """Whether one of the asked files is among files: a condition for search_channel and for records."""
+    return F.coalesce(F.arrays_overlap(files, F.array(*map(F.lit, asked)).cast("array<string>")), F.lit(False))
+
+
 def search_channel(docs: DataFrame, vectors: DataFrame, queries: DataFrame, channel: str, k: int = 5, prefilter: bool = False, p: H.RankProfile = H.RankProfile(), where: Column | None = None) -> DataFrame:
     """Hits of one channel for which `where`, a condition on columns of docs (type, skill, files), is true. As a rule both are
     filtered after fusion, so a small channel can come up short; prefilter looks among these documents alone."""

@@ -58,6 +58,11 @@ def due(queue: DataFrame, now: int) -> DataFrame:
     return queue.where((F.col("status") == "pending") & (F.coalesce("next_retry", F.lit(0)) <= now)).orderBy("next_retry", "id")
 
 
+def pruned(queue: DataFrame, before: int) -> DataFrame:
+    """queue without rows that were done before a time; all that isn't done stays, whatever its age."""
+    return queue.where(~F.coalesce((F.col("status") == "done") & (F.col("ts") < before), F.lit(False)))
+
+
 def status_counts(queue: DataFrame) -> DataFrame:
     return queue.groupBy("status").agg(F.count("*").alias("rows"))
 

@@ -118,6 +118,26 @@ def same_session(records: DataFrame) -> DataFrame:
     return live.join(several, "session_id", "left_semi")
 
 
+#: fixed values: the types that a record may have; others are coerced to the last
+TYPES = ("bugfix", "feature", "refactor", "discovery", "decision", "change")
+
+
+def coerced(records: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """records with a type that is one of the types: null and unknown ones become the last."""
+    return records.withColumn("type", F.when(F.col("type").isin(*types), F.col("type")).otherwise(types[-1]))
+
+
+def restored(records: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """records (of the ids, if given) with `was`, the state before, afloat again if they had sunk; others keep their state."""
+    rows = records if ids is None else records.join(ids.select("id").distinct(), "id", "left_semi")
+    return rows.withColumn("was", F.col("tide_state")).withColumn("tide_state", F.when(F.col("tide_state").isin("dormant", "archived"), "active").otherwise(F.col("tide_state")))
+
+
+def survivors(events: DataFrame) -> DataFrame:
+    """(survivor_id, members) of merge events (survivor_id, id): who holds what was merged, told once however often the log has it."""
+    return events.groupBy("survivor_id").agg(F.count_distinct("id").alias("members"))
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """old with the rows of new in place of those of the same key. Written to a new path or by foreachBatch."""
     return old.join(new.select(key), key, "left_anti").unionByName(new)

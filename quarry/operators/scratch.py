@@ -1,7 +1,10 @@
 """Places to cut lineage: Parquet tables in the folder that the cluster shares."""
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +39,28 @@ def clear(spark: SparkSession) -> None:
 
 
 _FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock, _writing = threading.Lock(), {}
+
+
+@contextmanager
+def _freeing(spark: SparkSession) -> Iterator[None]:
+    """While any thread of the session is within, what Spark ran frees its shuffles; the last one out puts the setting back."""
+    key = spark._jsparkSession.sessionUUID()
+    with _lock:
+        n, before = _writing.get(key, (0, spark.conf.get(_FREE, None)))
+        _writing[key] = n + 1, before
+        spark.conf.set(_FREE, "true")
+    try:
+        yield
+    finally:
+        with _lock:
+            n, before = _writing.pop(key)
+            if n > 1:
+                _writing[key] = n - 1, before
+            elif before is None:
+                spark.conf.unset(_FREE)
+            else:
+                spark.conf.set(_FREE, before)
 
 
 def land(df: DataFrame, name: str) -> DataFrame:
@@ -45,10 +70,6 @@ def land(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     schema = df.schema
-    before = spark.conf.get(_FREE, None)
-    spark.conf.set(_FREE, "true")
-    try:
+    with _freeing(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(_FREE) if before is None else spark.conf.set(_FREE, before)
     return spark.read.schema(schema).parquet(path)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import context as C
 from quarry.operators import index as I
+from quarry.operators import queueing as Q
 from quarry.operators import records as R
 from quarry.operators import semantic as G
 from quarry.operators import similarity as M
@@ -31,8 +32,10 @@ def title_search(spark, d):
 
 @query(f"WITH {X.OBS} SELECT id, project_id FROM obs WHERE type = 'feature' AND list_has_any(list_value(session_id), ['s1', 's7', 's13'])")
 def file_filter(spark, d):
+    from quarry.operators import passes
+
     o = X.observations(spark, d).withColumn("files", F.array("session_id"))
-    return o.where((F.col("type") == "feature") & F.arrays_overlap("files", F.array(*map(F.lit, ("s1", "s7", "s13"))))).select("id", "project_id")
+    return o.where((F.col("type") == "feature") & passes.touching(F.col("files"), ["s1", "s7", "s13"])).select("id", "project_id")
 
 
 @query("SELECT d.doc_id AS id, d.source AS project_id, l.quality, count(*) AS turns FROM documents d JOIN labels l USING (doc_id) JOIN conversations c ON c.conv_id = d.doc_id GROUP BY ALL")
@@ -60,23 +63,22 @@ def kv_prefix(spark, d):
 
 @query(f"WITH {X.OBS} SELECT id, CASE WHEN type IN ('bugfix', 'feature', 'refactor', 'discovery', 'decision') THEN type ELSE 'change' END AS type FROM obs")
 def coerced_types(spark, d):
-    return X.observations(spark, d).select("id", F.when(F.col("type").isin("bugfix", "feature", "refactor", "discovery", "decision"), F.col("type")).otherwise("change").alias("type"))
+    return R.coerced(X.observations(spark, d)).select("id", "type")
 
 
 @query(f"WITH {X.OBS} SELECT id, tide_state AS was, CASE WHEN tide_state IN ('dormant', 'archived') THEN 'active' ELSE tide_state END AS tide_state FROM obs")
 def restored(spark, d):
-    o = X.observations(spark, d)
-    return o.select("id", F.col("tide_state").alias("was"), F.when(F.col("tide_state").isin("dormant", "archived"), "active").otherwise(F.col("tide_state")).alias("tide_state"))
+    return R.restored(X.observations(spark, d)).select("id", "was", "tide_state")
 
 
 @query(f"WITH {X.QUEUE} SELECT id FROM queue WHERE NOT (status = 'done' AND ts < 1705500000)")
 def pruned_queue(spark, d):
-    return X.queue(spark, d).where(~((F.col("status") == "done") & (F.col("ts") < 1705500000))).select("id")
+    return Q.pruned(X.queue(spark, d), 1705500000).select("id")
 
 
-@query(f"WITH {X.OBS}, e2 AS (SELECT id % 10 AS survivor FROM obs) SELECT DISTINCT survivor AS survivor_id FROM e2")
+@query(f"WITH {X.OBS} SELECT id % 10 AS survivor_id, count(*) AS members FROM obs GROUP BY 1")
 def merged_survivors(spark, d):
-    return X.observations(spark, d).select((F.col("id") % 10).alias("survivor_id")).distinct()
+    return R.survivors(X.observations(spark, d).select((F.col("id") % 10).alias("survivor_id"), "id"))
 
 
 @query(f"WITH {X.OBS} SELECT project_id, sum(from_auto)::BIGINT AS from_auto, max(last_surfaced) AS last_surfaced, string_agg(id::VARCHAR, ',' ORDER BY id) AS cluster_key FROM obs GROUP BY 1")

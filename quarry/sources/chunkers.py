@@ -40,7 +40,7 @@ def sections(docs: DataFrame) -> DataFrame:
     """(id, position, title, text, has_code): the part before the first ## and each section; empty ones are left out."""
     g = h2_lines(docs).groupBy("id", F.col("section").alias("position")).agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("ls"), F.max("fenced").alias("has_code"))
     text = T.strip(F.array_join(F.transform("ls", lambda x: x["line"]), "\n"))
-    title = F.when(F.col("position") > 0, T.strip(F.substring(F.col("ls")[0]["line"], 4, 10_000)))
+    title = F.when(F.col("position") > 0, T.strip(F.expr("substring(ls[0].line, 4)")))
     return g.select("id", "position", title.alias("title"), text.alias("text"), "has_code").where("text <> ''")
 
 
