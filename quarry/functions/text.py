@@ -115,3 +115,21 @@ def is_noop(col: Column) -> Column:
     """Prompts too short to search for."""
     text = F.lower(F.trim(col))
     return (F.length(text) < 10) | text.isin("ok", "continue", "yes", "go", "next", "sure")
+
+
+def bytes_text(n: Column) -> Column:
+    """A number of bytes for people: 512 B, 1.5 KB, 2.0 MB, 3.25 GB."""
+    part = lambda p, digits: F.format_string(f"%.{digits}f", n / float(1024**p))
+    return F.when(n < 1024, F.concat(n.cast("string"), F.lit(" B"))).when(n < 1024**2, F.concat(part(1, 1), F.lit(" KB"))).when(n < 1024**3, F.concat(part(2, 1), F.lit(" MB"))).when(n.isNotNull(), F.concat(part(3, 2), F.lit(" GB")))
+
+
+def elapsed_text(seconds: Column) -> Column:
+    """A time for people: 59s, 1m 5s, 2h 30m."""
+    s = F.floor(seconds).cast("long")
+    minutes, hours = F.floor(s / 60), F.floor(s / 3600)
+    return F.when(s < 60, F.concat(s.cast("string"), F.lit("s"))).when(s < 3600, F.concat(minutes.cast("string"), F.lit("m "), (s % 60).cast("string"), F.lit("s"))).when(s.isNotNull(), F.concat(hours.cast("string"), F.lit("h "), (minutes % 60).cast("string"), F.lit("m")))
+
+
+def day_text(epoch: Column) -> Column:
+    """The UTC day of epoch seconds as yyyy-mm-dd, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(epoch / 86400).cast("int")).cast("string")

@@ -38,6 +38,20 @@ def collapsed(records: DataFrame, titles: float = 0.5) -> DataFrame:
     return g.join(titles_, "seed_id").withColumn("total", F.col("from_auto") + F.col("from_search") + F.col("from_drill")).withColumnRenamed("seed_id", "id")
 
 
+def dream_report(points: DataFrame, distances: DataFrame, created: DataFrame, together: DataFrame, eps: float = 0.35, least: int = 3) -> DataFrame:
+    """A row for each cluster of use, and one without a cluster for noise: members, cores, first and last creation, span_days, co_weight (how often pairs of its members
+    were given together; together is (a, b, together) of co-retrieval), and of all points total and without_co, those that were never given together with another."""
+    c = M.dbscan(points, distances, eps, least).join(created, "id", "left")
+    x, y = (c.select(F.col("id").alias(s), F.col("cluster").alias(f"c{s}")) for s in "ab")
+    weight = together.join(x, "a").join(y, "b").where("ca = cb").groupBy(F.col("ca").alias("cluster")).agg(F.sum("together").alias("co_weight"))
+    met = together.select(F.col("a").alias("id")).union(together.select("b")).distinct()
+    alone = points.select("id").join(met, "id", "left_anti").agg(F.count("*").alias("without_co"))
+    days = ((F.max("created") - F.min("created")) / 86400).alias("span_days")
+    report = c.groupBy("cluster").agg(F.count("*").alias("members"), F.count(F.when(F.col("is_core"), 1)).alias("cores"), F.min("created").alias("first"), F.max("created").alias("last"), days)
+    whole = points.agg(F.count("*").alias("total")).crossJoin(alone)
+    return report.join(weight, "cluster", "left").withColumn("co_weight", F.coalesce("co_weight", F.lit(0)).cast("long")).crossJoin(F.broadcast(whole))
+
+
 #: fixed value: rows that are looked at for groups at least, before a page is cut
 CANDIDATES = 200
 

@@ -163,6 +163,16 @@ def merge_guard(pairs: DataFrame, a: str = "title_a", b: str = "title_b") -> Dat
     return pairs.mapInPandas(run, pairs.withColumn("may_merge", F.lit(True)).schema)
 
 
+def audit_records(lines: DataFrame, chunks: DataFrame) -> DataFrame:
+    """lines (line_id, doc_ids, ...) with ids: the records whose chunks a line's hits are, by observation_id in the metadata (JSON) of chunks
+    (chunk_id, metadata). Hits of other chunks, and ids that aren't whole numbers above 0, are left out; a line may come to have none."""
+    number = F.get_json_object("metadata", "$.observation_id")
+    of = chunks.where(number.rlike("^[0-9]{1,18}$")).select(F.col("chunk_id").alias("doc_id"), number.cast("long").alias("record_id")).where("record_id > 0").dropDuplicates(["doc_id"])
+    hits = lines.select("line_id", F.posexplode("doc_ids").alias("n", "doc_id")).join(of, "doc_id")
+    found = hits.groupBy("line_id").agg(F.array_sort(F.collect_list(F.struct("n", "record_id"))).alias("r"))
+    return lines.join(found, "line_id", "left").withColumn("ids", F.coalesce(F.transform("r", lambda x: x["record_id"]), F.array().cast("array<long>"))).drop("r")
+
+
 def co_retrieval(lines: DataFrame) -> DataFrame:
     """(a, b, together), a < b: in how many lines (line_id, ids) two ids are together. Lines are short: what one prompt was given."""
     one = lines.select("line_id", F.explode(F.array_distinct("ids")).alias("id"))

@@ -56,9 +56,22 @@ def json_filter(spark, d):
     return X.table(spark, d, "events").where(F.get_json_object("props", "$.k").cast("long").isin(1, 5, 9)).select(F.col("event_id").alias("id"))
 
 
-@query("SELECT s_name AS key, s_acctbal AS value FROM supplier WHERE starts_with(s_name, 'Supplier#0000000')")
+@query("""WITH l AS (SELECT event_id AS seq, 'k_' || (user_id % 200) AS key, CASE WHEN event_type <> 'error' THEN user_id || ':' || event_type END AS value FROM events)
+SELECT key, arg_max(struct_pack(v := value), seq).v AS value FROM l WHERE starts_with(key, 'k_1') GROUP BY key HAVING arg_max(struct_pack(v := value), seq).v IS NOT NULL""")
 def kv_prefix(spark, d):
-    return X.table(spark, d, "supplier").where(F.col("s_name").startswith("Supplier#0000000")).select(F.col("s_name").alias("key"), F.col("s_acctbal").alias("value"))
+    from quarry.operators import kv
+
+    e = X.table(spark, d, "events")
+    value = F.when(F.col("event_type") != "error", F.concat(F.col("user_id").cast("string"), F.lit(":"), "event_type"))
+    return kv.listed(e.select(F.col("event_id").alias("seq"), F.concat(F.lit("k_"), (F.col("user_id") % 200).cast("string")).alias("key"), value.alias("value")), "k_1")
+
+
+@query("""SELECT p_partkey AS id, CASE WHEN p_partkey * p_size < 1024 THEN (p_partkey * p_size) || ' B' WHEN p_partkey * p_size < 1048576 THEN printf('%.1f KB', round(p_partkey * p_size / 1024.0, 1)) ELSE printf('%.1f MB', round(p_partkey * p_size / 1048576.0, 1)) END AS bytes,
+CASE WHEN p_partkey * p_size < 60 THEN (p_partkey * p_size) || 's' WHEN p_partkey * p_size < 3600 THEN (p_partkey * p_size // 60) || 'm ' || (p_partkey * p_size % 60) || 's' ELSE (p_partkey * p_size // 3600) || 'h ' || (p_partkey * p_size % 3600 // 60) || 'm' END AS elapsed,
+strftime(make_timestamp((p_partkey::BIGINT * p_size * 864 // 10) * 1000000), '%Y-%m-%d') AS day FROM part""")
+def number_texts(spark, d):
+    n = F.col("p_partkey").cast("long") * F.col("p_size")
+    return X.table(spark, d, "part").select(F.col("p_partkey").alias("id"), T.bytes_text(n).alias("bytes"), T.elapsed_text(n).alias("elapsed"), T.day_text(F.floor(n * 864 / 10)).alias("day"))
 
 
 @query(f"WITH {X.OBS} SELECT id, CASE WHEN type IN ('bugfix', 'feature', 'refactor', 'discovery', 'decision') THEN type ELSE 'change' END AS type FROM obs")
