@@ -148,6 +148,7 @@ def format_chats(turns: DataFrame, params: ChatParams = ChatParams()) -> DataFra
     Turns go by turn, those of one number by role and then text, null first; repeated rows are turns of their own.
     A null text, a null role and null parts are empty. Rows of a null conv_id are one conversation. A part of an unknown kind
     is an error. A conversation becomes one value, so it has to fit in a task; its rows arrive sorted and are read as a stream.
+    An empty table gives an empty result.
     """
     typed = "parts" in turns.columns
     cols = [F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role")]
@@ -178,5 +179,5 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What formatted texts hold, read back from them: DIGEST."""
+    """What formatted texts hold, read back from them: DIGEST. No rows give none."""
     return formatted.mapInArrow(_digest, DIGEST)

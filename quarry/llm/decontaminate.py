@@ -301,6 +301,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, params: GramParams = Gra
     white space as spaces; begin and end are the part's bytes. Null and empty texts hold none; items of fewer than `least` bytes
     are in no text or, with `short`, in those where they stand without an edit, white space around them aside, and no word goes on
     before or behind. Null and blank ones are in none. Repeated rows and items give repeated rows. Null ids come back null. Documents aren't shuffled.
+    No documents, or no items, give an empty result. Whole texts are searched, one in a task's memory.
     """
     p, out, shared = params, None, None
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(K.MIN_ID)).alias("doc_id"), F.col("text").cast("string").alias("text"))

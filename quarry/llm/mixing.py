@@ -56,7 +56,8 @@ def mixed(docs: DataFrame, params: MixParams = MixParams()) -> DataFrame:
 
     Each document is due floor(rate) copies and one more if a hash of its id, as a fraction, is below the
     rate's fraction; so reruns agree and rows of one id are treated alike. A null or empty text has size 0; a
-    null source is a source; a null doc_id hashes as an empty string. Columns of these names are replaced.
+    null source is a source; a null doc_id hashes as an empty string. Columns of these names are replaced. An empty table gives an
+    empty result; texts may be of any length, as words are only counted.
     """
     p = params
     docs = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("size", words_in())

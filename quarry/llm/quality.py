@@ -180,7 +180,7 @@ def score(docs: DataFrame, net: Net, params: NetParams = NetParams(), threshold:
     """docs with two more columns, quality_score and quality_predicted (1 from the threshold on). Every byte of every text counts.
 
     A null or empty text is scored as a chunk of zeros, and repeated rows get one score. Other columns pass through, but those of the two
-    names, which are replaced; an empty table gives an empty result. Nothing is shuffled.
+    names, which are replaced; an empty table gives an empty result. Nothing is shuffled. A text has to fit in a task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(net))
 

@@ -127,7 +127,7 @@ def remove_repeated_words(docs: DataFrame, params: AnchorParams = AnchorParams()
     docs: doc_id, text; other columns are ignored. Returns one row for each row: doc_id, n_words, n_removed,
     kept_sha256 (the kept words joined by one space), and with keep_text also kept (what is left as text, without bytes of characters cut in two).
     A null text or one without words has none. A null doc_id counts as smaller than all others. Rows of one
-    doc_id don't remove each other's words. An empty table gives an empty result.
+    doc_id don't remove each other's words. An empty table gives an empty result. A text has to fit in a task.
 
     Non-overlapping blocks of each text are indexed; every rolling window of a block's length probes the
     index; around each hit, the words on either side are compared to extend it as far as texts agree.

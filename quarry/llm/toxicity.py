@@ -146,7 +146,7 @@ def score(docs: DataFrame, model: Model, params: PUParams = PUParams(), threshol
     """docs with two more columns, toxic_score and toxic_predicted (1 from the threshold on). Every word of every text counts.
 
     A null or empty text has no features and gets the score of the bias; repeated rows get one score. Other columns pass through, but
-    those of the two names, which are replaced; an empty table gives an empty result. Nothing is shuffled.
+    those of the two names, which are replaced; an empty table gives an empty result. Nothing is shuffled. A text has to fit in a task.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(model))
 

@@ -169,7 +169,7 @@ def read_records(where: str, index: DataFrame, params: WarcParams = WarcParams()
 
 
 def verified(records: DataFrame) -> DataFrame:
-    """records with payload digest and length taken from the payload itself where there is one."""
+    """records with payload digest and length taken from the payload itself where there is one; no records give none."""
     own = F.col("payload").isNotNull()
     return records.withColumn("payload_bytes", F.when(own, F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))).withColumn("payload_digest", F.when(own, F.sha1("payload")).otherwise(F.col("payload_digest")))
 
