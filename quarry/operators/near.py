@@ -1,4 +1,4 @@
-"""Pairs of like vectors within scopes of any size: banded sign codes propose them, exact cosines decide."""
+"""Pairs of like vectors within scopes of any size: banded sign codes propose them, exact cosines decide; at low thresholds blocks compare all."""
 
 from collections.abc import Iterator
 from functools import lru_cache
@@ -20,6 +20,8 @@ class Bands(NamedTuple):
     most: int = 256
     #: scopes of up to so many vectors are compared all with all
     small: int = 64
+    #: vectors of a block, where larger scopes are compared all with all too
+    block: int = 1024
 
 
 def shape(n: int, least: float, p: Bands = Bands()) -> tuple[int, int]:
@@ -70,22 +72,76 @@ def scope_of(*columns: str) -> Column:
     return F.to_json(F.struct(*columns))
 
 
-def near_pairs(rows: DataFrame, least: float, p: Bands = Bands()) -> DataFrame:
-    """(a, b, cosine), a < b, of rows (id, scope, vector) in one scope whose vectors have a cosine of `least` (above 0).
+def sparse(least: float, p: Bands = Bands()) -> bool:
+    """Whether bands propose fewer pairs of unlike vectors than there are, in large scopes at least."""
+    bits, bands = shape(1 << 40, least, p)
+    return bands < 1 << bits
+
+
+def _block_pairs(least: float):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        column, ids, first = table["vector"].combine_chunks(), table["id"].combine_chunks(), table["first"].to_numpy()
+        size = np.asarray(column.value_lengths())
+        flat, end = column.flatten().to_numpy(), np.cumsum(size)
+        found = []
+        for dim in np.unique(size[size > 0]).tolist():
+            rows = np.flatnonzero(size == dim)
+            x = flat[(end[rows] - dim)[:, None] + np.arange(dim)]
+            norm = np.sqrt((x * x).sum(axis=1))
+            rows, x = rows[norm > 0], x[norm > 0] / norm[norm > 0, None]
+            one, two = first[rows], table["second"].to_numpy()[rows]
+            c = x[one] @ x[two].T
+            i, j = rows[one], rows[two]
+            # within a block a row stands on both sides: of the two orders one is kept
+            at = np.nonzero((c >= least) & ((i[:, None] < j[None, :]) | (not (one & two).any())))
+            found.append((i[at[0]], j[at[1]], c[at]))
+        i, j, c = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"a": ids.take(pa.array(i)), "b": ids.take(pa.array(j)), "cosine": pa.array(c, pa.float64())})
 
-    Ids are distinct. In scopes of more than p.small vectors a pair at the threshold is missed with probability p.missed at most; what is
-    returned is exact. The work grows with the rows times their bands and with the pairs that are near, not with the square of a scope. Null, zero
-    and non-finite vectors are near nothing, and so are vectors of different lengths.
+    return run
+
+
+def block_pairs(sized: DataFrame, least: float, p: Bands = Bands()) -> DataFrame:
+    """(a, b, cosine), a < b, of rows (id, scope, vector, n) in one scope of n whose vectors have a cosine of `least`: none is missed.
+
+    A scope is dealt in blocks by a hash of the id, and each two blocks meet in one group of a task, so that no task holds a scope. All pairs are compared.
     """
+    blocks = F.ceil(F.col("n") / p.block).cast("int")
+    own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+    pair = F.transform(F.sequence(F.lit(0), blocks - 1), lambda o: F.struct(F.least(own, o).alias("i"), F.greatest(own, o).alias("j")))
+    met = sized.select("id", "scope", "vector", own.alias("own"), F.explode(pair).alias("pair"))
+    met = met.select("scope", "pair.i", "pair.j", (F.col("own") == F.col("pair.i")).alias("first"), (F.col("own") == F.col("pair.j")).alias("second"), "id", "vector")
+    id_type = sized.schema["id"].dataType.simpleString()
+    # a number of partitions of its own: what is read is small for the work it makes, and small partitions would be put together
+    tasks = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "scope", "i", "j")
+    found = tasks.groupBy("scope", "i", "j").applyInArrow(_block_pairs(least), f"a {id_type}, b {id_type}, cosine double")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "cosine")
+
+
+def near_pairs(rows: DataFrame, least: float, p: Bands = Bands(), digits: int | None = 9) -> DataFrame:
+    """(a, b, cosine), a < b, of rows (id, scope, vector) in one scope whose vectors have a cosine of `least` (above 0) when rounded to
+    `digits`, or as it is with None; so it is returned.
+
+    Ids are distinct. Where bands propose fewer pairs than there are (see sparse), a pair at the threshold is missed in scopes of more than p.small
+    vectors with probability p.missed at most; what is returned is exact, and the work grows with the rows times their bands and with the pairs that
+    are near, not with the square of a scope. At lower thresholds most pairs would be proposed: there all are compared in blocks, and none is missed.
+    Null, zero and non-finite vectors are near nothing, and so are vectors of different lengths.
+    """
+    shown = lambda c: c if digits is None else F.round(c, digits)
     rows = rows.where("vector is not null and scope is not null").select("id", "scope", F.col("vector").cast("array<double>").alias("vector"))
     rows = rows.where(F.forall("vector", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))))
     sized = rows.join(rows.groupBy("scope").agg(F.count("*").alias("n")), "scope")
     few = sized.where(F.col("n") <= p.small).select("scope", "id")
     direct = few.alias("x").join(few.alias("y"), "scope").where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
     id_type = rows.schema["id"].dataType.simpleString()
+    va, vb = (rows.select(F.col("id").alias(s), F.col("vector").alias(f"v{s}")) for s in "ab")
+    cosines = lambda pairs: pairs.join(va, "a").join(vb, "b").select("a", "b", V.cosine(F.col("va"), F.col("vb")).alias("cosine"))
+    if not sparse(least, p):
+        # what rounds up to the threshold is kept until it is rounded
+        both = cosines(direct).union(block_pairs(sized.where(F.col("n") > p.small), least - 1e-12 if digits is None else least - 10.0**-digits, p))
+        return both.withColumn("cosine", shown(F.col("cosine"))).where(F.col("cosine") >= least)
     keys = sized.where(F.col("n") > p.small).mapInArrow(_keys(least, p), f"scope string, band int, code long, id {id_type}")
     key = ["scope", "band", "code"]
     met = keys.alias("x").join(keys.alias("y"), key).where("x.id < y.id").select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    va, vb = (rows.select(F.col("id").alias(s), F.col("vector").alias(f"v{s}")) for s in "ab")
-    both = direct.union(met).join(va, "a").join(vb, "b").withColumn("cosine", F.round(V.cosine(F.col("va"), F.col("vb")), 9))
-    return both.where(F.col("cosine") >= least).select("a", "b", "cosine")
+    return cosines(direct.union(met)).withColumn("cosine", shown(F.col("cosine"))).where(F.col("cosine") >= least)

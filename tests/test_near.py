@@ -84,3 +84,44 @@ def test_targets_use_the_name_first(spark):
     known = spark.createDataFrame([(1, "f1", [1.0, 0.0]), (2, "f2", [0.0, 1.0]), (3, "f3", [0.0, 1.0])], "id long, file string, vector array<double>")
     new = spark.createDataFrame([(10, "f2", [1.0, 0.0]), (11, "x", [0.05, 1.0]), (12, "y", [-1.0, 0.0]), (13, "z", None)], "id long, file string, vector array<double>")
     assert {tuple(r) for r in semantic.write_targets(new, known).collect()} == {(10, "update", 2), (11, "update", 2), (12, "create", None), (13, "create", None)}
+
+
+@pytest.mark.parametrize("least", [0.1, 0.25])
+def test_low_thresholds_lose_no_pair(spark, least):
+    """Where bands would propose most pairs, blocks compare all: equal to brute force over blocks of 50, a small scope, other lengths and copies; no digits are rounded away."""
+    rng = np.random.default_rng(7)
+    assert not near.sparse(least) and near.sparse(0.8)
+    x = rng.normal(size=(420, 24))
+    x[300:320] = x[:20] * 3
+    x[320] = 0
+    scope = np.where(np.arange(len(x)) < 350, "hot", "few")
+    rows = [(f"r{i:03d}", str(scope[i]), v.tolist()) for i, v in enumerate(x)] + [(f"t{i}", "hot", [1.0, float(i)]) for i in range(5)] + [("u", "hot", None), ("v", "hot", []), ("w", None, [1.0])]
+    vectors = {i: (s, np.array(v)) for i, s, v in rows if v and s and np.any(v)}
+    want = {}
+    for a, (sa, va) in vectors.items():
+        for b, (sb, vb) in vectors.items():
+            if a < b and sa == sb and len(va) == len(vb) and (c := va @ vb / (np.linalg.norm(va) * np.linalg.norm(vb))) >= least:
+                want[a, b] = c
+    df = spark.createDataFrame(rows, "id string, scope string, vector array<double>")
+    got = near.near_pairs(df, least, near.Bands(block=50), digits=None).collect()
+    assert len(got) == len(want) > 1000 and {(r["a"], r["b"]) for r in got} == set(want)
+    assert max(abs(r["cosine"] - want[r["a"], r["b"]]) for r in got) < 1e-12
+    assert near.near_pairs(df.limit(0), least).count() == 0
+
+
+def alike_records(spark, sf):
+    from quarry.plans import more, tables
+
+    own = {r["id"]: np.array(r["vector"], float) for r in more._vectors(spark, sf).collect()}
+    rows = [r for r in tables.observations(spark, sf).select("id", "project_id", "branch", "session_id").collect() if r["id"] in own]
+    return [(x, y, own[x["id"]] @ own[y["id"]] / (np.linalg.norm(own[x["id"]]) * np.linalg.norm(own[y["id"]]))) for x in rows for y in rows if x["project_id"] == y["project_id"]]
+
+
+def test_scoped_pairs_are_of_the_records_own_vectors(spark):
+    """All pairs of a project and branch with a cosine of 0.1, each record by its own vector: 150 at this scale."""
+    from quarry.plans import registry
+
+    sf = "/root/testdata/sf0.01"
+    want = {(x["id"], y["id"]) for x, y, c in alike_records(spark, sf) if x["branch"] == y["branch"] and x["id"] < y["id"] and c >= 0.1}
+    got = registry.queries()["scoped_cosine_pairs"](spark, sf).collect()
+    assert len(got) == len(want) == 150 and {(r["a"], r["b"]) for r in got} == want
