@@ -158,3 +158,76 @@ class Nearest:
         if self.kept is not None and self.kept.num_rows:
             t = self.kept
             yield from pa.table({"query_id": self.ids.take(t["place"].combine_chunks()), "id": t["id"], "distance": t["distance"]}).to_batches(max_chunksize=10_000)
+
+
+def leading(x: np.ndarray, c: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of x, row of c): for each row of x its m rows of c of largest cosine by nine decimals, ties to the first."""
+    if m >= len(c):
+        return np.repeat(np.arange(len(x)), len(c)), np.tile(np.arange(len(c)), len(x))
+    unit = lambda v: np.divide(v, norms(v)[:, None], out=np.zeros_like(v), where=norms(v)[:, None] != 0)
+    cu, found = unit(c).T, []
+    step = max(1, CELLS // max(len(c), m * c.shape[1]))
+    for i in range(0, len(x), step):
+        s = unit(x[i : i + step]) @ cu
+        r, j = np.nonzero(s >= np.partition(s, len(c) - m, axis=1)[:, len(c) - m, None] - SAME)
+        sim = np.round(_cosines(x[i + r], c[j]), 9)
+        order = np.lexsort((j, -sim, r))
+        r, j = r[order], j[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r) < m
+        found.append((i + r[first], j[first]))
+    r, j = (np.concatenate(f) for f in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+    return r, j
+
+
+class Asked:
+    """Which points ask for which clusters. Clusters that the same points ask for are one group, so that what goes to every task is bounded by the different
+    sets of points."""
+
+    def __init__(self, ids: pa.Array, points: list[np.ndarray]):
+        self.ids, self.points = ids, points
+        self.number, self.group, self.sets, self.known = np.zeros(0, np.int64), np.zeros(0, np.int64), [], {}
+
+    def _set(self, points: np.ndarray) -> int:
+        at = self.known.setdefault(points.astype(np.int32).tobytes(), len(self.sets))
+        if at == len(self.sets):
+            self.sets.append(points)
+        return at
+
+    def _add(self, number: np.ndarray, group: np.ndarray) -> None:
+        self.number, self.group = np.append(self.number, number), np.append(self.group, group)
+
+    def tell(self, number: np.ndarray, points: np.ndarray) -> None:
+        """All these clusters are asked for by these points (in order); a cluster is told once."""
+        if len(number) and len(points):
+            self._add(number, np.full(len(number), self._set(points)))
+
+    def tell_pairs(self, points: np.ndarray, number: np.ndarray) -> None:
+        """Each point asks for the cluster beside it."""
+        order = np.lexsort((points, number))
+        each, at = np.unique(number[order], return_index=True)
+        self._add(each, np.array([self._set(own) for own in np.split(points[order], at[1:])] if len(each) else [], np.int64))
+
+    def done(self) -> tuple:
+        order = np.argsort(self.number)
+        return self.ids, self.points, self.number[order], self.group[order], self.sets
+
+
+def probing(shared, k: int):
+    """Rows (id, vector, cluster_id): each task's k nearest of each point among the clusters that it asks for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, points, number, group, sets = shared.value
+        near = Nearest(ids, points, k)
+        for batch in batches:
+            if not batch.num_rows or not len(number):
+                continue
+            cluster = batch["cluster_id"].to_numpy()
+            at = np.minimum(np.searchsorted(number, cluster), len(number) - 1)
+            own = np.where(number[at] == cluster, group[at], -1)
+            for g in np.unique(own[own >= 0]).tolist():
+                part = batch.take(pa.array(np.flatnonzero(own == g)))
+                for rows, x in by_length(part["vector"]):
+                    near.add(x, part["id"].take(pa.array(rows)), sets[g])
+        yield from near.batches()
+
+    return run

@@ -56,3 +56,33 @@ def test_copies_of_centroids_and_odd_vectors(spark):
         want = c[r["cluster_id"] - 3] + (mine.sum() / (1 + mine.sum()) * (x[mine].mean(axis=0) - c[r["cluster_id"] - 3]) if mine.any() else 0)
         assert np.allclose(r["centroid"], want)
     assert I.assigned(v, centroids.limit(0)).where(F.col("cluster_id").isNotNull()).count() == 0
+
+
+def test_ivf_probe_in_blocks(spark, monkeypatch):
+    """More queries than a block has, and several probes: the same rows as one by one in numpy; queries don't meet vectors in a join."""
+    from quarry.operators import search as H
+
+    monkeypatch.setattr(H, "BLOCK", 40)
+    monkeypatch.setattr(H.in_blocks, "__defaults__", (40,))
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(600, 8))
+    x[300:400] = x[:100]
+    c = np.concatenate([rng.normal(size=(6, 8)), x[:1], x[:1]])
+    cluster = nearest(x, c)
+    cluster[::10] = -1
+    index = spark.createDataFrame([(i, v.tolist(), int(n)) for i, (v, n) in enumerate(zip(x, cluster, strict=True))] + [(900, None, 0), (901, [1.0], 1), (902, [0.5] * 8, None), (903, [0.5] * 8, 77)], "id long, vector array<double>, cluster_id int")
+    centroids = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cluster_id int, centroid array<double>")
+    q = x[:100] + rng.normal(scale=0.1, size=(100, 8))
+    q[:50] = x[:50]
+    asked = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(q)] + [("none", None), ("short", [1.0, 2.0])], "query_id string, vector array<double>")
+    for probes in (1, 3, 8, 50):
+        sim = np.round((q @ c.T) / np.sqrt((q**2).sum(1))[:, None] / np.sqrt((c**2).sum(1)), 9)
+        chosen = np.argsort(-sim, axis=1, kind="stable")[:, :probes]
+        want = set()
+        for i in range(len(q)):
+            rows = np.flatnonzero(np.isin(cluster, chosen[i]) | (cluster == -1))
+            d = np.round(np.sqrt(((x[rows] - q[i]) ** 2).sum(1)), 9)
+            want |= {(f"q{i}", r + 1, int(rows[j]), d[j]) for r, j in enumerate(np.lexsort((rows, d))[:5])}
+        found = I.probed(index, centroids, asked, 5, probes)
+        assert {(r["query_id"], r["rank"], r["id"], round(r["distance"], 9)) for r in found.collect()} == want
+        assert "Join" not in plan_of(found)
