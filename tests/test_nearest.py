@@ -86,3 +86,30 @@ def test_ivf_probe_in_blocks(spark, monkeypatch):
         found = I.probed(index, centroids, asked, 5, probes)
         assert {(r["query_id"], r["rank"], r["id"], round(r["distance"], 9)) for r in found.collect()} == want
         assert "Join" not in plan_of(found)
+
+
+def test_kept_vectors_are_one_file_a_cluster_and_told_as_one_set(spark, tmp_path):
+    """Clusters of 20 vectors: a file for each; a search of all of them tells tasks one set of queries, not a list for each cluster."""
+    from pathlib import Path
+
+    from quarry.operators import vector_index as VI
+
+    x = np.random.default_rng(7).normal(size=(800, 8)).astype(np.float32)
+    rows = lambda ids: spark.createDataFrame([(i, x[i].tolist(), f"c{i % 2}") for i in ids], "id long, vector array<float>, collection string")
+    path = str(tmp_path / "v")
+    VI.create(rows(range(800)), path, VI.Sizes(per_cluster=20, least=50))
+    c = VI.catalog(spark, path)
+    assert len(c.number) == 40 and len(list(Path(path).rglob("vectors/gen=0/**/*.parquet"))) <= 40
+    ids, points = None, x[:100].astype(float)
+    for of, sets in (([None] * 100, 1), ([f"c{i % 2}" for i in range(100)], 2)):
+        assert len(VI._asks(c, ids, points, of, 1 << 20).done()[-1]) == sets
+    asked = rows(range(0, 800, 8)).withColumnRenamed("id", "query_id")
+    for scoped in (False, True):
+        found = VI.search(spark, path, asked if scoped else asked.drop("collection"), 5, 1 << 20).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append(r["id"])
+        for q in range(0, 800, 8):
+            d = np.sqrt(((x.astype(float) - x[q]) ** 2).sum(1))
+            own = [i for i in np.argsort(d, kind="stable").tolist() if not scoped or i % 2 == q % 2]
+            assert got[q] == own[:5]
