@@ -105,7 +105,7 @@ def first_seeds(edges: DataFrame) -> DataFrame:
     return nodes.join(seed, "id", "left").select("id", F.coalesce("seed", "id").alias("seed"))
 
 
-def _signed(rows: DataFrame, guard: bool) -> DataFrame:
+def signed(rows: DataFrame, guard: bool = True) -> DataFrame:
     """rows with what may_merge looks at in a title: denies, versions and names (identifiers)."""
     if not guard:
         return rows.withColumns({"denies": F.lit(False), "versions": F.lit(""), "names": F.array().cast("array<string>")})
@@ -118,23 +118,12 @@ def _signed(rows: DataFrame, guard: bool) -> DataFrame:
     return rows.mapInPandas(run, rows.withColumns({"denies": F.lit(True), "versions": F.lit(""), "names": F.array(F.lit(""))}).schema)
 
 
-def title_groups(records: DataFrame, least: float = 0.5, scope: tuple[str, ...] = ("project_id", "branch"), guard: bool = True) -> DataFrame:
-    """(id, seed_id) of greedy groups within each scope: in order of total and id, a record joins the first seed that its
-    title is similar to and may merge with, else becomes a seed. Only records that have a similar one at all take part.
+def greedy_groups(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, seed_id) of rows (id, total, kind, denies, versions, names), where members of a kind are alike, and those of kinds that edges (a, b) join: in order of
+    total and id, a record joins the first seed beside it that it may merge with, else becomes a seed.
 
-    Titles of equal words, versions and identifiers fare alike, so they are one node; nodes meet by similar classes of words and a
-    shared identifier, or where one has none, and first_seeds decides in rounds. No scope is one task.
+    Members of a kind of equal denial, versions and identifiers fare alike, so they are one node; nodes meet by a shared identifier, or where one has none.
     """
-    edges = title_pairs(records, least, scope)
-    kinds = title_classes(records, scope)
-    busy = kinds.where("members > 1").select("kind").union(edges.select("a")).union(edges.select("b")).distinct()
-    toks = F.array_sort(T.significant_tokens(F.col("title")))
-    on = F.col("r.toks") == F.col("k.toks")
-    for c in scope:
-        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
-    total = (F.col("from_auto") + F.col("from_search") + F.col("from_drill")).alias("total")
-    rows = records.withColumn("toks", toks).alias("r").join(kinds.join(busy, "kind").alias("k"), on).select("r.id", "r.title", total, "k.kind")
-    rows = land(_signed(rows, guard).drop("title"), "titles")
     sign = ("kind", "denies", "versions", "names")
     nodes = rows.groupBy(*sign).agg(F.min(F.struct((-F.col("total")).alias("t"), "id")).alias("f"))
     nodes = land(nodes.select(*sign, F.col("f.id").alias("node"), F.col("f.t").alias("t")), "nodes")
@@ -153,6 +142,25 @@ def title_groups(records: DataFrame, least: float = 0.5, scope: tuple[str, ...]
     return rows.join(seeds, list(sign)).select("id", "seed_id")
 
 
+def title_groups(records: DataFrame, least: float = 0.5, scope: tuple[str, ...] = ("project_id", "branch"), guard: bool = True) -> DataFrame:
+    """(id, seed_id) of greedy groups within each scope: in order of total and id, a record joins the first seed that its
+    title is similar to and may merge with, else becomes a seed. Only records that have a similar one at all take part.
+
+    Titles of equal words, versions and identifiers fare alike, so they are one node; nodes meet by similar classes of words and a
+    shared identifier, or where one has none, and first_seeds decides in rounds. No scope is one task.
+    """
+    edges = title_pairs(records, least, scope)
+    kinds = title_classes(records, scope)
+    busy = kinds.where("members > 1").select("kind").union(edges.select("a")).union(edges.select("b")).distinct()
+    toks = F.array_sort(T.significant_tokens(F.col("title")))
+    on = F.col("r.toks") == F.col("k.toks")
+    for c in scope:
+        on = on & F.col(f"r.{c}").eqNullSafe(F.col(f"k.{c}"))
+    total = (F.col("from_auto") + F.col("from_search") + F.col("from_drill")).alias("total")
+    rows = records.withColumn("toks", toks).alias("r").join(kinds.join(busy, "kind").alias("k"), on).select("r.id", "r.title", total, "k.kind")
+    return greedy_groups(land(signed(rows, guard).drop("title"), "titles"), edges)
+
+
 def merge_guard(pairs: DataFrame, a: str = "title_a", b: str = "title_b") -> DataFrame:
     """pairs with may_merge."""
 

@@ -212,3 +212,21 @@ def test_split_chunks(spark):
     for i, parts in got.items():
         assert sorted(parts) == list(range(len(parts)))
         assert set(re.findall(r"\S+", texts[i] or "")) <= {w for p in parts.values() for w in re.findall(r"\S+", p)}
+
+
+def test_semantic_folds_of_copies(spark, records):
+    """Many records of few vectors and titles: the same stars as in plain Python, and no pairs of copies are written."""
+    from quarry.operators import scratch
+
+    wide = [r | {"id": 10_000 * k + r["id"], "session_id": "p", "project_id": "p", "branch": None, "total": r["total"] + k % 3, "from_auto": r["from_auto"] + k % 3, "title": ("not " if k % 2 else "") + r["title"]} for k in range(8) for r in records]
+    v = {r["id"]: [float(r["id"] % 4 + 1), 0.3 * (r["id"] % 5), -0.0 if r["id"] % 2 else 0.0] for r in wide if r["id"] % 50}
+    v |= {r["id"]: [0.0, 0.0, 0.0] for r in wide if r["id"] % 50 == 7}
+    near = lambda x, y: x["id"] in v and y["id"] in v and any(v[x["id"]]) and any(v[y["id"]]) and cosine(v[x["id"]], v[y["id"]]) >= 0.95
+    wide.sort(key=lambda r: (-r["total"], r["id"]))
+    want = stars(wide, near, ("session_id", "project_id", "branch"), 1)
+    names = ["id", "title", "session_id", "project_id", "branch", "from_auto", "from_search", "from_drill"]
+    rows = spark.createDataFrame([tuple(r[c] for c in names) for r in wide], "id long, title string, session_id string, project_id string, branch string, from_auto long, from_search long, from_drill long")
+    at = len(scratch._made)
+    found = G.semantic_folds(rows, spark.createDataFrame(list(v.items()), "id long, vector array<double>"))
+    assert {(r["seed_id"], r["id"]) for r in found.collect()} == want and len(want) > 500
+    assert all(spark.read.parquet(p).count() <= 4 * len(wide) for p in scratch._made[at:])
