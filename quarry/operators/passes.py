@@ -125,9 +125,13 @@ def injected(docs: DataFrame, vectors: DataFrame, queries: DataFrame, records: D
 
 
 def by_profile(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """Results of both rank profiles, for evaluation side by side."""
-    one = lambda name, p: H.hybrid(docs, vectors, queries, k, p).withColumn("profile", F.lit(name))
-    return one("legacy", H.LEGACY).unionByName(one("v2", H.RankProfile()))
+    """Results of both rank profiles, for evaluation side by side. Both rank the same hits of the legs, which are searched for once."""
+    profiles = {"legacy": H.LEGACY, "v2": H.RankProfile()}
+    most = max(p.per_leg for p in profiles.values())
+    legs = [land(H.knn(vectors, queries, most), "vector"), land(H.bm25(docs, queries, most), "keyword")]
+    one = lambda name, p: H.hybrid(docs, vectors, queries, k, p, legs=[leg.where(F.col("rank") <= p.per_leg) for leg in legs]).withColumn("profile", F.lit(name))
+    legacy, v2 = (one(*x) for x in profiles.items())
+    return legacy.unionByName(v2)
 
 
 def bumps(hits: DataFrame, source: str, ts: int) -> DataFrame:

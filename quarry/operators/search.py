@@ -9,7 +9,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.functions import vector as V
 from quarry.functions.lifecycle import recency
+from quarry.operators import nearest as N
 from quarry.operators.scratch import land
 
 
@@ -97,33 +97,14 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
 
 
 def _nearest(asked: Broadcast, k: int, cosine: bool):
-    """Each batch's k nearest of each query, ties by id, so that only these are shuffled. Distances are L2, or cosines with their sign turned."""
+    """Each task's k nearest of each query, ties by id, so that only these are shuffled. Distances are L2, or cosines with their sign turned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, points = asked.value
+        near = N.Nearest(*asked.value, k, cosine)
         for batch in batches:
-            column = batch["vector"].cast(pa.list_(pa.float64()))
-            size = np.asarray(column.value_lengths().fill_null(0))
-            flat, end = column.flatten().fill_null(np.nan).to_numpy(zero_copy_only=False), np.cumsum(size)
-            for dim in np.unique(size[size > 0]).tolist():
-                rows = np.flatnonzero(size == dim)
-                x = flat[(end[rows] - dim)[:, None] + np.arange(dim)]
-                norm = np.sqrt(np.einsum("ij,ij->i", x, x)) if cosine else None
-                for place, q in enumerate(points):
-                    if len(q) != dim:
-                        continue
-                    if cosine:
-                        size = norm * np.sqrt(q @ q)
-                        d = -np.divide(x @ q, size, out=np.where(np.isfinite(size), 0.0, np.nan), where=size > 0)
-                    else:
-                        away = x - q
-                        d = np.sqrt(np.einsum("ij,ij->i", away, away))
-                    near = np.flatnonzero(np.isfinite(d))
-                    if len(near) > k:
-                        near = near[d[near] <= np.partition(d[near], k - 1)[k - 1] + 2e-9]
-                    hits = pa.table({"id": batch["id"].take(pa.array(rows[near])), "distance": d[near], "r": np.round(d[near], 9)})
-                    hits = hits.take(pc.sort_indices(hits, [("r", "ascending"), ("id", "ascending")])[:k])
-                    yield from pa.table({"query_id": ids.take(pa.array([place] * hits.num_rows, pa.int64())), "id": hits["id"], "distance": hits["distance"]}).to_batches()
+            for rows, x in N.by_length(batch["vector"]):
+                near.add(x, batch["id"].take(pa.array(rows)))
+        yield from near.batches()
 
     return run
 
@@ -258,7 +239,14 @@ def hybrid(docs: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = 10,
     fused = weighted(*legs, p.vector_weight, p.keyword_weight) if p.fusion == "weighted" else rrf(list(legs), p.rrf_k)
     branches = "branch" in docs.columns and "current_branch" in queries.columns
     of_docs, of_queries = (["branch"], ["current_branch"]) if branches else ([], [])
-    found = fused.join(docs.select("id", "text", *of_docs), "id", "left").join(queries.select("query_id", "query", *of_queries), "query_id")
+    # texts are looked at only for words of a query: without any, a hit needs none
+    wants = F.coalesce((F.size(identifiers(F.col("query"))) > 0) | (F.size(rare_words(F.col("query"))) > 0), F.lit(True))
+    found = land(fused.join(queries.select("query_id", "query", wants.alias("wants"), *of_queries), "query_id"), "fused")
+    asked = found.where("wants").select("id").distinct()
+    texts = docs.select("id", "text").join(F.broadcast(asked) if small(asked) else asked, "id", "left_semi")
+    found = found.where("wants").join(texts, "id", "left").unionByName(found.where("not wants").withColumn("text", F.lit("")))
+    if branches:
+        found = found.join(docs.select("id", *of_docs), "id", "left")
     found = boosted(found.withColumn("text", F.coalesce("text", F.lit(""))), p)
     if tide is not None:
         found = found.join(tide.select("id", "multiplier"), "id", "left").withColumn("score", F.col("score") * F.coalesce("multiplier", F.lit(1.0)))

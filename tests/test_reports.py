@@ -126,3 +126,21 @@ def test_report_by_class(spark):
         assert got[p]["n"] == 6 and got[p]["n_temporal"] == 3
         for k, x in m.items():
             assert abs(got[p][k] - mean(x)) < 1e-9, (p, k)
+
+
+def test_profiles_search_once(spark, monkeypatch):
+    """Both profiles' rows are those of each by itself, and each leg is searched for once."""
+    from quarry.operators import passes, search
+    from quarry.plans import registry
+    from quarry.plans import tables as X
+
+    sf, calls = "/root/testdata/sf0.01", []
+    docs, vectors, asked = X.chunks(spark, sf), X.vectors(spark, sf), X.asked_twice(spark, sf)
+    rows = lambda df: {(r["query_id"], r["rank"], r["id"]) for r in df.collect()}
+    each = {"legacy": rows(search.hybrid(docs, vectors, asked, 10, search.LEGACY)), "v2": rows(search.hybrid(docs, vectors, asked, 10))}
+    for name in ("knn", "bm25"):
+        monkeypatch.setattr(search, name, lambda *a, f=getattr(search, name), n=name, **b: (calls.append(n), f(*a, **b))[1])
+    found = registry.queries()["profile_results"](spark, sf)
+    for name, want in each.items():
+        assert rows(found.where(found["profile"] == name)) == want and want
+    assert sorted(calls) == ["bm25", "knn"] and passes
