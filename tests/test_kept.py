@@ -220,3 +220,20 @@ def test_empty_vector_index(spark, tmp_path):
     VI.append(none, path, SIZES)
     VI.append(spark.createDataFrame([(7, [0.5])], "id long, vector array<float>"), path, SIZES)
     assert [r["id"] for r in VI.search(spark, path, q).collect()] == [7]
+
+
+def test_postings_are_shuffled_once_and_in_turns(spark, tmp_path, monkeypatch):
+    """Documents are counted without a shuffle and postings take one; buckets that take turns hold the same index."""
+    docs = docs_of(spark, TEXTS).withColumn("text", F.coalesce("text", F.lit("")))
+    exchanges = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    counted = KI._counted(docs)
+    assert exchanges(counted) == 0
+    tally = {r["id"]: {t["term"]: t["tf"] for t in r["tfs"]} for r in counted.collect()}
+    assert tally[1] == {"a": 1, "red": 2, "hen": 1} and tally[3] == tally[4] == {} and tally[7] == {"the": 5}
+    monkeypatch.setattr(KI, "small", lambda df: True)
+    assert exchanges(KI._blocks(counted, 5.0, LAY)) <= 2  # of these one for the sizes of terms
+    monkeypatch.setattr(KI, "EACH", 1)
+    path = str(tmp_path / "i")
+    KI.refresh(docs_of(spark, TEXTS), path, LAY)
+    assert len({p.name.split("-")[-1] for p in Path(path).rglob("postings/gen=0/**/*.parquet")}) and sum(r["count"] for r in spark.read.parquet(f"{path}/postings").groupBy("bucket").count().collect())
+    same(spark, path, docs_of(spark, TEXTS))
